@@ -126,38 +126,44 @@ def runs_of_words(h: np.ndarray, size: int) -> np.ndarray:
     return mix((pre[size:] - pre[:-size]) * powers(_INVERSE, len(h))[: len(h) - size + 1] + U64(size))
 
 
-def sliding_min_at(h: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least of each `width` neighbours (the last one among equals).
+def window_hashes(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the item ranges [start, end) from the prefix hashes `pre` of a sequence."""
+    return mix((pre[end] - pre[start]) * powers(_INVERSE, len(pre))[start] + (end - start).astype(U64))
 
-    Block-wise prefix and suffix minima give all windows in O(len(h)).
-    """
-    n = len(h)
-    if n < width:
-        return np.zeros(0, np.int64)
-    pad = -n % width
-    full = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max, U64)]).reshape(-1, width)
+
+def prefix_of(values: np.ndarray) -> np.ndarray:
+    """Prefix polynomial hashes of a sequence of 64-bit values."""
+    pre = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * powers(BASE, len(values)), out=pre[1:])
+    return pre
+
+
+def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours: block-wise prefix and suffix minima, O(len(h))."""
+    k = len(h) - width + 1
+    if k <= 0:
+        return np.zeros(0, U64)
+    full = np.concatenate([h, np.full(-len(h) % width, np.iinfo(np.uint64).max, U64)]).reshape(-1, width)
     left = np.minimum.accumulate(full, axis=1).ravel()
     right = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    k = n - width + 1
-    least = np.minimum(right[:k], left[width - 1 : width - 1 + k])
-    # the place of a minimum: the nearest position at or before the window's end that holds it
-    place = np.full(len(full.ravel()), -1, np.int64)
-    is_new = np.zeros(n, bool)
-    is_new[:] = True
-    place[:n] = np.arange(n)
-    return _last_place(h, least, width, k)
-
-
-def _last_place(h, least, width, k):
-    """Last index in [i, i+width) whose value is least[i]."""
-    out = np.empty(k, np.int64)
-    cand = np.arange(k)
-    out[:] = -1
-    for back in range(width - 1, -1, -1):
-        open_ = out[cand] < 0 if len(cand) else cand
-        cand = cand[open_] if len(cand) else cand
-        if not len(cand):
-            break
-        hit = h[cand + back] == least[cand]
-        out[cand[hit]] = cand[hit] + back
-    return out
+    return np.minimum(right[:k], left[width - 1 : width - 1 + k])
+
+
+def anchors(pre: np.ndarray, lo: int, hi: int, window: int, gram: int):
+    """Anchored runs of the windows of `window` items inside [lo, hi).
+
+    Each window is represented by the least hash of the `gram`-item grams it
+    holds; neighbouring windows with the same representative form one run.
+    Equal windows have equal representatives, so a window can repeat only where
+    its run's key repeats.  Returns (key, context hash, first start, last start)
+    of each run; the context covers every window of the run.
+    """
+    if hi - lo < window:
+        z = np.zeros(0, np.int64)
+        return z.astype(U64), z.astype(U64), z, z
+    at = np.arange(lo, hi - gram + 1)
+    least = sliding_min(window_hashes(pre, at, at + gram), window - gram + 1)
+    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    first = lo + change
+    last = lo + np.concatenate([change[1:], [len(least)]]) - 1
+    return least[change], window_hashes(pre, first, last + window), first, last

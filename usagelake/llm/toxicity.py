@@ -28,7 +28,7 @@ from .frames import crc_mod, table
 from .text import ALNUM, U64, Batch, chunks, encode, mix
 
 #: Labelled documents that the classifier is fitted on: clean ones, toxic ones.
-SAMPLE = (4000, 1000)
+SAMPLE = (3000, 1000)
 #: Longest text in that sample, in bytes.
 SAMPLE_TEXT = 40_000
 FEATURE_BITS = 18
@@ -137,9 +137,12 @@ class Crf:
         return start, end, first, odds / (1 + odds)
 
     def evidence(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log of the expected number of toxic words of each text, by noisy or."""
-        total = np.concatenate([[0.0], np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-9)))])
-        return np.log(np.maximum(0, total[first[1:]] - total[first[:-1]]) + 1e-3)
+        """Log of the number of toxic words of each text; a word counts by its squared probability,
+
+        so that many words that are hardly toxic do not add up in a long text.
+        """
+        total = np.concatenate([[0.0], np.cumsum(p * p)])
+        return np.log(np.maximum(0, total[first[1:]] - total[first[:-1]]) + 1e-2)
 
     def scores(self, texts) -> np.ndarray:
         raw = encode(texts)
@@ -162,23 +165,30 @@ class Crf:
 def toxic_tokens(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Label of each word: 1 if one of its features marks toxic documents beyond chance."""
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
-    share = toxic.mean()
     label = np.zeros(feats.shape[1], bool)
-    for kind in feats[:-1]:  # suffixes are context, not evidence
-        both = np.unique(doc * (1 << FEATURE_BITS) + kind)
-        d, f = both >> FEATURE_BITS, both & ((1 << FEATURE_BITS) - 1)
-        bad = np.bincount(f[toxic[d] == 1], minlength=1 << FEATURE_BITS)
-        good = np.bincount(f[toxic[d] == 0], minlength=1 << FEATURE_BITS)
-        n = bad + good
-        gain = bad * np.log((bad + 1e-9) / (share * n + 1e-9)) + good * np.log((good + 1e-9) / ((1 - share) * n + 1e-9))
-        marks = (bad > 0.8 * n) & (bad >= 3) & (gain > np.log(max(2, np.count_nonzero(n))) + 2)
-        label |= marks[kind]
+    open_ = toxic == 1
+    for _ in range(3):  # again for toxic documents that no mark explains yet
+        if not open_.any():
+            break
+        use = open_[doc] | (toxic[doc] == 0)
+        share = open_.sum() / (open_.sum() + (toxic == 0).sum())
+        for kind in feats[:-1]:  # suffixes are context, not evidence
+            both = np.unique(doc[use] * (1 << FEATURE_BITS) + kind[use])
+            d, f = both >> FEATURE_BITS, both & ((1 << FEATURE_BITS) - 1)
+            bad = np.bincount(f[toxic[d] == 1], minlength=1 << FEATURE_BITS)
+            good = np.bincount(f[toxic[d] == 0], minlength=1 << FEATURE_BITS)
+            n = bad + good
+            gain = bad * np.log((bad + 1e-9) / (share * n + 1e-9)) + good * np.log((good + 1e-9) / ((1 - share) * n + 1e-9))
+            marks = (bad > 0.9 * n) & (bad >= 3) & (gain > np.log(max(2, np.count_nonzero(n >= 3))) + 2)
+            label |= marks[kind]
+        open_ = (toxic == 1) & (np.bincount(doc, label, minlength=len(toxic)) == 0)
     return label
 
 
 def train(texts, toxic) -> Crf | None:
     """A chain fitted to labelled texts; None without both labels."""
-    toxic = np.asarray(toxic, np.int64)
+    one = dict(zip(texts, toxic, strict=True))  # copies are no further evidence
+    texts, toxic = list(one), np.fromiter(one.values(), np.int64, len(one))
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     batch = Batch(encode(texts), lower=True)

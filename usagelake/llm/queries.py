@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontamination
 from .mixing import op1_mixing
+from .near_duplicates import op5_near_duplicates
 from .sharding import op8_sharding
 from .toxicity import op9_toxicity
 from .urls import op7_url_filter
@@ -11,6 +12,7 @@ from .urls import op7_url_filter
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,

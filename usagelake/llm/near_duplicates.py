@@ -121,8 +121,9 @@ def sketch(docs: DataFrame, size: int, with_sets: bool = False) -> DataFrame:
                 h, at = shingle_sets(raw[a:b], size)
                 regs = registers(h, at)
                 n = np.diff(at)
-                pre = np.concatenate([[0], np.cumsum(mix(h ^ U64(0xA0761D6478BD642F)))]).astype(U64)
-                alt = np.concatenate([[0], np.cumsum(mix(h + U64(0xE7037ED1A0B428DB)))]).astype(U64)
+                zero = np.zeros(1, U64)
+                pre = np.concatenate([zero, np.cumsum(mix(h ^ U64(0xA0761D6478BD642F)))])
+                alt = np.concatenate([zero, np.cumsum(mix(h + U64(0xE7037ED1A0B428DB)))])
                 cls = mix((pre[at[1:]] - pre[at[:-1]]) ^ mix(alt[at[1:]] - alt[at[:-1]] + n.astype(U64)))
                 out = {"key": pdf["key"].to_numpy()[a:b], "n": n, "class": cls.view(np.int64), "regs": [r.tobytes() for r in regs]}
                 if with_sets:

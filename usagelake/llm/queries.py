@@ -6,6 +6,7 @@ from .decontaminate import op4_decontamination
 from .mixing import op1_mixing
 from .near_duplicates import op5_near_duplicates
 from .sharding import op8_sharding
+from .substring_dedup import op6_substring_dedup
 from .toxicity import op9_toxicity
 from .urls import op7_url_filter
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,

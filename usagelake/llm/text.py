@@ -153,7 +153,7 @@ def anchors(pre: np.ndarray, lo: int, hi: int, window: int, gram: int):
     """Anchored runs of the windows of `window` items inside [lo, hi).
 
     Each window is represented by the least hash of the `gram`-item grams it
-    holds; neighbouring windows with the same representative form one run.
+    holds; neighbouring windows with the same gram for it form one run.
     Equal windows have equal representatives, so a window can repeat only where
     its run's key repeats.  Returns (key, context hash, first start, last start)
     of each run; the context covers every window of the run.
@@ -162,8 +162,10 @@ def anchors(pre: np.ndarray, lo: int, hi: int, window: int, gram: int):
         z = np.zeros(0, np.int64)
         return z.astype(U64), z.astype(U64), z, z
     at = np.arange(lo, hi - gram + 1)
-    least = sliding_min(window_hashes(pre, at, at + gram), window - gram + 1)
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    h = window_hashes(pre, at, at + gram)
+    least = sliding_min(h, window - gram + 1)
+    # the first gram of that hash stands for the window: a run ends where it is left behind
+    change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])]))
     first = lo + change
     last = lo + np.concatenate([change[1:], [len(least)]]) - 1
     return least[change], window_hashes(pre, first, last + window), first, last

@@ -7,6 +7,7 @@ from .mixing import op1_mixing
 from .near_duplicates import op5_near_duplicates
 from .sharding import op8_sharding
 from .substring_dedup import op6_substring_dedup
+from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op9_toxicity
 from .urls import op7_url_filter
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

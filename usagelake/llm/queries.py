@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op4_decontamination
 from .mixing import op1_mixing
 from .near_duplicates import op5_near_duplicates
+from .neighbours import op3_neighbours
 from .sharding import op8_sharding
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op10_suffix_dedup
@@ -13,6 +14,7 @@ from .urls import op7_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_neighbours": op3_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_substring_dedup": op6_substring_dedup,

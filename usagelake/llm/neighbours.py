@@ -35,7 +35,7 @@ BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 6
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 8_000
 #: Candidates of a query that are reranked exactly.
-RERANK = 300
+RERANK = 400
 ROW_BLOCK, QUERY_BLOCK = 32_768, 1_024
 SCORED = 256
 

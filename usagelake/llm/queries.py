@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontamination
+from .language_model import op2_language_model
 from .mixing import op1_mixing
 from .near_duplicates import op5_near_duplicates
 from .neighbours import op3_neighbours
@@ -14,6 +15,7 @@ from .urls import op7_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language_model": op2_language_model,
     "op3_neighbours": op3_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,

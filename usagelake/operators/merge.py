@@ -1,0 +1,78 @@
+"""State maintenance: three merge regimes, retention, compaction, multiset sync."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import expr
+
+
+REQUEST_KEY = ("source", "ts_ms", "session_id", "tok_total")
+DAILY_KEY = ("source", "day", "model", "project")
+HISTORY_KEY = ("source", "ts_ms", "kind", "resets_at_ms")
+
+
+def _anti(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Rows of left whose key is not in right; null keys equal each other."""
+    r = right.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    on = None
+    for k in keys:
+        same = left[k].eqNullSafe(r[f"_{k}"])
+        on = same if on is None else on & same
+    return left.join(r, on, "left_anti")
+
+
+def append_new(existing: DataFrame, incoming: DataFrame, keys=REQUEST_KEY) -> DataFrame:
+    """existing and the incoming rows whose key it lacks; repeats within the batch stay."""
+    return existing.unionByName(_anti(incoming, existing, keys))
+
+
+def replace_daily(existing: DataFrame, incoming: DataFrame, tz: str = "UTC") -> DataFrame:
+    """existing without the keys that incoming holds, and all of incoming with its multiplicity."""
+    day = expr.day_key("ts_ms", tz)
+    old, new = existing.withColumn("day", day), incoming.withColumn("day", day)
+    return _anti(old, new, DAILY_KEY).unionByName(new).drop("day")
+
+
+def late_gate(incoming: DataFrame, boundary: int) -> DataFrame:
+    """Rows that are not older than what has been compacted."""
+    return incoming.filter(F.col("ts_ms") >= boundary)
+
+
+def latest_quota(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The newest observation of each kind; an existing one wins a tie."""
+    both = existing.withColumn("_o", F.lit(0)).unionByName(incoming.withColumn("_o", F.lit(1)))
+    first = W.partitionBy("kind").orderBy(F.desc("ts_ms"), "_o", "seq")
+    return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_o")
+
+
+def retain(df: DataFrame, now: int, days: int) -> DataFrame:
+    return df.filter(F.col("ts_ms") >= now - days * expr.DAY_MS)
+
+
+def compact(events: DataFrame, now: int, days: int, tz: str = "UTC") -> DataFrame:
+    """Rows older than `days` folded to local hours; session null; marked 'hour'. Rows marked 'day' stay; 0 days: nothing."""
+    if days == 0:
+        return events
+    old = (F.col("ts_ms") < now - days * expr.DAY_MS) & ~F.coalesce(F.col("compacted") == "day", F.lit(False))
+    minute = F.minute(expr.local_time("ts_ms", tz)).cast("long") * 60_000 + F.col("ts_ms") % 60_000
+    folded = events.filter(old).withColumn("ts_ms", F.col("ts_ms") - minute).groupBy("ts_ms", "source", "model", "project").agg(
+        F.min("seq").alias("seq"), *[F.sum(c).alias(c) for c in expr.TOKENS], F.sum(expr.requests()).alias("requests")
+    ).withColumn("session_id", F.lit(None).cast("string")).withColumn("compacted", F.lit("hour"))
+    return events.filter(~old).unionByName(folded.select(events.columns))
+
+
+def sync(stored: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(to delete, to insert) so that stored becomes wanted, as multisets."""
+    return stored.exceptAll(wanted), wanted.exceptAll(stored)
+
+
+def first_writes(lines: DataFrame, keys=("file", "write_id"), order: str = "pos") -> DataFrame:
+    """The first of each file's rewritten records; rows without an id all stay."""
+    named = lines.filter(F.col(keys[-1]).isNotNull())
+    first = W.partitionBy(*keys).orderBy(order)
+    return named.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").unionByName(lines.filter(F.col(keys[-1]).isNull()))
+
+

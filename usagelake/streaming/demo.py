@@ -1,0 +1,40 @@
+"""Streaming queries over the driver tables, run until the input is used up."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans import oracle as o
+from ..sources.driver_tables import usage_events
+from .ingest import fold_hours
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or a local one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="usagelake-")
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+def stream_hourly_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage events as a file stream, folded to hours; equal to the batch fold when no row is late."""
+    work = scratch(spark)
+    usage_events(spark, sf_dir).write.parquet(f"{work}/in")
+    schema = spark.read.parquet(f"{work}/in").schema
+    stream = spark.readStream.schema(schema).parquet(f"{work}/in")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/out/batch_id={batch_id}")
+
+    done = fold_hours(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    rows = spark.read.parquet(f"{work}/out")
+    key = ["hour_ms", "source", "model"]  # the last update of an hour holds its sums
+    return rows.groupBy(*key).agg(F.max_by("tok_total", "batch_id").alias("tok_total"), F.max_by("requests", "batch_id").alias("requests"))
+
+
+QUERIES = {"stream_hourly_fold": stream_hourly_fold}
+SQL = {"stream_hourly_fold": o.sql(o.U, "SELECT ts_ms - ts_ms % 3600000 AS hour_ms, source, model, sum(tok_total)::BIGINT AS tok_total, sum(CASE WHEN requests <> 0 THEN requests ELSE 1 END)::BIGINT AS requests FROM u GROUP BY 1, 2, 3")}

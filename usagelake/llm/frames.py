@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The words `[^\\x20\\x09-\\x0D]+` as a Java pattern.
-WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
+#: Words, as a Java pattern.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast after they have been counted.
 BROADCAST_ROWS = 4_000_000
 

@@ -29,7 +29,7 @@ PASSES = 2
 BLOCKS = 20_000
 MAX_BLOCK = 4096
 #: Rows or slots that one task orders at a time.
-ORDER_ROWS = 50_000
+ORDER_ROWS = 8_192
 #: round(2**31 / golden ratio), made odd: multiples of it, modulo 2**31, are the golden-ratio points.
 GOLDEN = 1_327_217_885
 POINTS = 1 << 31

@@ -154,10 +154,10 @@ def horizon(spark, sf):
 
 
 @query(P(*UDM, f"x0 AS (SELECT day, source, project, model, {o.SUMS} FROM d WHERE ts_ms BETWEEN {START} AND {NOW} GROUP BY ALL), x1 AS (SELECT x0.*, m.* EXCLUDE (model), own_grid_g AS grid_g FROM x0 JOIN m USING (model)), x AS (SELECT *, {o.COST} AS cost, {o.BARE} AS bare_cost, {o.FOOT} FROM x1)",
-         "SELECT day, source, model, coalesce(project, '') AS project, tok_total, requests, round(cost, 9) AS cost, round(coalesce(bare_cost, 0), 9) AS bare_cost, round(g_min, 3) AS g_min, round(g_mid, 3) AS g_mid, round(g_max, 3) AS g_max FROM x"))
+         "SELECT day, source, model, coalesce(project, '') AS project, tok_total, requests, round(cost, 12) AS cost, round(coalesce(bare_cost, 0), 12) AS bare_cost, round(g_min, 3) AS g_min, round(g_mid, 3) AS g_mid, round(g_max, 3) AS g_max FROM x"))
 def export_long(spark, sf):
     s = rollup.slices(current(spark, sf), expr.day_key(), F.col("source"), F.col("project"))
-    return s.select(F.col("key0").alias("day"), F.col("key1").alias("source"), "model", F.coalesce("key2", F.lit("")).alias("project"), "tok_total", "requests", r("cost", 9), F.round(F.coalesce("bare_cost", F.lit(0.0)), 9).alias("bare_cost"), *[r(c, GRAM) for c in FEET[:3]])
+    return s.select(F.col("key0").alias("day"), F.col("key1").alias("source"), "model", F.coalesce("key2", F.lit("")).alias("project"), "tok_total", "requests", r("cost", 12), F.round(F.coalesce("bare_cost", F.lit(0.0)), 12).alias("bare_cost"), *[r(c, GRAM) for c in FEET[:3]])
 
 
 CLASSES = ("tok_input", "tok_output", "tok_cache_read", "tok_cache_write")

@@ -1,5 +1,6 @@
 """Usage operators on small hand-made rows."""
 
+import csv
 import json
 import os
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from usagelake.functions import dims, expr
 from usagelake.operators import budget, carbon, limits, merge, provenance, rollup
-from usagelake.sources import logs
+from usagelake.sources import logs, sinks
 
 NOW = 1_706_659_200_000
 DAY, HOUR = 86_400_000, 3_600_000
@@ -135,6 +136,41 @@ def test_gauges(spark, events):
     assert limits.anthropic_gauges(events(event(1, NOW, source="codex-cli", i=5)), live, NOW).count() == 0
 
 
+def test_user_calibration(spark, events):
+    e = events(event(1, NOW - 2 * HOUR, o=100_000), event(2, NOW - 6 * HOUR, o=100_000))
+    none = spark.createDataFrame([], QUOTA)
+    got = limits.user_calibration(e, none, "anthropic-five_hour", 72, NOW).first()
+    assert (got["kind"], got["at"], got["from_percent"]) == ("five_hour", NOW, 72.0) and got["limit"] == pytest.approx(500_000 / 0.72)
+    gauge = limits.anthropic_gauges(e, none, NOW, {got["kind"]: (got["limit"], True)}).filter("gauge_id = 'anthropic-five_hour'").first()
+    assert gauge["percent"] == pytest.approx(72) and gauge["limit_source"] == "user"
+    known = spark.createDataFrame([(1, "claude-code", NOW - HOUR, "five_hour", "rejected", NOW + 4 * HOUR, False, "window", None, None, None)], QUOTA)
+    assert limits.user_calibration(e, known, "five_hour", 72, NOW).count() == 0  # the window began an hour ago
+    for percent in (0, 101):
+        assert limits.user_calibration(e, none, "five_hour", percent, NOW).count() == 0
+    with pytest.raises(ValueError):
+        limits.user_calibration(e, none, "anthropic-month", 50, NOW)
+
+
+def test_export_lines(events, tmp_path):
+    midnight = NOW - NOW % DAY
+    e = events(
+        event(1, NOW, i=5, project="c"), event(2, NOW, i=1_000_000, project='a;"b'), event(3, NOW - DAY, "nothing-known", i=5, project=None),
+        event(4, midnight, source="anthropic-api", i=9), event(5, NOW - 9 * DAY, i=7),
+    )
+    lines = sinks.export_lines(e, NOW - 5 * DAY, NOW)
+    sinks.write_lines(lines, f"{tmp_path}/out")
+    got = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert got == [r["line"] for r in lines.collect()] and len(got) == 4
+    rows = list(csv.reader(got))
+    assert tuple(rows[0]) == sinks.HEADER and {len(r) for r in rows} == {18} and '"a;""b"' in got[2]
+    assert (rows[1][0], rows[1][2], rows[1][4], rows[1][11], rows[1][12]) == ("2024-01-30", "nothing-known", "", "", "0.000000")
+    assert [(r[2], r[4], r[10], r[11]) for r in rows[2:]] == [("Claude Opus 5", 'a;"b', "1000000", "5.000000"), ("Claude Opus 5", "c", "5", "0.000025")]
+
+
+def test_export_lines_of_nothing(events):
+    assert [r["line"] for r in sinks.export_lines(events(), NOW - DAY, NOW).collect()] == [",".join(sinks.HEADER)]
+
+
 def test_expired_and_obsolete_windows(spark, events):
     e = events(event(1, NOW - 30 * HOUR, "gpt-5", "codex-cli", i=10))
     q = spark.createDataFrame([

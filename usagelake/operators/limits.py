@@ -62,6 +62,25 @@ def calibrate(events: DataFrame, quota: DataFrame, wid: str, hours: float) -> Da
     return best.filter("limit > 0").join(r.agg(F.count("*").alias("samples"))).select("limit", "observed_at", "samples")
 
 
+def user_calibration(events: DataFrame, quota: DataFrame, gauge_id: str, percent: float, now: int) -> DataFrame:
+    """(kind, limit, at, from_percent): the ceiling implied by a percentage that the user reads elsewhere.
+
+    No row if the window had no use or the percentage can't be one.  The row
+    feeds `limits` of anthropic_gauges().
+    """
+    kind = gauge_id.removeprefix("anthropic-")
+    hours = {w: h for w, h, _ in WINDOWS}.get(kind)
+    if hours is None:
+        raise ValueError(f"no such window: {gauge_id}")
+    known = quota.filter((F.col("kind") == kind) & (F.col("ts_ms") <= now) & (F.col("resets_at_ms") > now))
+    known = known.agg(F.max_by("resets_at_ms", F.struct("ts_ms", "seq")).alias("reset"))
+    begin = F.coalesce("reset", F.lit(now)) - int(hours * HOUR_MS)
+    window = known.select(F.lit(kind).alias("wid"), F.lit("anthropic").alias("fam"), begin.alias("from_ms"), F.lit(now).alias("to_ms"))
+    limit = observed_limit(F.col("used"), F.lit(float(percent)))
+    found = consumption(events, window).select(F.col("wid").alias("kind"), limit.alias("limit"), F.lit(now).alias("at"), F.lit(float(percent)).alias("from_percent"))
+    return found.filter("limit IS NOT NULL")
+
+
 def anthropic_gauges(events: DataFrame, quota: DataFrame, now: int, limits: dict[str, tuple[float, bool]] | None = None) -> DataFrame:
     """One row a window; none without any request event of the family.
 

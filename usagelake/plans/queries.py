@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, expr
 from ..operators import budget, carbon, limits, merge, provenance, rollup
-from ..sources import logs
+from ..sources import logs, sinks
 from ..sources.driver_tables import NOW, quota_obs, usage_events
 from . import oracle as o
 
@@ -160,6 +160,11 @@ def export_long(spark, sf):
     return s.select(F.col("key0").alias("day"), F.col("key1").alias("source"), "model", F.coalesce("key2", F.lit("")).alias("project"), "tok_total", "requests", r("cost", 12), F.round(F.coalesce("bare_cost", F.lit(0.0)), 12).alias("bare_cost"), *[r(c, GRAM) for c in FEET[:3]])
 
 
+@query()
+def export_csv_lines(spark, sf):
+    return sinks.export_lines(usage_events(spark, sf), START, NOW)
+
+
 CLASSES = ("tok_input", "tok_output", "tok_cache_read", "tok_cache_write")
 
 
@@ -264,6 +269,12 @@ def rejection_calibration(spark, sf):
     return limits.calibrate(usage_events(spark, sf), quota_obs(spark, sf), "five_hour", 5.0).select(r("limit", 3), "observed_at", "samples")
 
 
+@query(P(o.U, o.F, o.Q, f"k AS (SELECT arg_max(resets_at_ms, (ts_ms, seq)) AS r FROM q WHERE kind = 'five_hour' AND ts_ms <= {CODEX_CLOCK} AND resets_at_ms > {CODEX_CLOCK})",
+         f"SELECT 'five_hour' AS kind, round(sum({o.WEIGHT}) / (42.0::DOUBLE / 100), 3) AS \"limit\", {CODEX_CLOCK} AS at, 42.0::DOUBLE AS from_percent FROM f, k WHERE fam = 'anthropic' AND grain = 'request' AND ts_ms BETWEEN coalesce(r, {CODEX_CLOCK}) - 18000000 AND {CODEX_CLOCK} HAVING sum({o.WEIGHT}) > 0"))
+def user_calibration(spark, sf):
+    return limits.user_calibration(usage_events(spark, sf), quota_obs(spark, sf), "anthropic-five_hour", 42.0, CODEX_CLOCK).select("kind", r("limit", 3), "at", "from_percent")
+
+
 def gauge_cols(g: DataFrame) -> DataFrame:
     return g.select("gauge_id", "window_hours", "starts_at", "resets_at", "rolling", "tok_total", "requests", r("used", 3), r("limit", 3), "limit_source", r("percent", 6), "stale", "reported_at")
 

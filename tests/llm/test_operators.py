@@ -87,6 +87,35 @@ def test_language_model_sums_to_one():
     assert math.isclose(sum(10**x for x in each), sum(10**x for x in first), rel_tol=1e-4)
 
 
+def test_language_model_trains_on_every_document(spark, monkeypatch):
+    from usagelake.llm import language_model as lm
+
+    monkeypatch.setattr(lm, "WARM_DOCS", 0)
+    rng = np.random.default_rng(8)
+    texts = {i: " ".join(f"w{x}" for x in rng.integers(40, size=25)) for i in range(10)}
+
+    def network(changed):  # short documents, each in a partition of its own; the counts stay as they are
+        data = [(i, " ".join(reversed(t.split())) if i == changed else t) for i, t in texts.items()]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(data, 10), "doc_id long, text string")
+        return lm.learn(docs)[1]
+
+    usual = network(None)
+    assert (usual["h"] != lm.fresh()["h"]).any()
+    for i in (0, 4, 9):
+        assert (network(i)["h"] != usual["h"]).any()
+
+
+def test_language_model_trains_on_all_of_a_stream():
+    from usagelake.llm import language_model as lm
+
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 31, 97, 2000):
+        stream = rng.integers(lm.CLASSES, size=n)
+        other = stream.copy()
+        other[-1] = (other[-1] + 1) % lm.CLASSES
+        assert (lm.train(stream, lm.fresh())["p"] != lm.train(other, lm.fresh())["p"]).any()
+
+
 def test_neighbours(spark, folder):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 16)).astype(np.float32)

@@ -5,9 +5,10 @@ others are classed by their ending.  A gated recurrent network reads classes and
 predicts the next one; a word's probability is its class's times its share of
 the class by counts over all training documents, so the softmax runs over
 classes alone.  The network is trained by truncated backpropagation in numpy,
-first on a small sample and then, from there, on a fixed fraction of the
-training documents in every partition; the partitions' weights are averaged by
-Spark.  Scoring carries the state through the whole text, however long.
+first on a small sample and then, from there, on every training document: in
+each of a few rounds all partitions train on their share of the documents, and
+Spark averages their weights, with which the next round begins.  Scoring carries
+the state through the whole text, however long.
 
 Counts cover every training document.  Counts of frequent words are broadcast
 (at most FREQUENT of them); the rest of each text's words meet their counts in a
@@ -38,9 +39,11 @@ END = 0x1234_5678_9ABC_DEF1
 EMBED, HIDDEN = 16, 24
 #: Words whose counts may be broadcast.
 FREQUENT = 500_000
-#: Training documents of the first fit; one training document in so many refines it.
-WARM_DOCS, REFINE = 800, 16
+#: Training documents of the first fit; rounds that all training documents are dealt to, each document to one.
+WARM_DOCS, AVERAGED = 800, 4
 LANES, SPAN, RATE = 48, 32, 0.01
+#: Tokens that a training task holds before it trains on them.
+STREAM = LANES * SPAN * 128
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 2_000_000
 
@@ -134,61 +137,83 @@ def forward(w, table_, inputs: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, u[:, 2 * HIDDEN :])
 
 
+class Trainer:
+    """Truncated backpropagation over streams of classes in which each text ends with END_CLASS."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.w = {k: v.copy() for k, v in w.items()}
+        self.m = {k: np.zeros_like(v) for k, v in w.items()}
+        self.v2 = {k: np.zeros_like(v) for k, v in w.items()}
+        self.done = 0
+
+    def feed(self, stream: np.ndarray, rate, before: int = END_CLASS) -> None:
+        """Train on all of stream, which follows the class `before`; rate: of each update, by its number from 0."""
+        count = int(np.clip(len(stream) // SPAN, 1, LANES))
+        steps = -(-len(stream) // count)
+        # the last lane is filled up; what fills it has no weight
+        shape = lambda x, fill: np.concatenate([x, np.full(steps * count - len(x), fill, x.dtype)]).reshape(count, steps).T
+        lanes, source = shape(stream, END_CLASS), shape(np.concatenate([[before], stream[:-1]]), END_CLASS)
+        real = shape(np.ones(len(stream), np.float32), 0)
+        h = np.zeros((count, HIDDEN), np.float32)
+        for i, first in enumerate(range(0, steps, SPAN)):
+            on = slice(first, first + SPAN)
+            h = self.update(source[on], lanes[on], real[on], h, rate(i))
+
+    def update(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
+        """One step down the gradient of a span; returns the state after it."""
+        w = self.w
+        table_ = w["e"] @ w["x"] + w["b"]
+        kept, before, after = [], [], []
+        for t in range(len(x)):
+            h = h * (x[t] != END_CLASS)[:, None]  # a new text starts from nothing
+            before.append(h)
+            h, need = forward(w, table_, x[t], h)
+            kept.append(need)
+            after.append(h)
+        state = np.stack(after)
+        logits = state @ w["o"] + w["p"]
+        logits -= logits.max(axis=2, keepdims=True)
+        p = np.exp(logits)
+        p /= p.sum(axis=2, keepdims=True)
+        np.put_along_axis(p, y[:, :, None], np.take_along_axis(p, y[:, :, None], 2) - 1, 2)
+        p *= (real / real.sum())[:, :, None]
+        flat = p.reshape(-1, CLASSES)
+        g = {"o": state.reshape(-1, HIDDEN).T @ flat, "p": flat.sum(0)}
+        into = p @ w["o"].T
+        gates, backs = np.empty((2, *x.shape, 3 * HIDDEN), np.float32)
+        dh = np.zeros_like(h)
+        for t in range(len(x) - 1, -1, -1):
+            z, r, n, u = kept[t]
+            dh = dh + into[t]
+            dn = dh * (1 - z) * (1 - n * n)
+            dz = dh * (before[t] - n) * z * (1 - z)
+            dr = dn * u * r * (1 - r)
+            np.concatenate([dz, dr, dn], axis=1, out=gates[t])
+            np.concatenate([dz, dr, dn * r], axis=1, out=backs[t])
+            dh = (dh * z + backs[t] @ w["h"].T) * (x[t] != END_CLASS)[:, None]
+        rows = (np.arange(CLASSES)[:, None] == x.reshape(-1)).astype(np.float32) @ gates.reshape(-1, 3 * HIDDEN)
+        g["h"] = np.concatenate(before).T @ backs.reshape(-1, 3 * HIDDEN)
+        g["b"], g["x"], g["e"] = rows.sum(0), w["e"].T @ rows, rows @ w["x"].T
+        self.done += 1
+        for k in w:
+            d = np.clip(g[k], -1, 1)
+            self.m[k] = 0.9 * self.m[k] + 0.1 * d
+            self.v2[k] = 0.99 * self.v2[k] + 0.01 * d * d
+            w[k] = w[k] - np.float32(rate) * (self.m[k] / (1 - 0.9**self.done)) / (np.sqrt(self.v2[k] / (1 - 0.99**self.done)) + 1e-6)
+        return h
+
+
 def train(stream: np.ndarray, w: dict[str, np.ndarray], rate: float = RATE, epochs: int = 1):
-    """Truncated backpropagation over a stream of classes in which each text ends with END_CLASS."""
-    steps = (len(stream) - 1) // LANES
-    if steps < 1:
+    """The network w after some epochs over stream, with a rate that falls in their second half."""
+    if not len(stream):
         return w
-    lanes = stream[: steps * LANES].reshape(LANES, steps).T
-    source = np.concatenate([np.full((1, LANES), END_CLASS), lanes[:-1]])
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    v2 = {k: np.zeros_like(v) for k, v in w.items()}
-    w = {k: v.copy() for k, v in w.items()}
-    done, total = 0, epochs * -(-steps // SPAN)
+    count = int(np.clip(len(stream) // SPAN, 1, LANES))
+    total = epochs * -(-(-(-len(stream) // count)) // SPAN)
+    trainer = Trainer(w)
     for _ in range(epochs):
-        h = np.zeros((LANES, HIDDEN), np.float32)
-        for first in range(0, steps, SPAN):
-            x, y = source[first : first + SPAN], lanes[first : first + SPAN]
-            table_ = w["e"] @ w["x"] + w["b"]
-            kept, before, after = [], [], []
-            for t in range(len(x)):
-                h = h * (x[t] != END_CLASS)[:, None]  # a new text starts from nothing
-                before.append(h)
-                h, need = forward(w, table_, x[t], h)
-                kept.append(need)
-                after.append(h)
-            state = np.stack(after)
-            logits = state @ w["o"] + w["p"]
-            logits -= logits.max(axis=2, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=2, keepdims=True)
-            np.put_along_axis(p, y[:, :, None], np.take_along_axis(p, y[:, :, None], 2) - 1, 2)
-            p /= p.shape[0] * LANES
-            flat = p.reshape(-1, CLASSES)
-            g = {"o": state.reshape(-1, HIDDEN).T @ flat, "p": flat.sum(0), "h": np.zeros_like(w["h"])}
-            into = p @ w["o"].T
-            rows = np.zeros((CLASSES, 3 * HIDDEN), np.float32)
-            dh = np.zeros_like(h)
-            for t in range(len(x) - 1, -1, -1):
-                z, r, n, u = kept[t]
-                dh = dh + into[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (before[t] - n) * z * (1 - z)
-                dr = dn * u * r * (1 - r)
-                gate = np.concatenate([dz, dr, dn], axis=1)
-                back = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(rows, x[t], gate)
-                g["h"] += before[t].T @ back
-                dh = (dh * z + back @ w["h"].T) * (x[t] != END_CLASS)[:, None]
-            g["b"], g["x"], g["e"] = rows.sum(0), w["e"].T @ rows, rows @ w["x"].T
-            done += 1
-            now = rate * min(1.0, 2 * (1 - (done - 1) / total))
-            for k in w:
-                d = np.clip(g[k], -1, 1)
-                m[k] = 0.9 * m[k] + 0.1 * d
-                v2[k] = 0.99 * v2[k] + 0.01 * d * d
-                w[k] = w[k] - np.float32(now) * (m[k] / (1 - 0.9**done)) / (np.sqrt(v2[k] / (1 - 0.99**done)) + 1e-6)
-    return w
+        begun = trainer.done
+        trainer.feed(stream, lambda i: rate * min(1.0, 2 * (1 - (begun + i) / total)))  # noqa: B023
+    return trainer.w
 
 
 def log_likelihood(w, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -225,6 +250,36 @@ def with_ends(values: np.ndarray, first: np.ndarray, end) -> tuple[np.ndarray, n
     return np.insert(values, first[1:], end), first + np.arange(len(first))
 
 
+def averaged(docs: DataFrame, w: dict[str, np.ndarray], rate: float, streams) -> dict[str, np.ndarray]:
+    """The mean, by tokens, of what w becomes in each partition of docs; streams: from batches of texts to pieces of their classes."""
+    start = docs.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches):
+        trainer, held, size, before, seen = Trainer(start.value), [], 0, END_CLASS, 0
+        for piece in streams(batches):
+            held.append(piece)
+            size += len(piece)
+            if size >= STREAM:
+                whole = np.concatenate(held)
+                trainer.feed(whole, lambda i: rate, before)
+                held, size, before, seen = [], 0, int(whole[-1]), seen + size
+        if size:
+            trainer.feed(np.concatenate(held), lambda i: rate, before)
+            seen += size
+        if seen:
+            flat = np.concatenate([trainer.w[k].ravel() for k in sorted(trainer.w)]).astype(float)
+            yield pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "w": flat * seen, "n": float(seen)})
+
+    means = docs.mapInPandas(run, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+    if not len(means):
+        return w
+    flat, at, out = means.sort_values("i")["w"].to_numpy(), 0, {}
+    for k in sorted(w):
+        out[k] = flat[at : at + w[k].size].reshape(w[k].shape).astype(np.float32)
+        at += w[k].size
+    return out
+
+
 def learn(docs: DataFrame) -> tuple[Words, dict[str, np.ndarray], DataFrame]:
     """(words, network, all counts) of the training documents docs."""
     spark = docs.sparkSession
@@ -249,41 +304,22 @@ def learn(docs: DataFrame) -> tuple[Words, dict[str, np.ndarray], DataFrame]:
     words = Words(often["h"].to_numpy(np.int64).view(U64), often["c"].to_numpy(np.int64), top, denominator, total, distinct)
     shared = spark.sparkContext.broadcast(words)
 
-    def stream(batches):
-        parts = [np.zeros(0, np.int64)]
+    def streams(batches):
         for pdf in batches:
             raw = encode(pdf["text"])
             for a, b in chunks(raw):
                 _, k, first = read(Batch(raw[a:b], lower=True), shared.value)
-                parts.append(with_ends(k, first, END_CLASS)[0])
-        return np.concatenate(parts)
+                yield with_ends(k, first, END_CLASS)[0]
 
     def warm(batches):
-        yield pd.DataFrame({"w": [pickle.dumps(train(stream(batches), fresh(), epochs=2))]})
+        yield pd.DataFrame({"w": [pickle.dumps(train(np.concatenate([np.zeros(0, np.int64), *streams(batches)]), fresh(), epochs=2))]})
 
-    sampled = docs.filter(F.octet_length("text") <= 40_000).orderBy(F.xxhash64(F.lit(9), "doc_id", "text")).limit(WARM_DOCS).select("text")
+    sampled = docs.orderBy(F.xxhash64(F.lit(9), "doc_id", "text")).limit(WARM_DOCS).select("text")
     first = sampled.coalesce(1).mapInPandas(warm, "w binary").collect()
-    start = spark.sparkContext.broadcast(pickle.loads(first[0]["w"]) if first else fresh())
-
-    def refine(batches):
-        for pdf in batches:
-            s = stream([pdf])
-            if len(s) < LANES * SPAN:
-                continue
-            w = train(s, start.value, rate=RATE / 5)
-            flat = np.concatenate([w[k].ravel() for k in sorted(w)]).astype(float)
-            yield pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "w": flat * len(s), "n": float(len(s))})
-
-    chosen = docs.filter(F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(REFINE)) == 0)
-    means = chosen.select("text").mapInPandas(refine, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
-    w = start.value
-    if len(means):
-        flat, at = means.sort_values("i")["w"].to_numpy(), 0
-        refined = {}
-        for k in sorted(w):
-            refined[k] = flat[at : at + w[k].size].reshape(w[k].shape).astype(np.float32)
-            at += w[k].size
-        w = refined
+    w = pickle.loads(first[0]["w"]) if first else fresh()
+    fold = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(AVERAGED))
+    for i in range(AVERAGED):
+        w = averaged(docs.filter(fold == i).select("text"), w, RATE / 5 * (1 - i / AVERAGED), streams)
     return words, w, counts
 
 

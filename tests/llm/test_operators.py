@@ -152,6 +152,40 @@ def test_neighbours_recall(spark):
     assert hit >= 0.9 * n
 
 
+def test_neighbours_beside_a_large_group(spark):
+    from usagelake.llm.neighbours import RERANK, nearest
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((RERANK * 6, 16))
+    x[: RERANK * 2] = x[5000 % len(x)] + 0.05 * rng.standard_normal(16)  # copies, smaller ids than the nearest
+    q = len(x) - 1
+    x[q] = x[0] + 0.05 * rng.standard_normal(16)
+    x[q - 5 : q] = x[q] + 0.001 * rng.standard_normal((5, 16))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = rows(nearest(data, lambda i: i.isin(0, 7, q), books=1, words=16))
+    found = lambda i: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i]
+    assert set(found(q)) == {*range(q - 5, q)}
+    assert found(0) == [1, 2, 3, 4, 5] and found(7) == [0, 1, 2, 3, 4]
+
+
+def test_neighbours_recall_on_many_times_the_candidates(spark):
+    from usagelake.llm.neighbours import RERANK, nearest
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((RERANK * 20, 16))
+    x[: len(x) // 3] = x[0]
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = rows(nearest(data, lambda i: i % 200 == 0))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = n = 0
+    for q in range(0, len(x), 200):
+        s = np.round(y @ y[q], 12)
+        s[q] = -9
+        hit += len({*np.lexsort((np.arange(len(x)), -s))[:5]} & {r["vec_id"] for r in got if r["query_id"] == q})
+        n += 5
+    assert hit >= 0.95 * n
+
+
 def windows_of(text):
     w = ALNUM.findall((text or "").translate(LOWER))
     return [tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))] if w else []

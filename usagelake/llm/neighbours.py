@@ -8,7 +8,9 @@ look-ups; the best of each block of rows are merged and reranked exactly, in
 double precision, on the original vectors.
 
 Queries meet the rows in blocks: rows are encoded once and dealt into blocks,
-and each block of queries is sent to each block of rows.
+and each block of queries is sent to each block of rows.  Equal vectors are
+searched as one: it takes one place among the candidates and answers with its
+smallest ids, so copies never crowd out other vectors.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite
 components neither ask nor answer; rows with a null id take no part; equal
@@ -34,7 +36,7 @@ EVERY = 50
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 6
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 8_000
-#: Candidates of a query that are reranked exactly.
+#: Distinct vectors that are reranked exactly for a query, besides its own.
 RERANK = 400
 ROW_BLOCK, QUERY_BLOCK = 32_768, 1_024
 SCORED = 256
@@ -101,6 +103,15 @@ def valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return df.filter(F.coalesce(fine, F.lit(False))).filter(F.exists("v", lambda x: x != 0.0)).withColumn("row", F.monotonically_increasing_id())
 
 
+def distinct(known: DataFrame, most: int) -> DataFrame:
+    """(vec_id, row, v, members) of each distinct vector: its `most` smallest (vec_id, row), the first of which names it."""
+    known = known.withColumn("g", F.xxhash64("v"))
+    least = W.partitionBy("g", "v").orderBy("vec_id", "row")  # Spark keeps `most` of each before it shuffles
+    few = known.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= most)
+    few = few.groupBy("g", "v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("members"))
+    return few.select(F.col("members")[0]["vec_id"].alias("vec_id"), F.col("members")[0]["row"].alias("row"), "v", "members")
+
+
 def _matrix(column) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in column])
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -129,7 +140,8 @@ def nearest(
     known = known.filter(F.size("v") == width)
     few = few.filter(F.size("v") == width)
     shared = spark.sparkContext.broadcast(pickle.loads(few.coalesce(1).mapInPandas(learn, "books binary").first()["books"]))
-    row_blocks = -(-count // ROW_BLOCK)
+    ids = cut(distinct(known, k + 1))  # the others of a vector's copies are never among the k nearest
+    row_blocks = -(-ids.count() // ROW_BLOCK)
 
     def index(batches):
         for pdf in batches:
@@ -138,7 +150,7 @@ def nearest(
                 codes, norms = encode(_matrix(part["v"]).astype(np.float32), shared.value)
                 yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "row": part["row"].to_numpy(), "codes": [c.tobytes() for c in codes], "norm": norms})
 
-    indexed = known.mapInPandas(index, "vec_id long, row long, codes binary, norm float")
+    indexed = ids.mapInPandas(index, "vec_id long, row long, codes binary, norm float")
     indexed = indexed.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int"))
     asks = known.filter(is_query(F.col("vec_id")))
     n_asks = asks.count()
@@ -162,7 +174,6 @@ def nearest(
                 score /= norm
                 for i, (s, own, own_id) in enumerate(zip(score, left["row"].iloc[first : first + SCORED], left["vec_id"].iloc[first : first + SCORED], strict=True)):
                     best = best_of(s, ids, rerank + 1)
-                    best = best[place[best] != own][:rerank]
                     out["query"].append(np.full(len(best), own))
                     out["query_id"].append(np.full(len(best), own_id))
                     out["row"].append(place[best])
@@ -170,10 +181,9 @@ def nearest(
         return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in out.items()}).astype({"query": "int64", "query_id": "int64", "row": "int64", "approx": "float32"})
 
     found = sent.groupBy("block", "q").cogroup(coded.groupBy("block", "q")).applyInPandas(search, "query long, query_id long, row long, approx float")
-    ids = known.select("row", "vec_id", "v")
     found = found.join(ids.select("row", "vec_id"), "row")
     top = W.partitionBy("query").orderBy(F.desc("approx"), "vec_id", "row")
-    found = found.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= rerank).drop("n", "approx")
+    found = found.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= rerank + 1).drop("n", "approx")
     pairs = found.join(ids.select("row", F.col("v").alias("b")), "row").join(asks.select(F.col("row").alias("query"), F.col("v").alias("a")), "query")
 
     def exact(batches):
@@ -185,7 +195,11 @@ def nearest(
 
     scored = pairs.mapInPandas(exact, "query long, query_id long, row long, vec_id long, score double")
     order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # k + 1 vectors, the query's own perhaps among them, have k other rows
+    scored = scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).select("query", "query_id", "row", "score")
+    members = scored.join(ids.select("row", F.explode("members").alias("m")), "row").select("query", "query_id", "score", "m.vec_id", "m.row")
+    members = members.filter(F.col("row") != F.col("query"))
+    return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

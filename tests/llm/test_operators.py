@@ -186,6 +186,19 @@ def test_neighbours_recall_on_many_times_the_candidates(spark):
     assert hit >= 0.95 * n
 
 
+def test_neighbours_of_several_lengths(spark):
+    from usagelake.llm.neighbours import nearest
+
+    rng = np.random.default_rng(4)
+    x = [*rng.standard_normal((40, 8)), *rng.standard_normal((30, 12)), rng.standard_normal(20)]
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = rows(nearest(data, lambda i: i % 10 == 0))
+    for q in range(0, 71, 10):
+        alike = [i for i in range(len(x)) if i != q and len(x[i]) == len(x[q])]
+        want = sorted(alike, key=lambda i: -(x[i] @ x[q]) / np.linalg.norm(x[i]))[:5]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def windows_of(text):
     w = ALNUM.findall((text or "").translate(LOWER))
     return [tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))] if w else []

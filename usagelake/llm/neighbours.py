@@ -13,14 +13,16 @@ searched as one: it takes one place among the candidates and answers with its
 smallest ids, so copies never crowd out other vectors.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite
-components neither ask nor answer; rows with a null id take no part; equal
-vectors tie and the smaller id is nearer; repeated ids are rows of their own; an
-empty table gives an empty result.
+components neither ask nor answer; vectors are compared with those of their own
+length, each length with codebooks of its own; rows with a null id take no part;
+equal vectors tie and the smaller id is nearer; repeated ids are rows of their
+own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import pickle
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -122,23 +124,27 @@ def nearest(
     rows: DataFrame, is_query, k: int = NEAREST, rerank: int = RERANK, vec_id: str = "vec_id", vector: str = "embedding",
     books: int = BOOKS, words: int = WORDS,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row that is_query(vec_id) chooses."""
-    spark = rows.sparkSession
+    """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row that is_query(vec_id) chooses.
+
+    One search for each length that is asked for, so a table of very many lengths makes a long plan.
+    """
     known = cut(valid(rows, vec_id, vector))
-    schema = "query_id long, rank int, vec_id long, score double"
-    count = known.count()
-    if not count:
-        return spark.createDataFrame([], schema)
+    asked = known.filter(is_query(F.col("vec_id"))).select(F.size("v").alias("n")).distinct().orderBy("n").collect()
+    found = [nearest_alike(known.filter(F.size("v") == r["n"]), is_query, k, rerank, books, words) for r in asked]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)
+
+
+def nearest_alike(known: DataFrame, is_query, k: int, rerank: int, books: int, words: int) -> DataFrame:
+    """nearest() of the rows (vec_id, row, v), whose vectors have one length."""
+    spark = known.sparkSession
     few = known.select("v").orderBy(F.xxhash64("vec_id", "row")).limit(SAMPLE)
-    width = known.agg(F.max(F.size("v"))).first()[0]
 
     def learn(batches):
         x = _matrix(pd.concat([*batches])["v"])
         yield pd.DataFrame({"books": [pickle.dumps(fit_books(x, books, words, ROUNDS))]})
 
-    # vectors of another length than the longest cannot be compared with it and are left out
-    known = known.filter(F.size("v") == width)
-    few = few.filter(F.size("v") == width)
     shared = spark.sparkContext.broadcast(pickle.loads(few.coalesce(1).mapInPandas(learn, "books binary").first()["books"]))
     ids = cut(distinct(known, k + 1))  # the others of a vector's copies are never among the k nearest
     row_blocks = -(-ids.count() // ROW_BLOCK)

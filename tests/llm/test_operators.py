@@ -339,22 +339,80 @@ def test_suffix_dedup(spark, docs_dir, docs_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("hot, most", [(0, 10**9), (10**9, 0), (0, 0)])
-def test_repeats_of_frequent_keys(spark, docs_dir, docs_rows, monkeypatch, hot, most):
-    """Keys that are aggregated and joined, and contexts settled by window hashes, give the same result."""
-    from usagelake.llm import repeats, substring_dedup, suffix_dedup
-    from usagelake.llm.repeats import every_document, identified
+def marks_of(rows):
+    """later, again and open of sorted (hk, hc, id, place, doc) rows, by definition."""
+    out = []
+    for r in rows:
+        alike = [x for x in rows if x[:2] == r[:2]]
+        least = min((x[2], x[3] >> 8) for x in alike)
+        mixed = any(x[0] == r[0] and x[1] != r[1] for x in rows)
+        out.append(((r[2], r[3] >> 8) > least, len(alike) > 1, r == min(alike) and mixed))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_pieces_are_judged_alike_however_they_are_dealt(spark, parts):
+    from usagelake.llm.repeats import ROWS, settled
+
+    rng = np.random.default_rng(parts)
+    rows = {(int(k), int(k * 10 + c), int(i), int(f) << 8 | 1, 100 + n) for n, (k, c, i, f) in enumerate(rng.integers([0, 0, 0, 0], [9, 3, 6, 5], (160, 4)))}
+    rows |= {(20, 200, i, 256, 0) for i in range(90)} | {(21, 210 + i % 2, 0, 256, i) for i in range(60)} | {(30 + i, 0, i, 0, 0) for i in range(20)}
+    rows = sorted(rows)
+    want = {(r[2], r[4], r[3], r[0]): m for r, m in zip(rows, marks_of(rows), strict=True)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        data = spark.createDataFrame([(r[0], r[1], r[2], r[4], r[3]) for r in rows], ROWS)
+        got = settled(data).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    found = defaultdict(lambda: [False] * 3)
+    for r in got:
+        k = (r["id"], r["doc"], r["place"], r["hk"])
+        found[k] = [a or b for a, b in zip(found[k], (r["later"], r["again"], r["open"]), strict=True)]
+    assert all(tuple(found[k][:2]) == m[:2] and (found[k][2] or not m[2]) for k, m in want.items())
+    assert sum(v[2] for v in found.values()) <= sum(m[2] for m in want.values()) + 2 * parts  # edges count as open
+
 
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("part, suffixes", [(1, 200_000), (3, 50), (10**9, 50)])
+def test_suffix_dedup_in_parts(spark, docs_dir, docs_rows, monkeypatch, part, suffixes):
+    """Keys dealt out to parts, and groups sorted a few suffixes at a time, give the same result; so does a level less."""
+    from usagelake.llm import suffix_dedup
+    from usagelake.llm.repeats import every_document, firsts, identified
+
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES", suffixes)
     docs = identified(spark.read.parquet(f"{docs_dir}/documents.parquet"))
-    found = suffix_dedup.repeated_bytes(docs, most=most)
-    done = suffix_dedup._strip(every_document(docs, found), 200)
+    done = suffix_dedup._strip(every_document(docs, suffix_dedup.repeated_bytes(firsts(docs), levels=(32,), part=part)), 200)
     want = Counter((r[0], *b[:3]) for r, b in zip(docs_rows, brute_bytes([r[1] for r in docs_rows]), strict=True))
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in done.collect()) == want
-    if hot == 0 and most:
-        normal = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in QUERIES["op6_substring_dedup"](spark, docs_dir).collect())
-        monkeypatch.setattr(repeats, "HOT", 20_000)
-        assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_substrings(spark.read.parquet(f"{docs_dir}/documents.parquet")).collect()) == normal
+
+
+def test_suffixes_that_collide_are_told_apart():
+    from usagelake.llm.suffix_dedup import Suffixes
+
+    texts = [b"abcd" * 5, b"abce" * 5, b"abcd" * 5, b"xbce" * 5]
+    s = Suffixes(np.frombuffer(b"".join(texts), np.uint8), 20)
+    s.common = lambda a, b: np.full(len(a), 20)  # every hash collides
+    again, lead = s.repeated(np.arange(4) * 20, np.zeros(4, int))
+    assert again.tolist() == [True, False, True, False] and lead.tolist() == [True, True, False, True]
+
+
+@pytest.mark.parametrize("name", ["dedup_substrings", "dedup_bytes"])
+def test_repeats_keep_large_ids(spark, name):
+    from usagelake.llm import substring_dedup, suffix_dedup
+
+    f = getattr(substring_dedup, name, None) or getattr(suffix_dedup, name)
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{x}" for x in rng.integers(1000, size=90))
+    data = [(2**60 + 1, text), (None, "x " + text), (2**60 + 3, "y " + text), (None, None), (7, "short")]
+    got = Counter((r["doc_id"], r["n_removed"] > 0) for r in f(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect())
+    first = name == "dedup_bytes"
+    assert got == Counter([(2**60 + 1, first), (None, True), (2**60 + 3, True), (None, False), (7, False)])
+    with pytest.raises(TypeError):
+        f(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_suffix_sort():

@@ -4,12 +4,13 @@ Windows of 20 words that start earlier too are removed.  Levels look at runs of
 5, 10 and 20 words: windows repeated at one length alone are extended to twice
 that length, until none are left or the windows themselves are compared.  At
 each level a window stands for the least of the runs it holds, so neighbouring
-windows share a row; pieces that agree in all their words are settled at once,
-the others go on (see repeats.py).
+windows share a row; pieces that agree in the digest of all their words are
+settled at once, the others go on (see repeats.py).
 
 Defined results: null and empty texts have no words and keep the empty string;
 texts with fewer words than a window are kept; of two rows with one id neither
-starts earlier at the same place; other columns play no part.
+starts earlier at the same place; a null id is the largest; ids that are no
+integers are refused; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, table
-from .repeats import HOT_SAMPLE, covered, every_document, hot_keys, identified, pieces, resolved, with_places
+from .repeats import covered, doc_id, every_document, firsts, identified, pieces, settled, with_places
 from .text import Batch, chunks, encode
 
 WINDOW = 20
@@ -28,19 +29,14 @@ LEVELS = (5, 10, 20)
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, levels=LEVELS) -> DataFrame:
-    """(id, place): packed places of windows that start earlier too. docs: see identified()."""
+    """(id, doc, place): packed places of windows that start earlier too. docs: (id, doc, text), each text once."""
     found, some = None, docs
     for gram in levels:
-        sample = some.filter(F.pmod(F.xxhash64("id", "tag"), F.lit(HOT_SAMPLE)) == 0)
-        hot = hot_keys(pieces(sample, "word", window, gram))
-        level = cut(resolved(pieces(some, "word", window, gram), hot).select("id", "place", "first", "mixed"))
-        earliest = (F.col("first.id") == F.col("id")) & (F.col("first.place") == F.col("place"))
-        later = level.filter(~earliest).select("id", "place")
+        level = cut(settled(pieces(some, "word", window, gram)))
+        later = level.filter("later").select("id", "doc", "place")
         found = later if found is None else found.unionByName(later)
-        if gram == window:
-            break
-        open_ = level.filter(earliest & F.col("mixed")).select("id", "place").distinct()
-        some = with_places(docs, open_)
+        if gram != window:
+            some = with_places(docs, level.filter("open"))
     return found
 
 
@@ -54,28 +50,26 @@ def _strip(docs: DataFrame, window: int) -> DataFrame:
                 rows = []
                 for i in range(b - a):
                     lo, hi = first[i], first[i + 1]
-                    s, e = covered(pdf["places"].iloc[a + i], window, hi - lo)
-                    cut_words = int((e - s).sum())
-                    text = raw[a + i]
-                    if cut_words:
-                        keep = np.ones(hi - lo + 1, np.int64)
-                        for x, y in zip(s, e, strict=True):
-                            keep[x:y] = 0
-                        left = np.flatnonzero(keep[:-1]) + lo
-                        off = batch.at[i]
-                        text = b" ".join(text[start[w] - off : end[w] - off] for w in left)
-                    else:
-                        text = b" ".join(text[x:y] for x, y in zip(start[lo:hi] - batch.at[i], end[lo:hi] - batch.at[i], strict=True))
-                    rows.append((pdf["doc_id"].iloc[a + i], hi - lo, cut_words, text.decode("utf-8", "surrogatepass")))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"n_words": "int64", "n_removed": "int64"})
+                    text, off, n = raw[a + i], batch.at[i], hi - lo
+                    keep = np.ones(n, bool)
+                    if pdf["gone"].iloc[a + i] and n >= window:
+                        keep[:] = False
+                    for x, y in zip(*covered(pdf["places"].iloc[a + i], window, n), strict=True):
+                        keep[x:y] = False
+                    left = np.flatnonzero(keep) + lo
+                    kept = b" ".join([text[x:y] for x, y in zip((start[left] - off).tolist(), (end[left] - off).tolist(), strict=True)])
+                    rows.append((pdf["id"].iloc[a + i], pdf["lost"].iloc[a + i], n, n - len(left), kept.decode("utf-8", "surrogatepass")))
+                yield pd.DataFrame(rows, columns=["id", "lost", "n_words", "n_removed", "kept"]).astype({"n_words": "int64", "n_removed": "int64"})
 
-    return docs.select("doc_id", "text", "places").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
+    gone = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False)).alias("gone")
+    stripped = docs.select("id", "lost", "text", "places", gone).mapInPandas(run, "id long, lost boolean, n_words long, n_removed long, kept string")
+    return stripped.select(doc_id(), "n_words", "n_removed", "kept")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, levels=LEVELS) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that are left, joined by spaces."""
     known = identified(docs)
-    return _strip(every_document(known, repeated_words(known, window, levels)), window)
+    return _strip(every_document(known, repeated_words(firsts(known), window, levels)), window)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,18 @@ comparison takes a logarithm of the string's length, and mergesort orders the
 suffixes; neighbours whose extension reaches 200 bytes are verified byte by
 byte.
 
-Suffixes that cannot repeat are set aside first: a window stands for the least
-of the 32-byte grams it holds, pieces of windows are compared by key and
-context (see repeats.py), and what stays open at 32 and then 176 bytes is
-sorted, key by key.  A key with very many open contexts is settled by window
-hashes, counted in parts, instead of meeting in one task.
+Suffixes whose outcome is plain without a sort are set aside first: a window
+stands for the least of the 32-byte grams it holds, and pieces of windows are
+compared by that key and by a cryptographic digest of all their bytes (see
+repeats.py).  A piece whose key is met nowhere else cannot repeat, one whose
+bytes are met again repeats as a whole; what stays open at 32 and then 176 bytes
+is sorted, key by key.  A key with very many open contexts is dealt out by
+window hashes modulo a number of parts, and each part is sorted by itself, a
+bounded number of suffixes at a time.
 
 Defined results: null and empty texts have no bytes and keep the empty string;
-shorter texts than a window are kept; equal rows count as two places; other
-columns play no part.
+shorter texts than a window are kept; equal rows count as two places; ids that
+are no integers are refused; other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,15 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, sized, table
-from .repeats import (
-    HOT_SAMPLE, count_of, covered, every_document, first_of, hot_keys, identified, pack, pieces, resolved, with_places,
-)
+from .repeats import count_of, covered, doc_id, every_document, first_of, firsts, identified, pack, pieces, settled, with_places
 from .text import _BYTES, _INVERSE, Batch, chunks, encode, powers, prefix_of, window_hashes
 
 WINDOW = 200
 LEVELS = (32, 176)
-#: Contexts of one key that are sorted in one task; keys with more are settled by window hashes.
-SORTED = 2_000
+#: Open contexts of one key in a part, on average; keys with more are dealt out to several parts.
+PART = 2_000
 #: Suffixes that one vectorised sort takes.
 SUFFIXES = 200_000
 
@@ -100,121 +101,157 @@ class Suffixes:
             width *= 2
         return order
 
-    def repeated(self, start: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Whether each suffix's first `limit` bytes are those of another one of its group."""
+    def repeated(self, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each suffix's first `limit` bytes are those of another one of its group, and whether it is the first with its bytes."""
         order = self.sort(start, group)
         a, b = order[:-1], order[1:]
-        near = np.flatnonzero(group[a] == group[b])
-        near = near[self.common(start[a[near]], start[b[near]]) >= self.limit]
-        out = np.zeros(len(start), bool)
+        alike = group[a] == group[b]
+        near = np.flatnonzero(alike)
+        alike[near] = self.common(start[a[near]], start[b[near]]) >= self.limit
+        near = np.flatnonzero(alike)
+        out, lead, doubt = np.zeros(len(start), bool), np.ones(len(start), bool), np.zeros(len(near), bool)
         step = np.arange(self.limit)
         for i in range(0, len(near), 10_000):  # equal hashes are no proof
             k = near[i : i + 10_000]
             same = (self.data[start[a[k]][:, None] + step] == self.data[start[b[k]][:, None] + step]).all(axis=1)
             out[a[k[same]]] = out[b[k[same]]] = True
-        return out
-
-
-def contexts(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(hk, id, place, own): the bytes under each packed place of docs."""
+            lead[b[k[same]]] = False
+            doubt[i : i + 10_000] = ~same
+        run = np.concatenate([[0], np.cumsum(~alike)])
+        for r in np.unique(run[near[doubt]]):  # suffixes that collide are told apart by their bytes
+            met: dict[bytes, int] = {}
+            for x in order[np.searchsorted(run, r) : np.searchsorted(run, r, side="right")].tolist():
+                own = self.data[start[x] : start[x] + self.limit].tobytes()
+                lead[x] = own not in met
+                if own in met:
+                    out[x] = out[met[own]] = True
+                met.setdefault(own, x)
+        return out, lead
+
+
+def contexts(docs: DataFrame, window: int) -> DataFrame:
+    """(hk, part, parts, id, doc, place, own): the bytes under each packed place of docs, once for each part that its windows fall in.
+
+    docs: (id, doc, text, places, hk, parts), the last three arrays of one length.
+    """
 
     def run(batches):
         for pdf in batches:
-            raw = encode(pdf["text"])
-            for a, b in chunks(raw):
-                batch = Batch(raw[a:b])
-                pre = prefix_of(_BYTES[batch.data])
-                rows = []
-                for i in range(b - a):
-                    for p in np.unique(pdf["places"].iloc[a + i]):
-                        f, n = int(first_of(p)), int(count_of(p))
-                        at = batch.at[i] + f + np.arange(window - gram + 1)
-                        key = window_hashes(pre, at, at + gram).min()
-                        rows.append((int(key.view(np.int64)), pdf["id"].iloc[a + i], int(p), raw[a + i][f : f + n - 1 + window]))
-                yield pd.DataFrame(rows, columns=["hk", "id", "place", "own"])
-
-    return docs.select("id", "text", "places").mapInPandas(run, "hk long, id long, place long, own binary")
+            out = []
+            for text, places, keys, parts, i, d in zip(encode(pdf["text"]), pdf["places"], pdf["hk"], pdf["parts"], pdf["id"], pdf["doc"], strict=True):
+                pre = prefix_of(_BYTES[np.frombuffer(text, np.uint8)]) if max(parts) > 1 else None
+                for p, k, n in zip(places.tolist(), keys.tolist(), parts.tolist(), strict=True):
+                    f, c = first_of(p), count_of(p)
+                    at = np.arange(f, f + c)
+                    every = [0] if n == 1 else np.unique(window_hashes(pre, at, at + window) % np.uint64(n)).tolist()
+                    out += [(k, q, n, i, d, p, text[f : f + c - 1 + window]) for q in every]
+            yield pd.DataFrame(out, columns=["hk", "part", "parts", "id", "doc", "place", "own"])
+
+    return docs.mapInPandas(run, "hk long, part int, parts int, id long, doc long, place long, own binary")
+
+
+def settle(rows: pd.DataFrame, window: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(repeats, distinct windows of the last group) of whole rows of contexts(), in order of (hk, part)."""
+    own = [np.frombuffer(x, np.uint8) for x in rows["own"]]
+    size = np.array([len(x) for x in own])
+    at = np.cumsum(size) - size
+    number = size - window + 1
+    ctx = np.repeat(np.arange(len(own)), number)
+    offset = np.arange(len(ctx)) - np.repeat(np.cumsum(number) - number, number)
+    suffixes = Suffixes(np.concatenate(own), window)
+    start = at[ctx] + offset
+    parts = rows["parts"].to_numpy()
+    if parts.max() > 1:
+        mine = window_hashes(suffixes.pre, start, start + window) % parts[ctx].astype(np.uint64) == rows["part"].to_numpy()[ctx].astype(np.uint64)
+        ctx, offset, start = ctx[mine], offset[mine], start[mine]
+    change = (rows["hk"].to_numpy()[1:] != rows["hk"].to_numpy()[:-1]) | (rows["part"].to_numpy()[1:] != rows["part"].to_numpy()[:-1])
+    group = np.concatenate([[0], np.cumsum(change)])
+    again, lead = suffixes.repeated(start, group[ctx])
+    hit = np.flatnonzero(again)
+    new = np.ones(len(hit), bool)
+    new[1:] = (ctx[hit[1:]] != ctx[hit[:-1]]) | (offset[hit[1:]] != offset[hit[:-1]] + 1)
+    count = np.diff(np.append(np.flatnonzero(new), len(hit)))
+    c, o = ctx[hit[new]], offset[hit[new]]
+    row = lambda c, o, n: pd.DataFrame({
+        "id": rows["id"].to_numpy()[c], "doc": rows["doc"].to_numpy()[c], "place": pack(first_of(rows["place"].to_numpy()[c]) + o, n),
+    })
+    keep = lead & (group[ctx] == group[-1])
+    c2, o2 = ctx[keep], offset[keep]
+    rest = row(c2, o2, np.ones(len(c2), np.int64)).assign(**{k: rows[k].to_numpy()[c2] for k in ("hk", "part", "parts")})
+    rest["own"] = [rows["own"].iloc[x][y : y + window] for x, y in zip(c2.tolist(), o2.tolist(), strict=True)]
+    return row(c, o, count), rest[rows.columns]
 
 
 def sorted_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """(id, place): packed places of the windows that repeat among the contexts of their key."""
-
-    def settle(part: pd.DataFrame):
-        own = [np.frombuffer(x, np.uint8) for x in part["own"]]
-        size = np.array([len(x) for x in own])
-        at = np.cumsum(size) - size
-        number = size - window + 1
-        ctx = np.repeat(np.arange(len(own)), number)
-        offset = np.arange(len(ctx)) - np.repeat(np.cumsum(number) - number, number)
-        group = pd.factorize(part["hk"])[0][ctx]
-        hit = np.flatnonzero(Suffixes(np.concatenate(own), window).repeated(at[ctx] + offset, group))
-        if not len(hit):
-            return pd.DataFrame({"id": [], "place": []}, dtype="int64")
-        new = np.concatenate([[True], (ctx[hit[1:]] != ctx[hit[:-1]]) | (offset[hit[1:]] != offset[hit[:-1]] + 1)])
-        count = np.diff(np.concatenate([np.flatnonzero(new), [len(hit)]]))
-        c, o = ctx[hit[new]], offset[hit[new]]
-        place = part["place"].to_numpy()[c]
-        return pd.DataFrame({"id": part["id"].to_numpy()[c], "place": pack(first_of(place) + o, count, place & 0xFFFFFF)})
+    """(id, doc, place): packed places of the windows that repeat among the contexts of their key and part.
+
+    About SUFFIXES windows are sorted at a time; of a group that goes on, each
+    distinct window so far is sorted again with what follows.
+    """
 
     def run(batches):
-        rest = None
+        held = None
+
+        def done(pdf):
+            nonlocal held
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = None
+            found, rest = settle(pdf, window)
+            return found, rest
+
+        wait, size = [], 0
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            key = pdf["hk"].to_numpy()
-            whole = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-            rest, pdf, key = pdf[whole:], pdf[:whole], key[:whole]
-            number = np.cumsum([len(x) - window + 1 for x in pdf["own"]])
-            first = 0
-            while first < whole:  # whole keys, about SUFFIXES at a time
-                base = number[first - 1] if first else 0
-                last = min(int(np.searchsorted(number, base + SUFFIXES)) + 1, whole)
-                last = int(np.searchsorted(key, key[last - 1], side="right"))
-                yield settle(pdf[first:last].reset_index(drop=True))
-                first = last
-        if rest is not None and len(rest):
-            yield settle(rest.reset_index(drop=True))
-
-    return rows.repartition("hk").sortWithinPartitions("hk").mapInPandas(run, "id long, place long")
-
-
-def repeated_bytes(docs: DataFrame, window: int = WINDOW, levels=LEVELS, most: int = SORTED) -> DataFrame:
-    """(id, place): packed places of windows that also start elsewhere. docs: see identified()."""
+            for first in range(0, len(pdf), 4096):
+                piece = pdf[first : first + 4096]
+                wait.append(piece)
+                size += int(piece["own"].map(len).sum()) - len(piece) * (window - 1)
+                if size >= SUFFIXES:
+                    found, held = done(pd.concat(wait, ignore_index=True))
+                    wait, size = [], 0
+                    yield found
+        if wait:
+            yield done(pd.concat(wait, ignore_index=True))[0]
+
+    return rows.repartition("hk", "part").sortWithinPartitions("hk", "part").mapInPandas(run, "id long, doc long, place long")
+
+
+def repeated_bytes(docs: DataFrame, window: int = WINDOW, levels=LEVELS, part: int = PART) -> DataFrame:
+    """(id, doc, place): packed places of windows that also start elsewhere. docs: (id, doc, text), each text once."""
     found, some = None, docs
     for gram in levels:
-        sample = some.filter(F.pmod(F.xxhash64("id", "tag"), F.lit(HOT_SAMPLE)) == 0)
-        hot = hot_keys(pieces(sample, "byte", window, gram))
-        level = cut(resolved(pieces(some, "byte", window, gram), hot).select("hk", "id", "place", "n", "first", "mixed"))
-        again = level.filter("n > 1").select("id", "place")
+        level = cut(settled(pieces(some, "byte", window, gram)))
+        again = level.filter("again").select("id", "doc", "place")
         found = again if found is None else found.unionByName(again)
-        open_ = cut(level.filter((F.col("first.id") == F.col("id")) & (F.col("first.place") == F.col("place")) & F.col("mixed")).select("hk", "id", "place").distinct())
-        some = with_places(docs, open_) if gram != levels[-1] else docs
-    many = cut(open_.groupBy("hk").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("hk"))
-    few = open_.join(sized(many), "hk", "left_anti")
-    found = found.unionByName(sorted_repeats(contexts(with_places(docs, few), window, levels[-1]), window))
-    crowd = with_places(docs, open_.join(sized(many), "hk", "left_semi"))
-    single = pieces(crowd, "byte", window, window)
-    twice = cut(single.groupBy("hk").agg(F.count("*").alias("n")).filter("n > 1").select("hk"))
-    return found.unionByName(single.join(twice, "hk", "left_semi").select("id", "place"))
+        open_ = level.filter("open").select("id", "doc", "place", "hk").distinct()
+        if gram != levels[-1]:
+            some = with_places(docs, open_)
+    many = cut(open_.groupBy("hk").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("parts > 1"))
+    open_ = open_.join(sized(many), "hk", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return found.unionByName(sorted_repeats(contexts(with_places(docs, open_, "hk", "parts"), window), window))
 
 
 def _strip(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc, raw, places in zip(pdf["doc_id"], encode(pdf["text"]), pdf["places"], strict=True):
+            for i, lost, raw, places, twice in zip(pdf["id"], pdf["lost"], encode(pdf["text"]), pdf["places"], pdf["twice"], strict=True):
                 s, e = covered(places, window, len(raw))
+                if twice and len(raw) >= window:
+                    s, e = np.zeros(1, np.int64), np.array([len(raw)])
                 at = [0, *np.stack([s, e], 1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[x:y] for x, y in zip(at[::2], at[1::2], strict=True)) if len(s) else raw
-                rows.append((doc, len(raw), len(raw) - len(kept), len(s), kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((i, lost, len(raw), len(raw) - len(kept), len(s), kept))
+            yield pd.DataFrame(rows, columns=["id", "lost", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return docs.select("doc_id", "text", "places").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    twice = F.col("copies").isNotNull().alias("twice")
+    stripped = docs.select("id", "lost", "text", "places", twice).mapInPandas(run, "id long, lost boolean, n_bytes long, n_removed long, n_spans long, kept binary")
+    return stripped.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, levels=LEVELS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that are left."""
     known = identified(docs)
-    return _strip(every_document(known, repeated_bytes(known, window, levels)), window)
+    return _strip(every_document(known, repeated_bytes(firsts(known), window, levels)), window)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

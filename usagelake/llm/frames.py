@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 #: Words, as a Java pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast after they have been counted.
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; unset, a folder of its own in local mode, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             folder = jsc.getCheckpointDir().get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             folder = tempfile.mkdtemp(prefix="usagelake-")
             spark.sparkContext.setCheckpointDir(folder)

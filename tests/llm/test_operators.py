@@ -78,13 +78,76 @@ def test_language_model_is_better_than_counts(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def small_words(lm, seed=3):
+    rng = np.random.default_rng(seed)
+    h = np.sort(rng.integers(1, 2**63, 200).astype(np.uint64))
+    c = np.sort(rng.integers(1, 900, 200))[::-1]
+    return lm.Words(h, c, h[:150], c[:150].astype(float), np.full(lm.ENDINGS, 2.0), int(c.sum()), 200)
+
+
 def test_language_model_sums_to_one():
     from usagelake.llm import language_model as lm
 
+    w, words = lm.fresh(), small_words(lm)
+    for first in (0, 70, lm.VOCABULARY + 4):
+        at = np.arange(0, 2 * lm.TOKENS + 1, 2)
+        both = lm.log_likelihood(w, words, np.stack([np.full(lm.TOKENS, first), np.arange(lm.TOKENS)], 1).ravel(), at)
+        assert math.isclose(sum(10**x for x in both), 10 ** lm.log_likelihood(w, words, np.array([first]), np.array([0, 1]))[0], rel_tol=1e-4)
+
+
+def test_language_model_scores_like_one_token_at_a_time(monkeypatch):
+    from usagelake.llm import language_model as lm
+
+    monkeypatch.setattr(lm, "SCORED", 37)
+    w, words, rng = lm.fresh(), small_words(lm), np.random.default_rng(4)
+    w = {k: v.astype(float) for k, v in w.items()}
+    texts = [rng.integers(lm.TOKENS, size=n) for n in (1, 40, 3, 3, 90, 17)]
+    got = lm.log_likelihood({k: v.astype(np.float32) for k, v in w.items()}, words, np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    sig, norm = lambda x: 1 / (1 + np.exp(-x)), lambda x: np.exp(x) / np.exp(x).sum()
+    for text, mine in zip(texts, got, strict=True):
+        h, now, total, n = np.zeros(lm.HIDDEN), lm.END_TOKEN, 0.0, lm.HIDDEN
+        for t in text:
+            g, u = w["e"][now] @ w["x"] + w["b"], h @ w["h"]
+            z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(g[2 * n :] + r * u[2 * n :])
+            h = (1 - z) * new + z * h
+            k = words.class_of[t]
+            total += math.log10(norm(h @ w["o"] + w["p"])[k])
+            if t < lm.VOCABULARY:
+                a, b = words.bounds[k], words.bounds[k + 1]
+                total += math.log10(norm(w["m"][a:b] @ h + w["q"][a:b])[t - a])
+            now = t
+        assert math.isclose(total, mine, rel_tol=1e-4)
+
+
+def test_language_model_gradient():
+    """One update moves each weight against the numerical gradient of the span's loss."""
+    from usagelake.llm import language_model as lm
+
+    words, rng = small_words(lm), np.random.default_rng(6)
+    stream = rng.integers(150, size=12)
+    stream[5] = lm.END_TOKEN
     w = lm.fresh()
-    each = [lm.log_likelihood(w, np.array([a, b]), np.array([0, 2]))[0] for a in range(0, lm.CLASSES, 7) for b in range(lm.CLASSES)]
-    first = [lm.log_likelihood(w, np.array([a]), np.array([0, 1]))[0] for a in range(0, lm.CLASSES, 7)]
-    assert math.isclose(sum(10**x for x in each), sum(10**x for x in first), rel_tol=1e-4)
+    t = lm.Trainer(w, words)
+    t.feed(stream, lambda i: 0.0)
+
+    def loss(w):
+        return -lm.log_likelihood(w, words, stream, np.array([0, 6, 12])).sum() * math.log(10) / len(stream)
+
+    for k in w:
+        at = np.unravel_index(np.argmax(np.abs(t.m[k])), w[k].shape)  # the first moment is a tenth of the gradient
+        up, down = {**w, k: w[k].copy()}, {**w, k: w[k].copy()}
+        up[k][at] += 0.02
+        down[k][at] -= 0.02
+        assert math.isclose((loss(up) - loss(down)) / 0.04, 10 * t.m[k][at], rel_tol=0.05), k
+
+
+def test_language_model_keeps_large_ids(spark):
+    from usagelake.llm import language_model as lm
+
+    docs = spark.createDataFrame([(2**60 + 1, "a b"), (None, "c"), (5, None)], "doc_id long, text string").coalesce(1)
+    got = lm.score(docs, *lm.learn(docs))
+    assert {r["doc_id"] for r in got.collect()} == {2**60 + 1, None, 5}
 
 
 def test_language_model_trains_on_every_document(spark, monkeypatch):
@@ -110,10 +173,10 @@ def test_language_model_trains_on_all_of_a_stream():
 
     rng = np.random.default_rng(2)
     for n in (1, 5, 31, 97, 2000):
-        stream = rng.integers(lm.CLASSES, size=n)
+        stream = rng.integers(lm.TOKENS, size=n)
         other = stream.copy()
-        other[-1] = (other[-1] + 1) % lm.CLASSES
-        assert (lm.train(stream, lm.fresh())["p"] != lm.train(other, lm.fresh())["p"]).any()
+        other[-1] = (other[-1] + 700) % lm.TOKENS
+        assert (lm.train(stream, lm.fresh(), small_words(lm))["p"] != lm.train(other, lm.fresh(), small_words(lm))["p"]).any()
 
 
 def test_neighbours(spark, folder):

@@ -1,63 +1,72 @@
 """Scoring whole documents with a gated recurrent language model.
 
-Words fall into classes: the most frequent words are classes of their own, the
-others are classed by their ending.  A gated recurrent network reads classes and
-predicts the next one; a word's probability is its class's times its share of
-the class by counts over all training documents, so the softmax runs over
-classes alone.  The network is trained by truncated backpropagation in numpy,
-first on a small sample and then, from there, on every training document: in
-each of a few rounds all partitions train on their share of the documents, and
-Spark averages their weights, with which the next round begins.  Scoring carries
-the state through the whole text, however long.
+The network reads words and predicts the next one by a class-factored softmax:
+first the class, then the word within its class.  The VOCABULARY most frequent
+words fall into classes of about equal weight by frequency, and the softmax
+within a class is learned.  All other words are classed, and read, by their
+ending; within such a class a word's share comes from counts over all training
+documents, so that every word has a probability.
+
+The network is trained by truncated backpropagation in numpy, first on a small
+sample and then, from there, on every training document: in each of a few rounds
+all partitions train on their share of the documents, and Spark averages their
+weights, with which the next round begins (so the weights depend on how the
+documents are partitioned; the counts do not).  Scoring carries the state
+through the whole text, however long.
 
 Counts cover every training document.  Counts of frequent words are broadcast
 (at most FREQUENT of them); the rest of each text's words meet their counts in a
 join.  Words are told apart by 64-bit hashes.
 
 Defined results: a null or empty text is one end token; a null id belongs to the
-training fold; without training documents each token has probability one for
-the base; rows are scored one by one; other columns play no part.
+training fold; ids that are no integers are refused; without training documents
+each token has probability one for the base; rows are scored one by one; other
+columns play no part.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .frames import crc_mod, cut, table
 from .text import U64, Batch, chunks, encode, mix
 
-#: Words with a class of their own, classes by ending, and the end.
-TOP, ENDINGS = 64, 31
-CLASSES = TOP + ENDINGS + 1
-END_CLASS = CLASSES - 1
+#: Words that the network knows by themselves, their classes; classes by ending; the end has a class and a token of its own.
+VOCABULARY, GROUPS, ENDINGS = 1536, 48, 31
+CLASSES = GROUPS + ENDINGS + 1
+TOKENS = VOCABULARY + ENDINGS + 1
+END_TOKEN = TOKENS - 1
 END = 0x1234_5678_9ABC_DEF1
 EMBED, HIDDEN = 16, 24
 #: Words whose counts may be broadcast.
 FREQUENT = 500_000
 #: Training documents of the first fit; rounds that all training documents are dealt to, each document to one.
 WARM_DOCS, AVERAGED = 800, 4
-LANES, SPAN, RATE = 48, 32, 0.01
+LANES, SPAN, RATE = 192, 32, 0.01
 #: Tokens that a training task holds before it trains on them.
-STREAM = LANES * SPAN * 128
-#: Distinct words that a counting task holds before it hands them on.
-HELD = 2_000_000
+STREAM = LANES * SPAN * 40
+#: Distinct words that a counting task holds before it hands them on; tasks that add up weights; states that are scored at once.
+HELD, ADDERS, SCORED = 2_000_000, 16, 32_768
 
 
 def ending(batch: Batch, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Class of each word by its last three bytes, for words without a class of their own."""
+    """Kind of ending of each word, by its last three bytes."""
     last = batch.data[end - 1].astype(U64)
     second = np.where(end - start > 1, batch.data[np.maximum(end - 2, 0)], 0).astype(U64)
     third = np.where(end - start > 2, batch.data[np.maximum(end - 3, 0)], 0).astype(U64)
-    return TOP + (mix(last | (second << U64(8)) | (third << U64(16))) % U64(ENDINGS)).astype(np.int64)
+    return (mix(last | (second << U64(8)) | (third << U64(16))) % U64(ENDINGS)).astype(np.int64)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(h, class, c) of the words of docs, ends included."""
+    """(h, kind of ending, c) of the words of docs, ends included."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -69,7 +78,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             return h, k[first], np.bincount(back, c).astype(np.int64)
 
         def frame(h, k, c):
-            return pd.DataFrame({"h": h.view(np.int64), "class": k.astype(np.int32), "c": c})
+            return pd.DataFrame({"h": h.view(np.int64), "kind": k.astype(np.int32), "c": c})
 
         for pdf in batches:
             raw = encode(pdf["text"])
@@ -85,29 +94,33 @@ def count_words(docs: DataFrame) -> DataFrame:
                     if size > HELD // 2:
                         yield frame(*held[0])
                         held, size = [], 0
-            yield frame(np.array([END], U64), np.array([END_CLASS]), np.array([len(pdf)]))
+            yield frame(np.array([END], U64), np.array([ENDINGS]), np.array([len(pdf)]))
         if held:
             yield frame(*hand_on())
 
-    return docs.select("text").mapInPandas(run, "h long, class int, c long").groupBy("h").agg(F.max("class").alias("class"), F.sum("c").alias("c"))
+    return docs.select("text").mapInPandas(run, "h long, kind int, c long").groupBy("h").agg(F.max("kind").alias("kind"), F.sum("c").alias("c"))
 
 
 class Words:
-    """Frequent words' counts, the classes' denominators, and the words with a class of their own."""
+    """Frequent words' counts, the vocabulary in order of frequency with its classes, and what the endings' shares are divided by."""
 
-    def __init__(self, h, c, top, denominator, total, distinct):
+    def __init__(self, h, c, vocabulary, frequency, denominator, total, distinct):
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
-        own = np.argsort(top)
-        self.top, self.top_class = top[own], own
-        self.denominator = denominator  # log10 of each class's
+        self.token = np.argsort(vocabulary)
+        self.vocabulary = vocabulary[self.token]
+        self.denominator = denominator  # log10, of each ending's
         self.total, self.distinct = total, distinct
+        weight = np.sqrt(np.concatenate([frequency, np.ones(VOCABULARY - len(frequency))]))
+        group = np.minimum((np.cumsum(weight) - weight) * GROUPS // weight.sum(), GROUPS - 1).astype(np.int64)
+        self.class_of = np.concatenate([group, np.arange(GROUPS, CLASSES)])
+        self.bounds = np.searchsorted(group, np.arange(GROUPS + 1))
 
-    def classes(self, h: np.ndarray, by_ending: np.ndarray) -> np.ndarray:
-        if not len(self.top):
-            return by_ending
-        at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-        return np.where(self.top[at] == h, self.top_class[at], by_ending)
+    def tokens(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        if not len(self.vocabulary):
+            return VOCABULARY + kind
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == h, self.token[at], VOCABULARY + kind)
 
     def counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, found) of each word."""
@@ -119,40 +132,63 @@ class Words:
 
 
 def fresh(seed: int = 1) -> dict[str, np.ndarray]:
+    """e, x, h, b: embeddings and gates; o, p: classes; m, q: words within classes."""
     rng = np.random.default_rng(seed)
-    shape = {"e": (CLASSES, EMBED), "x": (EMBED, 3 * HIDDEN), "h": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "o": (HIDDEN, CLASSES), "p": (CLASSES,)}
-    return {k: (rng.standard_normal(s) / np.sqrt(s[0]) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
+    shape = {
+        "e": (TOKENS, EMBED), "x": (EMBED, 3 * HIDDEN), "h": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
+        "o": (HIDDEN, CLASSES), "p": (CLASSES,), "m": (VOCABULARY, HIDDEN), "q": (VOCABULARY,),
+    }
+    scale = {"e": EMBED, "x": EMBED, "h": HIDDEN, "o": HIDDEN, "m": HIDDEN}
+    return {k: (rng.standard_normal(s) / np.sqrt(scale[k]) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def forward(w, table_, inputs: np.ndarray, h: np.ndarray):
-    """One step of the gated unit; returns the new state and what backpropagation needs."""
-    g = table_[inputs]
+def forward(w, gates: np.ndarray, h: np.ndarray):
+    """One step of the gated unit from what the input gives its gates; returns the new state and what backpropagation needs."""
     u = h @ w["h"]
-    z, r = np.split(_sigmoid(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]), 2, axis=1)
-    n = np.tanh(g[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
+    zr = _sigmoid(gates[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+    n = np.tanh(gates[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
     return n + z * (h - n), (z, r, n, u[:, 2 * HIDDEN :])
 
 
+def softmax(logits: np.ndarray) -> np.ndarray:
+    logits = logits - logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def by_class(words: Words, classes: np.ndarray):
+    """(class, first and last word, places of its tokens) of each class of several words that is met."""
+    order = np.argsort(classes, kind="stable")
+    at = np.searchsorted(classes[order], np.arange(GROUPS + 1))
+    for c in range(GROUPS):
+        a, b = words.bounds[c], words.bounds[c + 1]
+        if b - a > 1 and at[c + 1] > at[c]:
+            yield a, b, order[at[c] : at[c + 1]]
+
+
 class Trainer:
-    """Truncated backpropagation over streams of classes in which each text ends with END_CLASS."""
+    """Truncated backpropagation over streams of tokens in which each text ends with END_TOKEN."""
 
-    def __init__(self, w: dict[str, np.ndarray]):
+    def __init__(self, w: dict[str, np.ndarray], words: Words):
+        self.words = words
         self.w = {k: v.copy() for k, v in w.items()}
         self.m = {k: np.zeros_like(v) for k, v in w.items()}
         self.v2 = {k: np.zeros_like(v) for k, v in w.items()}
         self.done = 0
 
-    def feed(self, stream: np.ndarray, rate, before: int = END_CLASS) -> None:
-        """Train on all of stream, which follows the class `before`; rate: of each update, by its number from 0."""
+    def feed(self, stream: np.ndarray, rate, before: int = END_TOKEN) -> None:
+        """Train on all of stream, which follows the token `before`; rate: of each update, by its number from 0."""
         count = int(np.clip(len(stream) // SPAN, 1, LANES))
         steps = -(-len(stream) // count)
         # the last lane is filled up; what fills it has no weight
         shape = lambda x, fill: np.concatenate([x, np.full(steps * count - len(x), fill, x.dtype)]).reshape(count, steps).T
-        lanes, source = shape(stream, END_CLASS), shape(np.concatenate([[before], stream[:-1]]), END_CLASS)
+        lanes, source = shape(stream, END_TOKEN), shape(np.concatenate([[before], stream[:-1]]), END_TOKEN)
         real = shape(np.ones(len(stream), np.float32), 0)
         h = np.zeros((count, HIDDEN), np.float32)
         for i, first in enumerate(range(0, steps, SPAN)):
@@ -161,25 +197,32 @@ class Trainer:
 
     def update(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One step down the gradient of a span; returns the state after it."""
-        w = self.w
-        table_ = w["e"] @ w["x"] + w["b"]
+        w, g = self.w, {}
+        gates_in = (w["e"] @ w["x"] + w["b"])[x]
+        goes_on = (x != END_TOKEN).astype(np.float32)[:, :, None]  # a new text starts from nothing
         kept, before, after = [], [], []
         for t in range(len(x)):
-            h = h * (x[t] != END_CLASS)[:, None]  # a new text starts from nothing
+            h = h * goes_on[t]
             before.append(h)
-            h, need = forward(w, table_, x[t], h)
+            h, need = forward(w, gates_in[t], h)
             kept.append(need)
             after.append(h)
-        state = np.stack(after)
-        logits = state @ w["o"] + w["p"]
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=2, keepdims=True)
-        np.put_along_axis(p, y[:, :, None], np.take_along_axis(p, y[:, :, None], 2) - 1, 2)
-        p *= (real / real.sum())[:, :, None]
-        flat = p.reshape(-1, CLASSES)
-        g = {"o": state.reshape(-1, HIDDEN).T @ flat, "p": flat.sum(0)}
+        state, target, weight = np.concatenate(after), y.ravel(), (real / real.sum()).ravel()
+        classes = self.words.class_of[target]
+        p = softmax(state @ w["o"] + w["p"])
+        p[np.arange(len(p)), classes] -= 1
+        p *= weight[:, None]
+        g["o"], g["p"] = state.T @ p, p.sum(0)
         into = p @ w["o"].T
+        g["m"], g["q"] = np.zeros_like(w["m"]), np.zeros_like(w["q"])
+        for a, b, on in by_class(self.words, classes):
+            s = state[on]
+            p = softmax(s @ w["m"][a:b].T + w["q"][a:b])
+            p[np.arange(len(p)), target[on] - a] -= 1
+            p *= weight[on][:, None]
+            g["m"][a:b], g["q"][a:b] = p.T @ s, p.sum(0)
+            into[on] += p @ w["m"][a:b]
+        into = into.reshape(*x.shape, HIDDEN)
         gates, backs = np.empty((2, *x.shape, 3 * HIDDEN), np.float32)
         dh = np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
@@ -190,10 +233,14 @@ class Trainer:
             dr = dn * u * r * (1 - r)
             np.concatenate([dz, dr, dn], axis=1, out=gates[t])
             np.concatenate([dz, dr, dn * r], axis=1, out=backs[t])
-            dh = (dh * z + backs[t] @ w["h"].T) * (x[t] != END_CLASS)[:, None]
-        rows = (np.arange(CLASSES)[:, None] == x.reshape(-1)).astype(np.float32) @ gates.reshape(-1, 3 * HIDDEN)
+            dh = (dh * z + backs[t] @ w["h"].T) * goes_on[t]
+        flat = gates.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(x.ravel(), kind="stable")
+        read, first = np.unique(x.ravel()[order], return_index=True)
+        rows = np.add.reduceat(flat[order], first)
         g["h"] = np.concatenate(before).T @ backs.reshape(-1, 3 * HIDDEN)
-        g["b"], g["x"], g["e"] = rows.sum(0), w["e"].T @ rows, rows @ w["x"].T
+        g["b"], g["x"], g["e"] = flat.sum(0), w["e"][read].T @ rows, np.zeros_like(w["e"])
+        g["e"][read] = rows @ w["x"].T
         self.done += 1
         for k in w:
             d = np.clip(g[k], -1, 1)
@@ -203,21 +250,32 @@ class Trainer:
         return h
 
 
-def train(stream: np.ndarray, w: dict[str, np.ndarray], rate: float = RATE, epochs: int = 1):
+def train(stream: np.ndarray, w: dict[str, np.ndarray], words: Words, rate: float = RATE, epochs: int = 1):
     """The network w after some epochs over stream, with a rate that falls in their second half."""
     if not len(stream):
         return w
     count = int(np.clip(len(stream) // SPAN, 1, LANES))
     total = epochs * -(-(-(-len(stream) // count)) // SPAN)
-    trainer = Trainer(w)
+    trainer = Trainer(w, words)
     for _ in range(epochs):
         begun = trainer.done
         trainer.feed(stream, lambda i: rate * min(1.0, 2 * (1 - (begun + i) / total)))  # noqa: B023
     return trainer.w
 
 
-def log_likelihood(w, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log10 probability of each text's classes; at: where each text's begin, and the end. State runs through whole texts."""
+def chances(w, words: Words, state: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target's class and, for words of the vocabulary, of the word within it."""
+    logits = state @ w["o"] + w["p"]
+    classes = words.class_of[target]
+    out = (logits[np.arange(len(target)), classes] - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
+    for a, b, on in by_class(words, classes):
+        logits = state[on] @ w["m"][a:b].T + w["q"][a:b]
+        out[on] += logits[np.arange(len(on)), target[on] - a] - np.log(np.exp(logits).sum(axis=1))
+    return out
+
+
+def log_likelihood(w, words: Words, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log10 probability of each text's tokens; at: where each text's begin, and the end. State runs through whole texts."""
     size = np.diff(at)
     order = np.argsort(-size, kind="stable")
     begin, size = at[:-1][order], size[order]
@@ -225,24 +283,34 @@ def log_likelihood(w, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
     table_ = w["e"] @ w["x"] + w["b"]
     h = np.zeros((len(size), HIDDEN), np.float32)
     total = np.zeros(len(size))
-    now = np.full(len(size), END_CLASS)
+    now = np.full(len(size), END_TOKEN)
+    held: list[tuple] = []
+    count = 0
+
+    def settle():
+        text = np.concatenate([np.arange(len(t)) for _, t in held])
+        np.add.at(total, text, chances(w, words, np.concatenate([s for s, _ in held]), np.concatenate([t for _, t in held])))
+
     for t, m in enumerate(live):
-        h, now = h[:m], now[:m]
-        h, _ = forward(w, table_, now, h)
-        logits = h @ w["o"] + w["p"]
-        now = classes[begin[:m] + t]
-        chosen = logits[np.arange(m), now]
-        total[:m] += chosen - np.log(np.exp(logits).sum(axis=1))
+        h, _ = forward(w, table_[now[:m]], h[:m])
+        now = tokens[begin[:m] + t]
+        held.append((h, now))
+        count += m
+        if count >= SCORED:
+            settle()
+            held, count = [], 0
+    if held:
+        settle()
     out = np.empty(len(size))
     out[order] = total / np.log(10)
     return out
 
 
 def read(batch: Batch, words: Words):
-    """(hashes, classes, first) of the words of a lower-cased batch."""
+    """(hashes, tokens, first) of the words of a lower-cased batch."""
     start, end, first = batch.words()
     h = batch.hashes(start, end)
-    return h, words.classes(h, ending(batch, start, end)), first
+    return h, words.tokens(h, ending(batch, start, end)), first
 
 
 def with_ends(values: np.ndarray, first: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -250,12 +318,16 @@ def with_ends(values: np.ndarray, first: np.ndarray, end) -> tuple[np.ndarray, n
     return np.insert(values, first[1:], end), first + np.arange(len(first))
 
 
-def averaged(docs: DataFrame, w: dict[str, np.ndarray], rate: float, streams) -> dict[str, np.ndarray]:
-    """The mean, by tokens, of what w becomes in each partition of docs; streams: from batches of texts to pieces of their classes."""
+def flatten(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
+
+
+def averaged(docs: DataFrame, w: dict[str, np.ndarray], words, rate: float, streams) -> dict[str, np.ndarray]:
+    """The mean, by tokens, of what w becomes in each partition of docs; streams: from batches of texts to pieces of their tokens."""
     start = docs.sparkSession.sparkContext.broadcast(w)
 
     def run(batches):
-        trainer, held, size, before, seen = Trainer(start.value), [], 0, END_CLASS, 0
+        trainer, held, size, before, seen = Trainer(start.value, words.value), [], 0, END_TOKEN, 0
         for piece in streams(batches):
             held.append(piece)
             size += len(piece)
@@ -267,32 +339,39 @@ def averaged(docs: DataFrame, w: dict[str, np.ndarray], rate: float, streams) ->
             trainer.feed(np.concatenate(held), lambda i: rate, before)
             seen += size
         if seen:
-            flat = np.concatenate([trainer.w[k].ravel() for k in sorted(trainer.w)]).astype(float)
-            yield pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "w": flat * seen, "n": float(seen)})
+            k = TaskContext.get().partitionId()
+            yield pd.DataFrame({"k": [zlib.crc32(str(k).encode()) % ADDERS], "n": [float(seen)], "w": [zlib.compress(flatten(trainer.w).astype(np.float32).tobytes(), 1)]})
 
-    means = docs.mapInPandas(run, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
-    if not len(means):
+    def add(batches):
+        total, n = 0.0, 0.0
+        for pdf in batches:
+            for one, seen in zip(pdf["w"], pdf["n"], strict=True):
+                total, n = total + seen * np.frombuffer(zlib.decompress(one), np.float32), n + seen
+        if n:
+            yield pd.DataFrame({"n": [n], "w": [np.asarray(total, np.float64).tobytes()]})
+
+    # a task for each share of the partitions adds up their weights; ADDERS sums reach the driver
+    sums = docs.mapInPandas(run, "k int, n double, w binary").repartition(ADDERS, "k").mapInPandas(add, "n double, w binary").collect()
+    if not sums:
         return w
-    flat, at, out = means.sort_values("i")["w"].to_numpy(), 0, {}
+    flat, at, out = sum(np.frombuffer(r["w"]) for r in sums) / sum(r["n"] for r in sums), 0, {}
     for k in sorted(w):
         out[k] = flat[at : at + w[k].size].reshape(w[k].shape).astype(np.float32)
         at += w[k].size
     return out
 
 
-def learn(docs: DataFrame) -> tuple[Words, dict[str, np.ndarray], DataFrame]:
-    """(words, network, all counts) of the training documents docs."""
-    spark = docs.sparkSession
+def count_and_choose(docs: DataFrame) -> tuple[Words, DataFrame]:
+    """(words, all counts) of the training documents docs."""
     counts = cut(count_words(docs))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = np.array([r["h"] for r in counts.filter(F.col("h") != END).orderBy(F.desc("c"), "h").limit(TOP).collect()], np.int64).view(U64)
-    place = F.when(F.col("h") == END, END_CLASS)
-    for i, h in enumerate(top.view(np.int64).tolist()):
-        place = place.when(F.col("h") == h, i)
-    sums = counts.groupBy(place.otherwise(F.col("class")).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    denominator = np.full(CLASSES, np.log10(0.5))
-    for r in sums:
-        denominator[r["k"]] = np.log10(r["n"] + 0.5 * (r["v"] + 1))
+    top = counts.filter(F.col("h") != END).orderBy(F.desc("c"), "h").limit(VOCABULARY)
+    chosen = top.collect()
+    vocabulary = np.array([r["h"] for r in chosen], np.int64).view(U64)
+    sums = counts.filter(F.col("h") != END).join(F.broadcast(top.select("h")), "h", "left_anti")
+    denominator = np.full(ENDINGS, np.log10(0.5))
+    for r in sums.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row for each ending
+        denominator[r["kind"]] = np.log10(r["n"] + 0.5 * (r["v"] + 1))
     # the least count whose words, and all more frequent ones, are few enough to be broadcast
     least, held = 1 << 62, 0
     for r in counts.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
@@ -301,61 +380,64 @@ def learn(docs: DataFrame) -> tuple[Words, dict[str, np.ndarray], DataFrame]:
             break
         least = r["c"]
     often = counts.filter(F.col("c") >= least).select("h", "c").toPandas()
-    words = Words(often["h"].to_numpy(np.int64).view(U64), often["c"].to_numpy(np.int64), top, denominator, total, distinct)
-    shared = spark.sparkContext.broadcast(words)
+    frequency = np.array([r["c"] for r in chosen], float)
+    return Words(often["h"].to_numpy(np.int64).view(U64), often["c"].to_numpy(np.int64), vocabulary, frequency, denominator, total, distinct), counts
+
+
+def learn(docs: DataFrame) -> tuple[Words, dict[str, np.ndarray], DataFrame]:
+    """(words, network, all counts) of the training documents docs."""
+    words, counts = count_and_choose(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def streams(batches):
         for pdf in batches:
             raw = encode(pdf["text"])
             for a, b in chunks(raw):
                 _, k, first = read(Batch(raw[a:b], lower=True), shared.value)
-                yield with_ends(k, first, END_CLASS)[0]
+                yield with_ends(k, first, END_TOKEN)[0]
 
     def warm(batches):
-        yield pd.DataFrame({"w": [pickle.dumps(train(np.concatenate([np.zeros(0, np.int64), *streams(batches)]), fresh(), epochs=2))]})
+        yield pd.DataFrame({"w": [pickle.dumps(train(np.concatenate([np.zeros(0, np.int64), *streams(batches)]), fresh(), shared.value, epochs=2))]})
 
     sampled = docs.orderBy(F.xxhash64(F.lit(9), "doc_id", "text")).limit(WARM_DOCS).select("text")
     first = sampled.coalesce(1).mapInPandas(warm, "w binary").collect()
     w = pickle.loads(first[0]["w"]) if first else fresh()
     fold = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(AVERAGED))
     for i in range(AVERAGED):
-        w = averaged(docs.filter(fold == i).select("text"), w, RATE / 5 * (1 - i / AVERAGED), streams)
+        w = averaged(docs.filter(fold == i).select("text"), w, shared, RATE / 4 * (1 - i / AVERAGED), streams)
     return words, w, counts
 
 
 def score(docs: DataFrame, words: Words, network: dict[str, np.ndarray], counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of the whole text of each row of docs."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
     shared = docs.sparkSession.sparkContext.broadcast((words, network))
 
     def run(batches):
         words, w = shared.value
         for pdf in batches:
             raw = encode(pdf["text"])
-            hs, ks, at = [], [], [0]
             for a, b in chunks(raw):
                 h, k, first = read(Batch(raw[a:b], lower=True), words)
                 h, _ = with_ends(h, first, U64(END))
-                k, place = with_ends(k.astype(np.int16), first, END_CLASS)
-                hs.append(h)
-                ks.append(k)
-                at.extend((at[-1] + place[1:]).tolist())
-            if not raw:
-                continue
-            h, k, at = np.concatenate(hs), np.concatenate(ks), np.array(at)
-            c, found = words.counts(h)
-            plus = np.concatenate([[0.0], np.cumsum(np.where(found, np.log10(c + 0.5), 0.0))])
-            known = np.concatenate([[0], np.cumsum(found & (c > 0))])
-            less = np.concatenate([[0.0], np.cumsum(words.denominator[k])])
-            likely = log_likelihood(w, k, at)
-            span = lambda x: x[at[1:]] - x[at[:-1]]
-            rest = [h[x:y][~found[x:y]].view(np.int64) for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].to_numpy(), "row": pdf["row"].to_numpy(), "n_tokens": np.diff(at), "known": span(known),
-                "plus": span(plus), "model": likely - span(less), "rest": rest,
-            })
-
-    schema = "doc_id long, row long, n_tokens long, known long, plus double, model double, rest array<long>"
-    named = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+                k, at = with_ends(k, first, END_TOKEN)
+                c, found = words.counts(h)
+                share = np.where(found, np.log10(c + 0.5), 0.0)
+                rare = (k >= VOCABULARY) & (k != END_TOKEN)
+                less = np.where(rare, words.denominator[np.where(rare, k - VOCABULARY, 0)], 0.0)
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (found & (c > 0), share, np.where(rare, share, 0.0) - less)]
+                known, plus, within = [x[at[1:]] - x[at[:-1]] for x in sums]
+                yield pd.DataFrame({
+                    "id": pdf["id"].to_numpy()[a:b], "lost": pdf["lost"].to_numpy()[a:b], "row": pdf["row"].to_numpy()[a:b], "n_tokens": np.diff(at),
+                    "known": known, "plus": plus, "model": log_likelihood(w, words, k, at) + within,
+                    "rest": [h[x:y][~found[x:y]].view(np.int64) for x, y in zip(at[:-1], at[1:], strict=True)],
+                })
+
+    schema = "id long, lost boolean, row long, n_tokens long, known long, plus double, model double, rest array<long>"
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("lost"), F.col("text").cast("string").alias("text")
+    ).withColumn("row", F.monotonically_increasing_id())
     partly = cut(named.mapInPandas(run, schema))
     rare = partly.filter(F.size("rest") > 0).select("row", F.explode("rest").alias("h"))
     half = F.coalesce(F.col("c"), F.lit(0))
@@ -363,11 +445,11 @@ def score(docs: DataFrame, words: Words, network: dict[str, np.ndarray], counts:
         F.sum(F.log10(half + 0.5)).alias("more"), F.count_if(half > 0).alias("found")
     )
     unit = float(np.log10(words.total + 0.5 * (words.distinct + 1)))
-    plus = F.col("plus") + F.coalesce("more", F.lit(0.0))
+    more = F.coalesce("more", F.lit(0.0))
     return partly.drop("rest").join(rare, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
+        F.when(~F.col("lost"), F.col("id")).alias("doc_id"), "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(int(words.total)).cast("long").alias("train_tokens"),
-        (plus - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (plus + F.col("model")).alias("score"),
+        (F.col("plus") + more - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("model") + more).alias("score"),
     )
 
 

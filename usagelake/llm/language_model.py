@@ -50,11 +50,13 @@ EMBED, HIDDEN = 16, 24
 FREQUENT = 500_000
 #: Training documents of the first fit; rounds that all training documents are dealt to, each document to one.
 WARM_DOCS, AVERAGED = 800, 4
-LANES, SPAN, RATE = 192, 32, 0.01
+LANES, SPAN, RATE = 384, 32, 0.01
 #: Tokens that a training task holds before it trains on them.
-STREAM = LANES * SPAN * 40
-#: Distinct words that a counting task holds before it hands them on; tasks that add up weights; states that are scored at once.
-HELD, ADDERS, SCORED = 2_000_000, 16, 32_768
+STREAM = LANES * SPAN * 20
+#: Distinct words that a counting task holds before it hands them on; tasks that add up weights.
+HELD, ADDERS = 2_000_000, 16
+#: Bytes of text that are scored side by side, and states whose probabilities are taken at once.
+SIDE_BY_SIDE, SCORED = 7_000_000, 32_768
 
 
 def ending(batch: Batch, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -418,7 +420,7 @@ def score(docs: DataFrame, words: Words, network: dict[str, np.ndarray], counts:
         words, w = shared.value
         for pdf in batches:
             raw = encode(pdf["text"])
-            for a, b in chunks(raw):
+            for a, b in chunks(raw, SIDE_BY_SIDE):
                 h, k, first = read(Batch(raw[a:b], lower=True), words)
                 h, _ = with_ends(h, first, U64(END))
                 k, at = with_ends(k, first, END_TOKEN)

@@ -50,7 +50,8 @@ EMBED, HIDDEN = 16, 24
 FREQUENT = 500_000
 #: Training documents of the first fit; rounds that all training documents are dealt to, each document to one.
 WARM_DOCS, AVERAGED = 800, 4
-LANES, SPAN, RATE = 384, 32, 0.01
+#: Streams side by side in the first fit and in the rounds, tokens between updates, rate of learning.
+WARM_LANES, LANES, SPAN, RATE = 48, 384, 32, 0.01
 #: Tokens that a training task holds before it trains on them.
 STREAM = LANES * SPAN * 20
 #: Distinct words that a counting task holds before it hands them on; tasks that add up weights.
@@ -177,8 +178,8 @@ def by_class(words: Words, classes: np.ndarray):
 class Trainer:
     """Truncated backpropagation over streams of tokens in which each text ends with END_TOKEN."""
 
-    def __init__(self, w: dict[str, np.ndarray], words: Words):
-        self.words = words
+    def __init__(self, w: dict[str, np.ndarray], words: Words, lanes: int = LANES):
+        self.words, self.lanes = words, lanes
         self.w = {k: v.copy() for k, v in w.items()}
         self.m = {k: np.zeros_like(v) for k, v in w.items()}
         self.v2 = {k: np.zeros_like(v) for k, v in w.items()}
@@ -186,7 +187,7 @@ class Trainer:
 
     def feed(self, stream: np.ndarray, rate, before: int = END_TOKEN) -> None:
         """Train on all of stream, which follows the token `before`; rate: of each update, by its number from 0."""
-        count = int(np.clip(len(stream) // SPAN, 1, LANES))
+        count = int(np.clip(len(stream) // SPAN, 1, self.lanes))
         steps = -(-len(stream) // count)
         # the last lane is filled up; what fills it has no weight
         shape = lambda x, fill: np.concatenate([x, np.full(steps * count - len(x), fill, x.dtype)]).reshape(count, steps).T
@@ -256,9 +257,9 @@ def train(stream: np.ndarray, w: dict[str, np.ndarray], words: Words, rate: floa
     """The network w after some epochs over stream, with a rate that falls in their second half."""
     if not len(stream):
         return w
-    count = int(np.clip(len(stream) // SPAN, 1, LANES))
+    count = int(np.clip(len(stream) // SPAN, 1, WARM_LANES))
     total = epochs * -(-(-(-len(stream) // count)) // SPAN)
-    trainer = Trainer(w, words)
+    trainer = Trainer(w, words, WARM_LANES)
     for _ in range(epochs):
         begun = trainer.done
         trainer.feed(stream, lambda i: rate * min(1.0, 2 * (1 - (begun + i) / total)))  # noqa: B023

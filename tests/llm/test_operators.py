@@ -509,6 +509,46 @@ def test_url_filter(spark, folder):
     assert got[len(urls) - 1]["verdict"] == "block"  # its host's labelled pages are all blocked
 
 
+def test_url_templates(spark):
+    """Common stems are skipped, variable segments are wildcards, and the tree goes as deep as paths branch."""
+    from usagelake.llm.urls import templates
+
+    paths = [f"/a/b/{i}/x/{k}" for i in range(20) for k in ("deep/1", "deep/2", "other")] + ["/a/b", "/a/b/0/x/deep/1/2/3/4"]
+    data = spark.createDataFrame([("h", p, 1, 1, 0) for p in paths] + [("one", "/q/r/s", 1, 0, 0), ("", "", 1, 0, 0)], "host string, path string, n long, labelled long, blocked long")
+    got = {(r["host"], r["path"]): r["up"] for r in templates(data).collect()}
+    assert len(got) == len(paths) + 2 and got["one", "/q/r/s"] == ["one", "one/q/r/s"] and got["", ""] == [""]
+    assert got["h", "/a/b"][-1] == "h/a/b" and got["h", "/a/b/3/x/other"][-1] == "h/a/b/*/x/other"
+    assert got["h", "/a/b/3/x/deep/1"][-1] == "h/a/b/*/x/deep/1" and got["h", "/a/b/0/x/deep/1/2/3/4"][-1] == "h/a/b/*/x/deep/1/2/3/4"
+
+
+def test_url_siblings_are_pooled(spark):
+    """Many thin blocked branches beside clean ones: each is judged by the counts of its like."""
+    from usagelake.llm.urls import pooled
+
+    kids = [("p", f"bad{i}", 2, 2, 0.3) for i in range(30)] + [("p", f"good{i}", 2, 0, 0.3) for i in range(60)] + [("p", "new", 0, 0, 0.3), ("q", "half", 4, 2, 0.3)]
+    got = {r["_node"]: r for r in pooled(spark.createDataFrame(kids, "_up string, _node string, _l long, _b long, _p double")).collect()}
+    assert len(got) == len(kids)
+    assert (got["bad3"]["_pl"], got["bad3"]["_pb"]) == (60, 60) and (got["good3"]["_pl"], got["good3"]["_pb"]) == (120, 0)
+    assert got["new"]["_pl"] is None and (got["half"]["_pl"], got["half"]["_pb"]) == (4, 2)
+
+
+def test_sharding_of_equal_rows_and_large_counts(spark):
+    from usagelake.llm import sharding
+
+    got = sharding.shard(spark.createDataFrame([(1, "x")] * 700 + [(2, "y")] * 50, "doc_id long, shard string"), chunk_rows=64, out=("s", "at")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["s"]].append(r)
+    assert {len(v) for v in by.values()} == {93, 94} and all(sorted(r["at"] for r in v) == [*range(len(v))] for v in by.values())
+    assert min(sum(r["doc_id"] == 2 for r in v) for v in by.values()) < max(sum(r["doc_id"] == 2 for r in v) for v in by.values()) < 20
+    rng = np.random.default_rng(1)
+    x = np.array([sharding._one(rng, 2_000_000_000, 3_000_000_000, 1000) for _ in range(4000)])
+    assert abs(x.mean() - 400) < 1 and abs(x.std() / math.sqrt(240) - 1) < 0.05
+    left = np.full(8, 300_000_000)
+    n = sharding.draw(rng, left, 10**9)
+    assert n.sum() == 10**9 and abs(n / 125_000_000 - 1).max() < 1e-3
+
+
 def test_sharding(spark, docs_dir, docs_rows):
     got = rows(QUERIES["op8_sharding"](spark, docs_dir))
     enc = lambda t: (t or "").encode()

@@ -1,14 +1,19 @@
 """Benchmark decontamination: one Aho-Corasick automaton over benchmark windows.
 
 Every run of 13 consecutive words of a benchmark item (the whole item if it has
-fewer) is a pattern over normalised text.  Documents are scanned once; matches
-give the words hit, the items met and, for documents with hits, offsets in the
-original text.
+fewer) is a pattern of word numbers.  Documents are normalised and scanned once;
+matches give the words hit, the items met and, for documents with hits, offsets
+in the original text.  The automaton itself is pyahocorasick's: a trie with
+failure links in C, where Python code would run for each word.
+
+One automaton holds up to BLOCK_BYTES of benchmark text, so that it fits beside
+the data in each Python worker; a larger benchmark takes a scan for each block,
+each of which finds its state written by the one before.
 
 Defined results: a null or empty text has no words and no hits; an item without
-text or words, or with a null id, takes no part; equal items each count; rows
+text or words, or with a null id, takes no part; equal items with ids of their own each count; rows
 are judged one by one, so repeated rows repeat their result; an empty benchmark
-hits nothing.  Other columns of the documents are kept; the result is one
+hits nothing; items with one id are one item.  Other columns of the documents are kept; the result is one
 struct column whose name is a parameter.
 """
 
@@ -17,16 +22,15 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import table
+from .frames import cut, table, unused
 
 WINDOW = 13
 #: UTF-8 bytes of benchmark text in one broadcast; a larger benchmark is scanned block by block.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: A document is contaminated if it has hits and SHARE * hits >= words.
 SHARE = 20
 
@@ -43,25 +47,21 @@ def normal_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-def _pattern(words: list[bytes]) -> str:
-    """Words with a space on both sides; one character a byte."""
-    return f" {b' '.join(words).decode('latin-1')} "
-
-
-def automaton(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton:
-    """Patterns -> (words, indices of the items that hold them)."""
-    held: dict[str, tuple[int, set[str]]] = {}
+def automaton(items: list[tuple[str, str]], window: int) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """(patterns -> (words, items that hold them), number of each word from 1)."""
+    held: dict[tuple[int, ...], tuple[int, set[str]]] = {}
+    numbers: dict[bytes, int] = {}
     for item, text in items:
-        words = normal_words(text)
+        words = [numbers.setdefault(w, len(numbers) + 1) for w in normal_words(text)]
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[i : i + window]
-            held.setdefault(_pattern(part), (len(part), set()))[1].add(item)
-    auto = ahocorasick.Automaton()
+            part = tuple(words[i : i + window])
+            held.setdefault(part, (len(part), set()))[1].add(item)
+    auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for pattern, value in held.items():
         auto.add_word(pattern, value)
     if held:
         auto.make_automaton()
-    return auto
+    return auto, numbers
 
 
 def _automaton(token: str, items, window: int):
@@ -72,17 +72,14 @@ def _automaton(token: str, items, window: int):
     return _built[token]
 
 
-def hits(words: list[bytes], auto) -> tuple[list[tuple[int, int]], set[str]]:
+def hits(words: list[bytes], auto, numbers: dict[bytes, int]) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged [start, end) runs of hit words, and the items met."""
     if not len(auto) or not words:
         return [], set()
-    runs, items, ends = [], set(), None
-    for end, (length, own) in auto.iter(_pattern(words)):
-        if ends is None:  # character at which each word's closing space stands
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        last = int(np.searchsorted(ends, end)) + 1
+    runs, items = [], set()
+    for end, (length, own) in auto.iter(tuple([numbers.get(w, 0) for w in words])):
         items |= own
-        runs.append((last - length, last))
+        runs.append((end + 1 - length, end + 1))
     return merged(runs), items
 
 
@@ -102,11 +99,11 @@ def scan(block: list[tuple[str, str]], window: int, broadcast):
 
     @F.pandas_udf(_STATE)
     def one(text: pd.Series, starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
-        auto = _automaton(token, broadcast.value, window)
+        auto, numbers = _automaton(token, broadcast.value, window)
         rows = []
         for t, a, b, had in zip(text, starts, ends, items, strict=True):
             words = normal_words(t)
-            runs, met = hits(words, auto)
+            runs, met = hits(words, auto, numbers)
             if len(a):
                 runs = merged([*runs, *zip(map(int, a), map(int, b), strict=True)])
             met.update(had)
@@ -150,8 +147,10 @@ def decontaminate(
     none = F.array().cast("array<int>")
     state = F.struct(F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"), F.array().cast("array<string>").alias("items"))
     df = docs
-    tmp = f"_{out}_state"
-    for block in blocks(bench, block_bytes):
+    tmp = unused(docs, f"_{out}_state")
+    for i, block in enumerate(blocks(bench, block_bytes)):
+        if i:
+            df = cut(df)
         one = scan(block, window, spark.sparkContext.broadcast(block))
         df = df.withColumn(tmp, one(F.col(text), state["starts"], state["ends"], state["items"]))
         state = F.col(tmp)

@@ -54,3 +54,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(doc_id: Column, m: int = 5) -> Column:
     """crc32 of the id as text, modulo m."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name

@@ -145,14 +145,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def taken_copies(docs: DataFrame, **names) -> DataFrame:
-    """The documents of a mix, each as often as it is taken, to the nearest whole number."""
-    size = "_mix_size"
-    docs = cut(docs.withColumn(size, n_words(F.col("text"))).withColumn("_mix_id", F.xxhash64(*docs.columns)))
-    rows, pieces = mix(docs, size=size, doc_id="_mix_id", **names)
-    taken = rows.join(pieces.groupBy("_row").agg(F.sum("n").alias("taken")), "_row").groupBy(F.col("doc_id").alias("_mix_id")).agg(
-        F.max("size").alias("_s"), F.sum("taken").alias("_t"), F.count("*").alias("_rows")
-    )
-    copies = F.floor(F.col("_t") / (F.col("_s") * F.col("_rows")) + 0.5).cast("int")
-    many = docs.join(taken, "_mix_id").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return many.drop("_mix_id", size, "_s", "_t", "_rows", "_copy")
+def taken_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 17, text: str = "text", source: str = "source") -> DataFrame:
+    """The documents of a mix, each as often as it is taken, to the nearest whole number.
+
+    A document is taken in part only where its source's target ends.  Rows that
+    agree in all columns share what they take.
+    """
+    names = list(docs.columns)
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = lambda n: F.col(f"c{names.index(n)}")
+    flat = cut(flat.withColumn("_size", n_words(own(text))).withColumn("_id", F.xxhash64(*flat.columns)))
+    slim = flat.select(F.col("_id").alias("doc_id"), own(source).alias("source"), F.col("_size").alias("size"))
+    rows, pieces = mix(slim, weights, share, seed)
+    taken = rows.join(pieces.groupBy("_row").agg(F.sum("n").alias("taken")), "_row", "left").groupBy(F.col("doc_id").alias("_id")).agg(
+        (F.sum(F.coalesce("taken", F.lit(0))) / F.sum("size")).alias("_share")
+    ).filter("_share > 0")
+    many = flat.join(taken, "_id")
+    copies = F.floor(F.col("_share") + 0.5).cast("int")
+    many = many.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return many.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import cut, sized, table
+from .frames import cut, sized, table, unused
 from .text import U64, Batch, chunks, encode, mix, prefix_of, window_hashes
 
 SHINGLE = 4
@@ -224,7 +224,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: float = SHARE) -> DataFrame:
-    """(key, doc_id, n_shingles, component_id) of each distinct (doc_id, text) of docs."""
+    """(key, doc_id, n_shingles, component_id, leader) of each row of docs.
+
+    key names a (doc_id, text); leader is the key with the least doc_id of the component.
+    """
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     ids = keyed.select("key", "doc_id")
     sketched = cut(sketch(keyed, size))
@@ -270,10 +273,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: float = SHARE)
     classes = known.select("key", "n", "class").join(ids.distinct(), "key")
     least = classes.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = cut(least.select("key", "n", "comp", "doc_id"))
-    top = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = least.join(top, "comp").groupBy("key").agg(F.first("n").alias("n"), F.first("component_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
+    top = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"), first.alias("leader"))
+    found = least.join(top, "comp").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "component_id", "leader")])
     every = ids.join(found, "key", "left")
-    return every.select("key", "doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return every.select(
+        "key", "doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("leader", "key").alias("leader"),
+    )
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,9 +289,16 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, share: float = SHARE) -> DataFrame:
-    """docs without those whose component has a smaller id."""
-    found = near_duplicates(docs, size, share)
-    lost = cut(found.filter("NOT doc_id <=> component_id").select("key").distinct())
-    key = "_near_key"
+    """docs with one row of each component: the one with the least id; of equal rows one stays.  Rows without words all stay."""
+    found = cut(near_duplicates(docs, size, share).filter("n_shingles > 0").select("key", "leader"))
+    key, row, first = [unused(docs, n) for n in ("_near_key", "_near_row", "_near_first")]
     named = docs.withColumn(key, F.xxhash64("doc_id", F.col("text").cast("string")))
-    return named.join(sized(lost.withColumnRenamed("key", key)), key, "left_anti").drop(key)
+    lost = cut(found.filter("key != leader").select(F.col("key").alias(key)).distinct())
+    kept = named.join(sized(lost), key, "left_anti")
+    twice = cut(found.filter("key = leader").groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n")).filter("n > 1").select(key))
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    kept = cut(kept.withColumn(row, F.monotonically_increasing_id()))
+    least = kept.select(key, row).join(sized(twice), key, "left_semi").groupBy(key).agg(F.min(row).alias(first))
+    kept = kept.join(sized(cut(least)), key, "left").filter(F.col(first).isNull() | (F.col(first) == F.col(row)))
+    return kept.select(docs.columns)

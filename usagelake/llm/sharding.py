@@ -4,7 +4,9 @@ Rows fall into chunks by hash and are permuted within their chunk.  A matrix of
 counts says how many rows each chunk sends to each cell (a cell is a slice of a
 shard, small enough for one task); it is drawn from the multivariate
 hypergeometric law with both margins fixed, by splitting the range of chunks in
-halves, so every task draws the row of its own chunk from a seed alone.  Rows
+halves, so every task draws the row of its own chunk from a seed alone.  There
+are no more chunks, and about no more cells, than CHUNKS; beyond that they grow,
+so that the matrix does not.  Rows
 are exchanged to their cells and permuted again.  The outcome is a uniform
 shuffle whose shard sizes are exact: counts differ by one at most (law `rows`).
 
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 from .frames import cut, table
 
 SHARDS = 8
-#: Rows that one chunk or cell holds on average.
+#: Rows that one chunk or cell holds on average, until there are CHUNKS of them.
 CHUNK_ROWS = 8192
+CHUNKS = 4096
+#: numpy draws exactly below this; above, see _one().
+NUMPY_LIMIT = 1_000_000_000
 
 
 def cell_sizes(rows: int, shards: int, chunk_rows: int) -> tuple[np.ndarray, int]:
@@ -41,28 +46,34 @@ def cell_sizes(rows: int, shards: int, chunk_rows: int) -> tuple[np.ndarray, int
 
 def draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
     """Counts of a draw of n rows without replacement from cells with `left` rows."""
-    out = np.zeros_like(left)
-    # conditional draws; numpy's method takes totals below 1e9 only
     total = int(left.sum())
+    if total < NUMPY_LIMIT:
+        return rng.multivariate_hypergeometric(left, n, method="marginals").astype(np.int64)
+    out = np.zeros_like(left)
     for k, have in enumerate(left.tolist()):
-        if n == 0:
-            break
         total -= have
-        if total == 0:
-            out[k] = n
-            break
-        if have:
-            out[k] = _one(rng, have, total, n)
-            n -= int(out[k])
+        out[k] = n if total == 0 else _one(rng, have, total, n)
+        n -= int(out[k])
     return out
 
 
 def _one(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    mean = n * good / (good + bad)
-    sd = np.sqrt(mean * (bad / (good + bad)) * ((good + bad - n) / max(1, good + bad - 1)))
-    return int(np.clip(round(rng.normal(mean, sd)), max(0, n - bad), min(good, n)))
+    """Rows among `good` in a draw of n from good + bad, at any size.
+
+    Beyond numpy's limit the law is inverted: its logarithm is summed up from
+    the ratios of neighbouring values over 12 standard deviations around the
+    mode, outside of which lies less than the rounding of a double.
+    """
+    low, high = max(0, n - bad), min(good, n)
+    if low == high or good + bad < NUMPY_LIMIT:
+        return int(low if low == high else rng.hypergeometric(good, bad, n))
+    share = n / (good + bad)
+    mode, sd = int((n + 1) * ((good + 1) / (good + bad + 2))), np.sqrt(good * share * (1 - share) * (bad / (good + bad))) + 1
+    k = np.arange(max(low, mode - int(12 * sd) - 8), min(high, mode + int(12 * sd) + 8) + 1, dtype=np.float64)
+    step = np.log((good - k[:-1]) / (k[:-1] + 1)) + np.log((n - k[:-1]) / (bad - n + k[:-1] + 1))
+    law = np.concatenate([[0.0], np.cumsum(step)])
+    law = np.cumsum(np.exp(law - law.max()))
+    return int(k[np.searchsorted(law, rng.random() * law[-1], side="right")])
 
 
 def matrix_row(chunk: int, counts: np.ndarray, cells: np.ndarray, seed: int) -> np.ndarray:
@@ -82,7 +93,7 @@ def shard(
     """df with a shard (0 .. shards-1) and a slot within it (gapless from 0).
 
     `key`: columns whose hash orders the rows (all by default); rows that agree
-    in them are interchangeable.
+    in them are told apart by their place in the input.
     """
     spark = df.sparkSession
     names = list(df.columns)
@@ -92,16 +103,17 @@ def shard(
     hashed = cut(hashed)
     slim = hashed.select("_h", "_tie")
     rows = slim.count()
+    chunk_rows = max(chunk_rows, -(-rows // CHUNKS))
     n_chunks = max(1, -(-rows // chunk_rows))
-    slim = slim.withColumn("_chunk", F.pmod(F.xxhash64("_h"), F.lit(n_chunks)).cast("int"))
+    slim = slim.withColumn("_chunk", F.pmod(F.xxhash64("_h", "_tie"), F.lit(n_chunks)).cast("int"))
     counts = np.zeros(n_chunks, np.int64)
-    for r in slim.groupBy("_chunk").count().toLocalIterator():  # one number a chunk
+    for r in slim.groupBy("_chunk").count().toLocalIterator():  # CHUNKS numbers at most
         counts[r["_chunk"]] = r["count"]
     cells, per = cell_sizes(rows, shards, chunk_rows)
     shared = spark.sparkContext.broadcast((counts, cells))
     first = np.concatenate([[0], np.cumsum(cells)[:-1]]).reshape(shards, per)
     start = spark.createDataFrame(pd.DataFrame({"_cell": np.arange(len(cells)), "_start": (first - first[:, :1]).ravel()}))
-    local = slim.withColumn("_pos", F.row_number().over(W.partitionBy("_chunk").orderBy("_h", "_tie")) - 1)
+    local = slim.withColumn("_pos", F.row_number().over(W.partitionBy("_chunk").orderBy(F.xxhash64(F.lit(seed), "_h", "_tie"), "_tie")) - 1)
 
     def to_cells(batches):
         counts, cells = shared.value
@@ -118,7 +130,7 @@ def shard(
 
     # row numbers alone are permuted and exchanged; the rows follow in one join
     dealt = local.mapInPandas(to_cells, "_h long, _tie long, _cell int")
-    again = W.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 1), "_h"), "_tie")
+    again = W.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 1), "_h", "_tie"), "_tie")
     placed = dealt.withColumn("_pos", F.row_number().over(again) - 1).join(start, "_cell").select(
         "_tie", F.floor(F.col("_cell") / per).cast("int").alias(out[0]), (F.col("_start") + F.col("_pos")).cast("long").alias(out[1])
     )

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import crc_mod, table
+from .frames import crc_mod, table, unused
 from .text import ALNUM, U64, Batch, chunks, encode, mix
 
 #: Labelled documents that the classifier is fitted on: clean ones, toxic ones.
@@ -290,5 +290,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below one half."""
-    name = "_toxicity"
+    name = unused(docs, "_toxicity")
     return score(docs, fit(docs, labels), out=name).filter(F.col(name) < 0.5).drop(name)

@@ -3,10 +3,11 @@
 A rule is a host, a slash and a path prefix; it fits its host and all
 subdomains.  Pages that a rule decides are the labelled pages.  For the others,
 each host has a tree of path templates, grown level by level with grouped
-counts: under each node a segment whose siblings are many and mostly rare is
-generalised into a wildcard; sibling branches whose labels are alike are merged
-(their counts are pooled); a template is rejected if its purity, smoothed by
-its parent's, is over one half.
+counts: what all paths of a node share is skipped; under each node a segment
+whose siblings are many and mostly rare is generalised into a wildcard; a node
+with a single path is a leaf.  Sibling branches whose labels are alike are
+merged, their counts pooled; a template is rejected if its purity, smoothed by
+its parent's, is over one half.  The tree is as deep as its paths branch.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits
 no rule and gets the verdict of the whole corpus; an empty table gives an empty
@@ -15,7 +16,10 @@ result; rows repeat with their pages.  All of it is DataFrame code.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import cut, table
@@ -24,16 +28,15 @@ RULES = (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
     ("com/fr/", "allow"), ("com/de/", "block"),
 )
-#: Levels of the tree; what follows a deeper segment is part of its leaf.
-LEVELS = 3
 #: A segment position is variable if it has more values than this under a node ...
 VARIABLE_VALUES = 8
 #: ... and fewer pages to a value than this on average.
 VARIABLE_PAGES = 20.0
 #: Labelled pages that a parent counts for in its children's purity.
 PRIOR = 4.0
-#: Siblings within so many standard errors of their parent's purity are merged into it.
-ALIKE = 2.0
+#: Siblings meet in bins of purity (on the arcsine scale, where its noise is even); neighbouring bins within so many
+#: standard errors of each other are merged.
+BINS, ALIKE = 16, 2.0
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,50 +63,84 @@ def ruled(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
-def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Distinct (host, path, n, labelled, blocked) -> with t0 .. tN, the template at each level; t0 is the host."""
-    df = paths.withColumn("_seg", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("t0", F.col("host"))
-    for level in range(1, levels + 1):
-        up, seg = f"t{level - 1}", F.when(F.size("_seg") >= level, F.get(F.col("_seg"), F.lit(level - 1)))
-        df = df.withColumn("_s", seg)
-        kids = df.groupBy(up, "_s").agg(F.sum("n").alias("_n"))
-        nodes = kids.filter("_s IS NOT NULL").groupBy(up).agg(F.count("*").alias("_values"), F.sum("_n").alias("_pages"))
-        wild = cut(nodes.filter((F.col("_values") > VARIABLE_VALUES) & (F.col("_pages") < F.col("_values") * VARIABLE_PAGES)).select(up, F.lit("*").alias("_wild")))
-        df = df.join(wild, up, "left").withColumn(
-            f"t{level}", F.when(F.col("_s").isNull(), F.col(up)).otherwise(F.concat(F.col(up), F.lit("/"), F.coalesce("_wild", "_s")))
-        ).drop("_s", "_wild")
-    return df.drop("_seg")
-
-
-def purity(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(leaf template, purity): blocked part of the labelled pages, smoothed from the root down.
-
-    Branches that differ from their parent by less than the noise of their count
-    are statistically alike; they are merged, that is judged by their parent's purity.
-    """
-    leaves = cut(paths.groupBy(*[f"t{i}" for i in range(levels + 1)]).agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b")))
-    whole = leaves.agg(((F.coalesce(F.sum("_b"), F.lit(0)) + PRIOR / 2) / (F.coalesce(F.sum("_l"), F.lit(0)) + PRIOR)).alias("p")).first()["p"]
+def _shared(a: Column, b: Column) -> Column:
+    """Number of leading elements that the arrays a and b share."""
+    at = F.sequence(F.lit(0), F.least(F.size(a), F.size(b)))
+    return F.array_min(F.filter(at, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)) | (i == F.least(F.size(a), F.size(b)))))
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """Distinct (host, path, n, labelled, blocked) -> with up, the templates from the host down to the path's leaf."""
+    segments = F.filter(F.split("path", "/"), lambda x: x != "")
+    open_ = cut(paths.withColumn("_rest", segments).withColumn("_t", F.col("host")).withColumn("up", F.array("host")))
+    keep = [*paths.columns, "up"]
+    done = None
+    while True:
+        end = open_.filter("size(_rest) = 0").select(keep)
+        done = end if done is None else done.unionByName(end)
+        open_ = open_.filter("size(_rest) > 0")
+        if open_.isEmpty():
+            return done
+        # the least and the greatest path of a node share what all of them share
+        nodes = open_.groupBy("_t").agg(F.min("_rest").alias("_lo"), F.max("_rest").alias("_hi")).withColumn("_same", _shared(F.col("_lo"), F.col("_hi")))
+        df = open_.join(nodes.select("_t", "_same"), "_t")
+        begun = F.slice("_rest", F.lit(1), F.col("_same"))
+        df = df.withColumn("_stem", F.when(F.col("_same") > 0, F.concat(F.col("_t"), F.lit("/"), F.array_join(begun, "/"))).otherwise(F.col("_t")))
+        df = cut(df.withColumn("_s", F.get("_rest", F.col("_same"))).withColumn("_rest", F.slice("_rest", F.col("_same") + 2, F.size("_rest"))).drop("_same", "_t"))
+        kids = df.filter("_s IS NOT NULL").groupBy("_stem", "_s").agg(F.sum("n").alias("_n"))
+        wild = kids.groupBy("_stem").agg(F.count("*").alias("_values"), F.sum("_n").alias("_pages"))
+        wild = cut(wild.filter((F.col("_values") > VARIABLE_VALUES) & (F.col("_pages") < F.col("_values") * VARIABLE_PAGES)).select("_stem", F.lit("*").alias("_wild")))
+        df = df.join(wild, "_stem", "left")
+        below = F.when(F.col("_s").isNull(), F.col("_stem")).otherwise(F.concat(F.col("_stem"), F.lit("/"), F.coalesce("_wild", "_s")))
+        df = df.withColumn("_t", below).withColumn("up", F.array_distinct(F.concat("up", F.array("_stem", "_t")))).drop("_s", "_wild", "_stem")
+        open_ = cut(df)
+
+
+def pooled(kids: DataFrame) -> DataFrame:
+    """(_up, _node, _l, _b, _p) of sibling branches -> with _pl and _pb, the labelled and blocked pages of all alike siblings."""
+    bin_ = F.least(F.floor(F.asin(F.sqrt(F.col("_b") / F.col("_l"))) * F.lit(BINS / (math.pi / 2))), F.lit(BINS - 1)).cast("int")
+    kids = kids.withColumn("_bin", F.when(F.col("_l") > 0, bin_))
+    bins = kids.filter("_l > 0").groupBy("_up", "_bin").agg(F.sum("_l").alias("_bl"), F.sum("_b").alias("_bb"))  # BINS a parent
+    along = W.partitionBy("_up").orderBy("_bin")
+    l0, b0 = F.lag("_bl").over(along), F.lag("_bb").over(along)
+    share = (F.col("_bb") + b0) / (F.col("_bl") + l0)
+    error = F.sqrt(share * (1 - share) * (1 / F.col("_bl") + 1 / l0))
+    apart = F.coalesce(F.abs(F.col("_bb") / F.col("_bl") - b0 / l0) > ALIKE * error, F.lit(False))
+    bins = bins.withColumn("_apart", apart.cast("int")).withColumn("_branch", F.sum("_apart").over(along))
+    alike = W.partitionBy("_up", "_branch")
+    bins = bins.select("_up", "_bin", F.sum("_bl").over(alike).alias("_pl"), F.sum("_bb").over(alike).alias("_pb"))
+    return kids.join(bins, ["_up", "_bin"], "left").drop("_bin")
+
+
+def purity(grown: DataFrame) -> DataFrame:
+    """(up, purity): blocked part of the labelled pages of each leaf's branch, smoothed from the root down."""
+    leaves = cut(grown.groupBy("up").agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b")))
+    depth, whole = leaves.agg(
+        F.coalesce(F.max(F.size("up")), F.lit(0)),
+        (F.coalesce(F.sum("_b"), F.lit(0)) + PRIOR / 2) / (F.coalesce(F.sum("_l"), F.lit(0)) + PRIOR),
+    ).first()
     out = leaves.withColumn("_p", F.lit(float(whole)))
-    for i in range(levels + 1):
-        node = cut(out.groupBy(f"t{i}").agg(F.sum("_l").alias("_nl"), F.sum("_b").alias("_nb")))
-        out = out.join(node, f"t{i}")
-        error = F.sqrt(F.col("_p") * (1 - F.col("_p")) / F.greatest(F.col("_nl"), F.lit(1)))
-        alike = F.abs(F.col("_nb") / F.greatest(F.col("_nl"), F.lit(1)) - F.col("_p")) <= ALIKE * error
-        own = (F.col("_nb") + PRIOR * F.col("_p")) / (F.col("_nl") + PRIOR)
-        out = out.withColumn("_p", F.when((F.col("_nl") == 0) | alike, F.col("_p")).otherwise(own)).drop("_nl", "_nb")
-    return out.groupBy(f"t{levels}").agg(F.max("_p").alias("purity"))
-
-
-def judge(pages: DataFrame, url: str = "url", rules=RULES, levels: int = LEVELS) -> DataFrame:
-    """pages with host, path, rule, template, purity and verdict."""
-    seen = ruled(host_and_path(pages, url), rules)
+    for i in range(depth):
+        out = out.withColumn("_node", F.get("up", F.lit(i)))
+        up = F.get("up", F.lit(i - 1)) if i else F.lit("")
+        kids = out.filter("_node IS NOT NULL").withColumn("_up", up).groupBy("_up", "_node").agg(
+            F.sum("_l").alias("_l"), F.sum("_b").alias("_b"), F.max("_p").alias("_p")
+        )
+        own = F.when(F.col("_pl") > 0, (F.col("_pb") + PRIOR * F.col("_p")) / (F.col("_pl") + PRIOR)).otherwise(F.col("_p"))
+        judged = cut(pooled(cut(kids)).select("_node", own.alias("_own")))
+        out = cut(out.join(judged, "_node", "left").withColumn("_p", F.coalesce("_own", "_p")).drop("_node", "_own"))
+    return out.select("up", F.col("_p").alias("purity"))
+
+
+def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
+    """pages with host, path, rule, template, purity and verdict, which replace columns of those names."""
+    seen = ruled(host_and_path(pages.drop("rule", "template", "purity", "verdict"), url), rules)
     known = F.col("ruled").isNotNull()
     paths = seen.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")
     )
-    grown = cut(templates(paths, levels))
-    score = purity(grown, levels)
-    leaf = cut(grown.select("host", "path", F.col(f"t{levels}")).join(score, f"t{levels}")).withColumnRenamed(f"t{levels}", "template")
+    grown = cut(templates(paths))
+    leaf = cut(grown.select("host", "path", "up").join(purity(grown), "up").select("host", "path", F.element_at("up", -1).alias("template"), "purity"))
     return seen.join(leaf, ["host", "path"], "left").withColumn(
         "verdict", F.coalesce("ruled", F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
     ).drop("ruled")

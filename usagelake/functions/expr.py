@@ -63,8 +63,8 @@ def weights(side: int) -> dict[str, Column]:
     return {k: F.lit(v[side]) for k, v in dims.WEIGHTS.items()}
 
 
-def bound(side: int, params=None, token_weights=None, pue: Column | None = None) -> dict[str, Column]:
-    """One bound of the footprint: n, latency, IT energy, energy, embodied and total grams, water; grid_g is the mix."""
+def bound(side: int, params=None, token_weights=None, pue: Column | None = None, mix: Column | None = None) -> dict[str, Column]:
+    """One bound of the footprint: n, latency, IT energy, energy, embodied and total grams, water; grid_g is the mix unless one is given."""
     s = ("lo", "hi")[side]
     total, active = params or (F.col(f"pt_{s}"), F.col(f"pa_{s}"))
     w = token_weights or weights(side)
@@ -76,7 +76,7 @@ def bound(side: int, params=None, token_weights=None, pue: Column | None = None)
     embodied = (dims.SERVER_KG * n / dims.GPUS + dims.GPU_KG * n) * (latency / dims.LIFE_S) * 1000
     return {
         "n": n, "latency": latency, "energy": energy, "embodied": embodied,
-        "grams": energy / 1000 * F.col("grid_g") + embodied,
+        "grams": energy / 1000 * (F.col("grid_g") if mix is None else mix) + embodied,
         "water": it / 1000 * F.col(f"wue_{s}") + energy / 1000 * dims.OFFSITE[side],
     }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..functions.expr import DAY_MS, HOUR_MS
 from .provenance import dedupe
-from .rollup import resolve_models
+from .rollup import resolved
 
 # Fixed values.
 PACE_DAYS, MIN_HISTORY_DAYS = 7, 3
@@ -18,13 +18,16 @@ TRAJECTORY = "trajectory"
 # End of fixed values.
 
 
-def costs_between(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (rid, from_ms, to_ms) with cost and whether a price is missing; one dedup for all, both ends included."""
-    met = dedupe(events).join(F.broadcast(ranges)).filter("ts_ms BETWEEN from_ms AND to_ms")
-    sums = met.groupBy("rid", "model").agg(*[F.sum(c).alias(c) for c in expr.TOKENS])
-    priced = sums.join(F.broadcast(resolve_models(sums)), "model").withColumn("cost", expr.cost())
-    got = priced.groupBy("rid").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.bool_or(F.col("cost").isNull()).alias("unknown"))
-    return ranges.join(got, "rid", "left").select(*ranges.columns, F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("unknown", F.lit(False)).alias("unknown"))
+def costs_between(events: DataFrame, ranges: list[tuple[str, Column, Column]]) -> DataFrame:
+    """One row: cost_X of each range (X, from, to), both ends included, and whether a price is missing in any; one pass over the deduped events."""
+    inside = {n: F.col("ts_ms").between(a, b) for n, a, b in ranges}
+    met = dedupe(events).withColumns({f"_in_{n}": c for n, c in inside.items()}).filter(" OR ".join(f"_in_{n}" for n in inside))
+    sums = met.groupBy("model", *[f"_in_{n}" for n in inside]).agg(*[F.sum(c).alias(c) for c in expr.TOKENS])
+    priced = resolved(sums).withColumn("cost", expr.cost())
+    return priced.agg(
+        *[F.coalesce(F.sum(F.when(F.col(f"_in_{n}"), F.col("cost"))), F.lit(0.0)).alias(f"cost_{n}") for n in inside],
+        F.coalesce(F.bool_or(F.col("cost").isNull()), F.lit(False)).alias("cost_incomplete"),
+    )
 
 
 def month_bounds(now: int, tz: str = "UTC") -> tuple[Column, Column]:
@@ -40,13 +43,8 @@ def status(events: DataFrame, limit: float, now: int, tz: str = "UTC") -> DataFr
     spark = events.sparkSession
     start, end = month_bounds(now, tz)
     bounds = spark.range(1).select(start.alias("month_start"), end.alias("month_end"))
-    ranges = bounds.select(F.explode(F.array(
-        F.struct(F.lit("month").alias("rid"), F.col("month_start").alias("from_ms"), F.lit(now).alias("to_ms")),
-        F.struct(F.lit("pace").alias("rid"), F.lit(now - PACE_DAYS * DAY_MS).alias("from_ms"), F.lit(now).alias("to_ms")),
-    )).alias("r")).select("r.*")
-    costs = costs_between(events, ranges).agg(
-        F.max(F.when(F.col("rid") == "month", F.col("cost"))).alias("spent"), F.max(F.when(F.col("rid") == "pace", F.col("cost"))).alias("recent"), F.bool_or("unknown").alias("cost_incomplete")
-    )
+    costs = costs_between(events, [("month", start, F.lit(now)), ("pace", F.lit(now - PACE_DAYS * DAY_MS), F.lit(now))])
+    costs = costs.select(F.col("cost_month").alias("spent"), F.col("cost_pace").alias("recent"), "cost_incomplete")
     oldest = events.agg(F.min("ts_ms").alias("oldest"))
     row = bounds.join(costs).join(oldest).withColumn("history_days", F.coalesce(F.floor((F.lit(now) - F.col("oldest")) / DAY_MS), F.lit(0)))
     span = F.least(F.greatest(F.col("history_days"), F.lit(MIN_HISTORY_DAYS)), F.lit(PACE_DAYS)).cast("double")

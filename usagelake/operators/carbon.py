@@ -2,59 +2,51 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, expr
 from .rollup import slices
 
 
-def _by_grid() -> Column:
-    """The four mixes as an array to explode."""
-    return F.explode(F.array(*[F.struct(F.lit(k).alias("grid"), F.lit(dims.GRIDS[k]).alias("grid_g")) for k in dims.SENSITIVITY_GRIDS]))
-
-
 def _pairs(events: DataFrame, **how) -> DataFrame:
     """Priced rows by raw model that have tokens."""
     return slices(events, F.lit(1), **how).filter("tok_total > 0")
 
 
 def grid_sensitivity(events: DataFrame, grid: str | None = None) -> DataFrame:
-    """(grid, g_min, g_mid, g_max, ratio): the same use under four mixes, against the reference total."""
-    pairs = _pairs(events, grid=grid)
-    reference = pairs.agg(F.sum("g_mid").alias("reference"))
-    keep = [c for c in pairs.columns if c not in ("grid_g", "g_min", "g_mid", "g_max")]
-    each = pairs.select(*keep, _by_grid().alias("m")).select(*keep, "m.*").withColumns({k: v for k, v in expr.footprint().items() if k[0] == "g"})
-    total = each.groupBy("grid").agg(*[F.sum(c).alias(c) for c in ("g_min", "g_mid", "g_max")])
-    return total.join(F.broadcast(reference)).select("grid", "g_min", "g_mid", "g_max", F.when(F.col("reference") > 0, F.col("g_mid") / F.col("reference")).alias("ratio"))
+    """(grid, g_min, g_mid, g_max, ratio): the same use under four mixes, against the reference total.
+
+    All are sums of one pass over the priced rows; the one row of sums is then unfolded.
+    """
+    kinds = ("g_min", "g_mid", "g_max")
+    each = {k: expr.footprint(mix=F.lit(dims.GRIDS[k])) for k in dims.SENSITIVITY_GRIDS}
+    sums = [F.sum(f[c]).alias(f"{i}_{c}") for i, f in enumerate(each.values()) for c in kinds]
+    row = _pairs(events, grid=grid).agg(F.sum("g_mid").alias("reference"), *sums).filter("reference IS NOT NULL")
+    rows = F.array(*[F.struct(F.lit(k).alias("grid"), *[F.col(f"{i}_{c}").alias(c) for c in kinds]) for i, k in enumerate(each)])
+    return row.select("reference", F.explode(rows).alias("r")).select("r.*", F.when(F.col("reference") > 0, F.col("r.g_mid") / F.col("reference")).alias("ratio"))
 
 
 def uncertainty(events: DataFrame, grid: str | None = None) -> DataFrame:
-    """(lever, ratio): high over low when one assumption varies and the others are pinned.
+    """(lever, ratio): high over low when one assumption varies and the others are pinned; one pass over the priced rows.
 
     PUE stays free in all levers but its own.
     """
-    pairs = _pairs(events, grid=grid).drop(*expr.footprint())
     still = {k: F.lit((lo * hi) ** 0.5) for k, (lo, hi) in dims.WEIGHTS.items()}
     params = (expr.pinned("pt_lo", "pt_hi"), expr.pinned("pa_lo", "pa_hi"))
-    size = expr.footprint(token_weights=still)
-    weight = expr.footprint(params=params)
-    low = expr.footprint(params=params, token_weights=still, pue=F.col("pue_lo"))["g_mid"]
-    high = expr.footprint(params=params, token_weights=still, pue=F.col("pue_hi"))["g_mid"]
-    pinned = expr.footprint(params=params, token_weights=still)["g_mid"]
-    main = pairs.agg(
+    size, weight = expr.footprint(token_weights=still), expr.footprint(params=params)
+    side = {s: expr.footprint(params=params, token_weights=still, pue=F.col(f"pue_{s}"))["g_mid"] for s in ("lo", "hi")}
+    pinned = [expr.footprint(params=params, token_weights=still, mix=F.lit(dims.GRIDS[k]))["g_mid"] for k in dims.SENSITIVITY_GRIDS]
+    row = _pairs(events, grid=grid).drop(*expr.footprint()).agg(
         F.sum(size["g_min"]).alias("model_lo"), F.sum(size["g_max"]).alias("model_hi"),
         F.sum(weight["g_min"]).alias("weights_lo"), F.sum(weight["g_max"]).alias("weights_hi"),
-        F.sum(low).alias("infra_lo"), F.sum(high).alias("infra_hi"),
+        F.sum(side["lo"]).alias("infra_lo"), F.sum(side["hi"]).alias("infra_hi"),
+        F.least(*map(F.sum, pinned)).alias("grid_lo"), F.greatest(*map(F.sum, pinned)).alias("grid_hi"),
     )
-    free = pairs.drop("grid_g")
-    by_grid = free.select("*", _by_grid().alias("m")).select(*free.columns, "m.*").groupBy("grid").agg(F.sum(pinned).alias("g"))
-    mix = by_grid.agg(F.min("g").alias("grid_lo"), F.max("g").alias("grid_hi"))
-    row = main.join(F.broadcast(mix))
-    levers = [row.select(F.lit(k).alias("lever"), F.when(F.col(f"{k}_lo") > 0, F.col(f"{k}_hi") / F.col(f"{k}_lo")).alias("ratio")) for k in ("model", "weights", "grid", "infra")]
-    return reduce(DataFrame.unionByName, levers).filter("ratio IS NOT NULL")
+    levers = F.array(*[
+        F.struct(F.lit(k).alias("lever"), F.when(F.col(f"{k}_lo") > 0, F.col(f"{k}_hi") / F.col(f"{k}_lo")).alias("ratio")) for k in ("model", "weights", "grid", "infra")
+    ])
+    return row.select(F.explode(levers).alias("l")).select("l.*").filter("ratio IS NOT NULL")
 
 
 def equivalents(grams: DataFrame) -> DataFrame:

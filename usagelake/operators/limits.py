@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -24,10 +25,10 @@ def window_events(events: DataFrame) -> DataFrame:
 def consumption(events: DataFrame, windows: DataFrame) -> DataFrame:
     """windows (wid, fam, from_ms, to_ms) with the use inside them, both ends included; zero where there is none.
 
-    The windows are few rows and are broadcast; events are summed before any shuffle.
+    Windows are few; Spark broadcasts them by their size. Events are summed before any shuffle.
     """
     spans = windows.select("wid", "fam", "from_ms", "to_ms")
-    used = window_events(events).join(F.broadcast(spans), "fam").filter("ts_ms BETWEEN from_ms AND to_ms")
+    used = window_events(events).join(spans, "fam").filter("ts_ms BETWEEN from_ms AND to_ms")
     sums = used.groupBy("wid").agg(
         *[F.sum(c).alias(c) for c in ("tok_input", "tok_output", "tok_cache_write", "tok_cache_read", "tok_total")],
         F.sum(expr.requests()).alias("requests"),
@@ -37,9 +38,40 @@ def consumption(events: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def consumption_by_model(events: DataFrame, windows: DataFrame) -> DataFrame:
-    spans = windows.select("wid", "fam", "from_ms", "to_ms")
-    used = window_events(events).join(F.broadcast(spans), "fam").filter("ts_ms BETWEEN from_ms AND to_ms")
-    return used.groupBy("wid", "model").agg(F.sum("tok_total").alias("tok_total"), F.sum(expr.requests()).alias("requests"))
+    """(wid, tok_total, requests, models): the use inside each window, and a map of model to tokens."""
+    used = window_events(events).join(windows.select("wid", "fam", "from_ms", "to_ms"), "fam").filter("ts_ms BETWEEN from_ms AND to_ms")
+    each = used.groupBy("wid", "model").agg(F.sum("tok_total").alias("t"), F.sum(expr.requests()).alias("r"))
+    pairs = F.array_sort(F.collect_list(F.struct("model", "t")))
+    return each.groupBy("wid").agg(F.sum("t").alias("tok_total"), F.sum("r").alias("requests"), F.map_from_entries(pairs).alias("models"))
+
+
+def window_label(hours: Column) -> Column:
+    """A window's name by its length: session, daily, weekly, monthly, else the number of days."""
+    days = F.round(hours / 24).cast("int")
+    return (
+        F.when(hours < 24, F.concat(F.lit("session "), F.round(hours).cast("int").cast("string"), F.lit(" h"))).when(days == 1, "daily").when(days == 7, "weekly")
+        .when(days.between(28, 31), "monthly").otherwise(F.concat(days.cast("string"), F.lit(" days")))
+    )
+
+
+def by_product(gauge_rows: DataFrame) -> DataFrame:
+    """(product, rank, peak, origin, n): gauges of a product; rank 0 with a live one, 1 with a percentage, else 2; origin if all share it."""
+    origin = F.coalesce("limit_source", F.lit("none"))
+    return gauge_rows.withColumn("_o", origin).groupBy(F.col("provider").alias("product")).agg(
+        F.min(F.when(F.col("limit_source") == "live", 0).when(F.col("percent").isNotNull(), 1).otherwise(2)).alias("rank"),
+        F.max(F.coalesce("percent", F.lit(0.0))).alias("peak"), F.when(F.min("_o") == F.max("_o"), F.min("_o")).alias("origin"), F.count("*").alias("n"),
+    ).orderBy("rank", F.desc("peak"), "product")
+
+
+def cadence(now: int, errors: Column, next_attempt_in: Column, reason: Column, reported_at: Column) -> Column:
+    """struct(ok, waiting, pacing, error, age_ms, next_attempt_in) of a live source's polling."""
+    waiting, pacing = (next_attempt_in > 0) & (reason == "backoff"), (next_attempt_in > 0) & (reason == "cadence")
+    waiting, pacing = F.coalesce(waiting, F.lit(False)), F.coalesce(pacing, F.lit(False))
+    first = F.get(errors, F.lit(0))
+    return F.struct(
+        ((F.size(errors) == 0) & ~waiting).alias("ok"), waiting.alias("waiting"), pacing.alias("pacing"), F.coalesce(first, F.when(waiting, "suspended")).alias("error"),
+        (F.lit(now) - reported_at).alias("age_ms"), next_attempt_in.alias("next_attempt_in"),
+    )
 
 
 def observed_limit(used: Column, percent: Column) -> Column:
@@ -87,20 +119,21 @@ def anthropic_gauges(events: DataFrame, quota: DataFrame, now: int, limits: dict
     limits: window -> (weighted tokens, set by the user).  Observations after `now` are not seen.
     """
     spark = events.sparkSession
-    rows = [(w, h, o, *(limits or {}).get(w, (None, False))) for w, h, o in WINDOWS]
+    rows = [(w, h, o, *(limits or {}).get(w, (None, False))) for w, h, o in (*WINDOWS, ("_any", 0.0, False))]  # the last: all time
     spec = spark.createDataFrame(rows, "kind string, window_hours double, live_only boolean, limit double, by_user boolean")
     seen = quota.filter(F.col("ts_ms") <= now)
     at = F.struct("ts_ms", "seq")
-    known = seen.filter(F.col("resets_at_ms") > now).groupBy("kind").agg(F.max_by("resets_at_ms", at).alias("known_reset"))
-    live = seen.filter((F.col("source") == "anthropic-oauth") & F.col("used_percent").isNotNull()).groupBy("kind").agg(
-        F.max_by(F.struct("ts_ms", "resets_at_ms", "used_percent"), at).alias("live")
+    ahead, told = F.col("resets_at_ms") > now, (F.col("source") == "anthropic-oauth") & F.col("used_percent").isNotNull()
+    state = seen.groupBy("kind").agg(  # rows without an order take no part
+        F.max_by("resets_at_ms", F.when(ahead, at)).alias("known_reset"),
+        F.max_by(F.struct("ts_ms", "resets_at_ms", "used_percent"), F.when(told, at)).alias("live"),
     )
     span = (F.col("window_hours") * HOUR_MS).cast("long")
-    g = spec.join(F.broadcast(known), "kind", "left").join(F.broadcast(live), "kind", "left").filter("NOT live_only OR live IS NOT NULL")
+    g = spec.join(state, "kind", "left").filter("NOT live_only OR live IS NOT NULL OR kind = '_any'")
     g = g.withColumn("wid", F.col("kind")).withColumn("fam", F.lit("anthropic")).withColumn("from_ms", F.coalesce(F.col("known_reset"), F.lit(now)) - span).withColumn("to_ms", F.lit(now))
-    g = consumption(events, g)
-    any_ = window_events(events).filter("fam = 'anthropic'").select(F.lit("anthropic").alias("fam")).limit(1)
-    g = g.join(F.broadcast(any_), "fam", "left_semi")
+    whole = F.col("kind") == "_any"
+    g = g.withColumn("from_ms", F.when(whole, F.lit(-(2**62))).otherwise(F.col("from_ms"))).withColumn("to_ms", F.when(whole, F.lit(2**62)).otherwise(F.col("to_ms")))
+    g = consumption(events, g).withColumn("_any", F.max(F.when(whole, F.col("requests"))).over(W.partitionBy("fam"))).filter((F.col("_any") > 0) & ~whole)
     fresh = F.lit(now) - F.col("live.ts_ms") < FRESH_MS
     source = F.when(F.col("live").isNotNull(), F.when(fresh, "live").otherwise("live-stale")).when(F.col("limit").isNotNull(), F.when(F.col("by_user"), "user").otherwise("configured"))
     reset = F.when(F.col("live.resets_at_ms") != 0, F.col("live.resets_at_ms"))
@@ -118,17 +151,20 @@ def codex_gauges(events: DataFrame, quota: DataFrame, now: int) -> DataFrame:
     seen = quota.filter((F.col("ts_ms") <= now) & (F.col("source") == "codex-cli") & F.col("used_percent").isNotNull())
     last = seen.groupBy("kind").agg(F.max_by(F.struct("ts_ms", "resets_at_ms", "used_percent", "window_minutes"), F.struct("ts_ms", -F.col("seq"))).alias("q"))
     last = last.select("kind", "q.*")
-    newest = last.agg(F.max("ts_ms").alias("newest"))
-    last = last.join(F.broadcast(newest), F.col("newest") - F.col("ts_ms") <= OBSOLETE_MS).drop("newest")
+    newest = F.max("ts_ms").over(W.partitionBy())  # over a row for each kind
+    last = last.withColumn("newest", newest).filter(F.col("newest") - F.col("ts_ms") <= OBSOLETE_MS).drop("newest")
     hours = F.coalesce(F.col("window_minutes") / 60, F.lit(5.0))
     last = last.withColumn("window_hours", hours).withColumn("span", (F.col("window_hours") * HOUR_MS).cast("long"))
     last = last.withColumn("reset", F.when(F.col("resets_at_ms") != 0, F.col("resets_at_ms")).otherwise(F.col("ts_ms") + F.col("span")))
     last = last.withColumn("expired", F.col("reset") <= now)
     named = last.withColumn("wid", F.col("kind")).withColumn("fam", F.lit("openai"))
-    then = consumption(events, named.select("wid", "fam", (F.col("reset") - F.col("span")).alias("from_ms"), F.col("ts_ms").alias("to_ms")))
     begin = F.when(F.col("expired"), F.lit(now) - F.col("span")).otherwise(F.col("reset") - F.col("span"))
-    g = consumption(events, named.withColumn("from_ms", begin).withColumn("to_ms", F.lit(now)))
-    g = g.join(F.broadcast(then.select("wid", F.col("used").alias("then"))), "wid")
+    spans = F.array(  # the window now, and as it was reported
+        F.struct(F.lit(False).alias("was"), begin.alias("from_ms"), F.lit(now).alias("to_ms")),
+        F.struct(F.lit(True).alias("was"), (F.col("reset") - F.col("span")).alias("from_ms"), F.col("ts_ms").alias("to_ms")),
+    )
+    both = named.withColumn("s", F.explode(spans)).select(*named.columns, "s.*").withColumn("wid", F.concat("wid", F.col("was").cast("string")))
+    g = consumption(events, both).withColumn("then", F.max(F.when(F.col("was"), F.col("used"))).over(W.partitionBy("kind"))).filter("NOT was")
     limit = F.when((F.col("used_percent") > 0) & (F.col("then") > 0), F.col("then") / (F.col("used_percent") / 100))
     g = g.withColumn("limit", limit)
     derived = F.col("expired") & F.col("limit").isNotNull()
@@ -189,10 +225,10 @@ def project(gauge_rows: DataFrame, events: DataFrame, now: int) -> DataFrame:
     limit, remaining = scale()
     g = gauge_rows.withColumn("fam", F.col("provider")).join(F.broadcast(pace(events, now)), "fam", "left").withColumn("_remaining", remaining)
     short_limit, short_left = scale("s_")
-    five = gauge_rows.filter("window_hours = 5").select(*[F.col(c).alias(f"s_{c}") for c in ("provider", "gauge_id", "resets_at", "limit", "used", "percent")])
-    five = five.groupBy("s_provider").agg(F.min_by(F.struct(*[c for c in five.columns if c != "s_provider"]), "s_gauge_id").alias("s")).select("s_provider", "s.*")
-    five = five.withColumn("_short_limit", short_limit).withColumn("_short_left", short_left).select(F.col("s_provider").alias("provider"), F.col("s_resets_at"), "_short_limit", "_short_left")
-    g = g.join(F.broadcast(five), "provider", "left")
+    own = F.struct(*[F.col(c).alias(f"s_{c}") for c in ("resets_at", "limit", "used", "percent")])
+    five = F.min_by(own, F.when(F.col("window_hours") == 5, F.col("gauge_id"))).over(W.partitionBy("provider"))
+    has_five = F.max(F.col("window_hours") == 5).over(W.partitionBy("provider"))
+    g = g.withColumn("_s", F.when(has_five, five)).select("*", "_s.*").withColumn("_short_limit", short_limit).withColumn("_short_left", short_left)
     rate = F.col("pace_used") / PACE_MS
     ok = F.col("percent").isNotNull() & (F.col("percent") < 100) & F.col("_remaining").isNotNull() & (F.col("pace_used") > 0)
     simple = F.struct((F.col("_remaining") / rate).alias("in_ms"), F.lit(False).alias("throttled"))

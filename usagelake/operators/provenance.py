@@ -19,13 +19,21 @@ def local_coverage(events: DataFrame, tz: str = "UTC") -> DataFrame:
     return with_source(events).filter("grain = 'request'").select("fam", expr.day_key("ts_ms", tz).alias("day")).distinct()
 
 
+def marked(events: DataFrame, tz: str = "UTC") -> DataFrame:
+    """events with `_covered`: whether a daily record's family and day are covered by request records.
+
+    The cover is a row for each family and day: it grows with the calendar, not with the events, and is broadcast.
+    """
+    known = with_source(events).withColumn("_day", expr.day_key("ts_ms", tz))
+    cover = known.filter("grain = 'request'").select("fam", "_day").distinct().withColumn("_seen", F.lit(True))
+    known = known.join(F.broadcast(cover), ["fam", "_day"], "left")
+    return known.select(*events.columns, ((F.col("grain") == "daily") & F.col("_seen").isNotNull()).alias("_covered"))
+
+
 def split_families(events: DataFrame, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): daily records whose family and day are covered by request records are dropped."""
-    known = with_source(events).withColumn("day", expr.day_key("ts_ms", tz))
-    cover = known.filter("grain = 'request'").select("fam", "day").distinct()
-    daily = known.filter("grain = 'daily'")
-    kept = known.filter("grain <> 'daily'").unionByName(daily.join(cover, ["fam", "day"], "left_anti").select(known.columns))
-    return kept.select(events.columns), daily.join(cover, ["fam", "day"], "left_semi").select(events.columns)
+    each = marked(events, tz)
+    return each.filter("NOT _covered").drop("_covered"), each.filter("_covered").drop("_covered")
 
 
 def dedupe(events: DataFrame, tz: str = "UTC") -> DataFrame:

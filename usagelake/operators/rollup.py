@@ -14,38 +14,42 @@ from ..functions import dims, expr
 NO_PROJECT = "sans projet"
 
 
-def resolve_models(models: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Distinct raw `model` names -> id, family, provider, prices, parameters and infrastructure; never null but for prices.
+def resolved(df: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """df with what is known of its raw `model` names: id, family, provider, prices, parameters and infrastructure; null but for prices never.
 
-    An override (model, family, provider, p_in, p_out) replaces the registry's entry as a whole.
-    The distinct names alone meet the patterns.
+    The patterns are tried in order as one conditional expression, so df is
+    neither joined nor read again.  An override (model, family, provider, p_in,
+    p_out) replaces the registry's entry as a whole.
     """
-    spark = models.sparkSession
-    names = models.select("model").distinct()
-    hit = names.join(F.broadcast(dims.registry(spark)), F.rlike(F.lower("model"), F.col("pattern")))
-    first = hit.groupBy("model").agg(F.min_by(F.struct("model_id", "family", "provider", "p_in", "p_out", "context"), "priority").alias("m"))
-    found = names.join(first, "model", "left").select("model", "m.*")
-    synthetic = F.col("model") == dims.SYNTHETIC
-    unknown = F.col("model_id").isNull()
-    found = found.select(
-        "model",
-        F.when(synthetic, dims.SYNTHETIC).when(unknown, F.when(F.col("model") == "", "unknown").otherwise(F.col("model"))).otherwise(F.col("model_id")).alias("model_id"),
-        F.when(synthetic, "synthetic").otherwise(F.coalesce("family", F.lit("unknown"))).alias("family"),
-        F.coalesce("provider", F.lit("unknown")).alias("provider"),
-        F.when(synthetic, 0.0).otherwise(F.col("p_in")).alias("p_in"), F.when(synthetic, 0.0).otherwise(F.col("p_out")).alias("p_out"), "context",
+    low, raw = F.lower("model"), F.col("model")
+    entry = lambda i, f, p, a, b, c: F.struct(
+        i.alias("model_id"), F.lit(f).alias("family"), F.lit(p).alias("provider"), F.lit(a).cast("double").alias("p_in"),
+        F.lit(b).cast("double").alias("p_out"), F.lit(c).cast("long").alias("context"),
     )
+    found = F.when(raw == dims.SYNTHETIC, entry(F.lit(dims.SYNTHETIC), "synthetic", "unknown", 0.0, 0.0, None))
+    for pattern, *rest in dims.MODELS:
+        found = found.when(F.rlike(low, F.lit(pattern)), entry(F.lit(rest[0]), *rest[1:]))
+    found = found.otherwise(entry(F.when(raw == "", "unknown").otherwise(raw), "unknown", "unknown", None, None, None))
     if overrides is not None:
-        o = overrides.select("model", F.struct(
-            F.col("model").alias("model_id"), F.coalesce("family", F.lit("unknown")).alias("family"),
-            F.coalesce("provider", F.lit("unknown")).alias("provider"), "p_in", "p_out", F.lit(None).cast("long").alias("context"),
-        ).alias("o"))
-        own = F.struct("model_id", "family", "provider", "p_in", "p_out", "context")
-        found = found.join(F.broadcast(o), "model", "left").select("model", F.coalesce("o", own).alias("m")).select("model", "m.*")
-    zero = F.col("family") == "synthetic"
-    found = found.join(F.broadcast(dims.families(spark)), "family", "left").join(F.broadcast(dims.infra(spark)), "provider", "left")
-    return found.select(*[c for c in found.columns if not c.startswith(("pt_", "pa_"))], *[
-        F.when(zero, 0.0).otherwise(F.col(c)).alias(c) for c in ("pt_lo", "pt_hi", "pa_lo", "pa_hi")
-    ])
+        other = overrides.select("model", F.struct(
+            F.col("model").alias("model_id"), F.coalesce("family", F.lit("unknown")).alias("family"), F.coalesce("provider", F.lit("unknown")).alias("provider"),
+            F.col("p_in").cast("double").alias("p_in"), F.col("p_out").cast("double").alias("p_out"), F.lit(None).cast("long").alias("context"),
+        ).alias("_o"))
+        df, found = df.join(other, "model", "left"), F.coalesce("_o", found)
+    df = df.withColumn("_m", found).select(*[c for c in df.columns if c != "_o"], "_m.*")
+    pick = lambda table, key: F.coalesce(F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.struct(*[F.lit(y) for y in v]))]), F.col(key)))
+    size, infra = pick({**dims.FAMILIES, "synthetic": (0.0,) * 4}, "family"), pick({k: (*v, dims.GRIDS[v[4]]) for k, v in dims.INFRA.items()}, "provider")
+    df = df.withColumns({"_size": size, "_infra": infra})
+    names = ("pue_lo", "pue_hi", "wue_lo", "wue_hi", "own_grid", "mem", "own_grid_g")
+    return df.select(
+        *[c for c in df.columns if c not in ("_size", "_infra")], *[F.col(f"_infra.col{i + 1}").alias(n) for i, n in enumerate(names)],
+        *[F.col(f"_size.col{i + 1}").alias(n) for i, n in enumerate(("pt_lo", "pt_hi", "pa_lo", "pa_hi"))],
+    )
+
+
+def resolve_models(models: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """The distinct raw `model` names, resolved."""
+    return resolved(models.select("model").distinct(), overrides)
 
 
 def token_sums() -> list[Column]:
@@ -57,7 +61,7 @@ def slices(events: DataFrame, *keys: Column, grid: str | None = None, overrides:
     names = [f"key{i}" for i in range(len(keys))]
     keyed = events.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)])
     sums = keyed.groupBy(*names, "model").agg(*token_sums(), F.count("*").alias("events"), F.min("seq").alias("first_seq"))
-    priced = sums.join(F.broadcast(resolve_models(sums, overrides)), "model")
+    priced = resolved(sums, overrides)
     mix = F.col("own_grid_g") if grid is None else F.lit(dims.GRIDS.get(grid, dims.GRIDS["us-average"]))
     priced = priced.withColumn("grid_g", mix)
     return priced.withColumns({"cost": expr.cost(), "bare_cost": expr.cost_without_cache(), **expr.footprint()})

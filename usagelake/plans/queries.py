@@ -141,11 +141,12 @@ def versus_previous(spark, sf):
          "a AS (SELECT sum(tok_total)::BIGINT AS t, sum(cost) AS c, sum(g_mid) AS g FROM x), b AS (SELECT sum(tok_total)::BIGINT AS t, sum(cost) AS c, sum(g_mid) AS g FROM y)",
          f"SELECT {pct('a.t', 'b.t')} AS tokens_pct, round({pct('a.c', 'b.c')}, 4) AS cost_pct, round({pct('a.g', 'b.g')}, 4) AS carbon_pct, b.t > greatest(1000, 0.02 * a.t) AS significant FROM a, b"))
 def trend(spark, sf):
-    m = measured(spark, sf)
-    a = rollup.totals(rollup.period(m, START, NOW)).select(F.col("tok_total").alias("t"), F.col("cost").alias("c"), F.col("g_mid").alias("g"))
-    b = rollup.totals(rollup.previous(m, START, NOW)).select(F.col("tok_total").alias("t0"), F.col("cost").alias("c0"), F.col("g_mid").alias("g0"))
+    t = rollup.rollup(measured(spark, sf).filter(F.col("ts_ms").between(PREV, NOW)), F.col("ts_ms") >= START)
+    side = lambda c, cur: F.max(F.when(F.col("key0") == cur, F.col(c)))
+    names = {"tok_total": "t", "cost": "c", "g_mid": "g"}
+    row = t.agg(*[side(c, True).alias(n) for c, n in names.items()], *[side(c, False).alias(f"{n}0") for c, n in names.items()])
     ch = lambda x, d: F.round(rollup.change(F.col(x), F.col(f"{x}0")), d)
-    return a.join(F.broadcast(b)).select(ch("t", 6).alias("tokens_pct"), ch("c", 4).alias("cost_pct"), ch("g", 4).alias("carbon_pct"), (F.col("t0") > F.greatest(F.lit(1000.0), 0.02 * F.col("t"))).alias("significant"))
+    return row.select(ch("t", 6).alias("tokens_pct"), ch("c", 4).alias("cost_pct"), ch("g", 4).alias("carbon_pct"), (F.col("t0") > F.greatest(F.lit(1000.0), 0.02 * F.col("t"))).alias("significant"))
 
 
 @query(P(o.U, "SELECT source, min(ts_ms) AS oldest FROM u GROUP BY ROLLUP (source)"))

@@ -305,3 +305,89 @@ def test_streamed_append_and_alerts(spark, tmp_path, events):
     out = threshold_alerts(spark.readStream.schema(readings.schema).parquet(f"{tmp_path}/r")).writeStream.format("parquet")
     out.option("path", f"{tmp_path}/alerts").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start().awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/alerts").collect()) == [("w", 1, "80"), ("w", 3, "95")]
+
+
+def test_factor_table_and_methodology(spark):
+    from usagelake.functions import factors
+    from usagelake.sources import sinks
+
+    rows = factors.factor_table(spark).collect()
+    assert len(rows) == 44 and factors.factor_table(spark, "france").count() == 30
+    by = {(r["group"], r["key"]): r for r in rows}
+    assert by["method", "GPU_ENERGY_ALPHA"]["value"] == "0.0000891" and by["method", "HARDWARE_LIFESPAN_S"]["value"] == "157680000"
+    assert by["weights", "cacheRead"]["value"] == "0.0006 – 0.005" and by["weights", "cacheRead"]["pinned"] and not by["grid", "france"]["pinned"]
+    assert by["infrastructure", "local water on site"]["source"] == "providerInfra" and by["grid", "france"]["value"] == "56"
+    lines = [r[0] for r in sinks.methodology_lines(spark, "france").collect()]
+    assert len(lines) == 31 and lines[0].startswith("groupe,facteur,valeur") and lines[1].startswith("method,MODEL_QUANTIZATION_BITS,4,bits,ecologits,")
+    assert {r["source"] for r in factors.unpinned_sources(spark).collect()} == set(factors.SOURCES) - {"derived", "inferredFromBehaviour"}
+    assert {r["group"]: r["factors"] for r in factors.by_group(spark).collect()}["infrastructure"] == 12
+
+
+def test_documents(spark, sf):
+    import json
+
+    from usagelake.plans import queries as plans
+
+    s = json.loads(plans.snapshot_json(spark, sf).first()[0])
+    assert {"tokens", "costUSD", "gramsCO2e", "sensitivity", "uncertainty", "gauges", "budget", "models", "projects", "days", "hours", "equivalents"} <= set(s)
+    assert sum(m["tok_total"] for m in s["models"]) == s["tokens"] == sum(d["tok_total"] for d in s["days"]) and len(s["hours"]) == 24 and len(s["sensitivity"]) == 4
+    lines = [r[0] for r in plans.carbon_report(spark, sf).collect()]
+    assert lines[0] == "# Footprint" and sum(x.startswith("## ") for x in lines) == 7 and len([x for x in lines if x.startswith("| infrastructure")]) == 12
+
+
+def test_collect_isolates_failures(spark, tmp_path):
+    import json
+
+    from usagelake.sources.collect import collect
+
+    (tmp_path / "a").mkdir()
+    usage = {"input_tokens": 5, "output_tokens": 7}
+    line = json.dumps({"timestamp": "2024-01-02T03:04:05Z", "sessionId": "s", "message": {"id": "m", "role": "assistant", "model": "gpt-5", "usage": usage}})
+    (tmp_path / "a" / "x.jsonl").write_text(line + "\n" + line + "\nnot json\n")
+    (tmp_path / "c" / "archived_sessions").mkdir(parents=True)
+    (tmp_path / "c" / "archived_sessions" / "rollout-1.jsonl").write_text(json.dumps({"timestamp": "2024-01-02T03:04:05Z", "type": "e", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 9, "output_tokens": 1}}}}) + "\n")
+    e, q, status = collect(spark, {"claude-code": str(tmp_path / "a"), "codex-cli": str(tmp_path / "c"), "openai-api": str(tmp_path / "missing")}, 0)
+    assert sorted((r["source"], r["tok_total"]) for r in e.collect()) == [("claude-code", 12), ("codex-cli", 10)] and q.count() == 0
+    assert [(r["source"], r["available"], r["error"]) for r in status.collect()] == [
+        ("claude-code", True, None), ("anthropic-api", False, None), ("codex-cli", True, None), ("openai-api", False, "PATH_NOT_FOUND")]
+
+
+def test_index_is_saved_and_loaded(spark, sf, tmp_path):
+    from usagelake.operators import merge
+    from usagelake.sources.driver_tables import NOW, quota_obs, usage_events
+
+    folder = str(tmp_path)
+    assert merge.load_index(spark, folder, 90) == (None, None, 0, True)
+    merge.save_index(folder, usage_events(spark, sf), quota_obs(spark, sf), NOW, 20, 10, 5)
+    e, q, boundary, reread = merge.load_index(spark, folder, 20)
+    assert boundary == NOW - 10 * 86_400_000 and not reread and e.agg({"ts_ms": "min"}).first()[0] >= NOW - 20 * 86_400_000 and q.count() > 0
+    merge.save_index(folder, e, q, NOW + 1, 20, 0, boundary)
+    e2, _, later, reread = merge.load_index(spark, folder, 21)
+    assert later == boundary and reread and e2.count() == e.filter(f"ts_ms >= {NOW + 1 - 20 * 86_400_000}").count()
+
+
+def test_tail_reads_long_files_in_pieces(tmp_path, monkeypatch):
+    from usagelake.sources import tail
+
+    monkeypatch.setattr(tail, "PIECE", 7)
+    monkeypatch.setattr(tail, "STEP", 3)
+    path = tmp_path / "a.jsonl"
+    path.write_bytes(b"first line\nb\n\nccc\n" + b"\xff\xfe\n" + b"last\nunfinished")
+    reader = tail.TailReader({"path": str(tmp_path)})
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert len(parts) == 4 and [x[2] for p in parts for x in reader.read(p)] == ["first line", "b", "ccc", "last"]
+    path.unlink()
+    assert reader.latestOffset() == end and [x for p in parts for x in reader.read(p)] == []
+
+
+def test_streamed_trajectory_and_null_percent(spark, tmp_path):
+    from usagelake.streaming.alerting import threshold_alerts
+
+    rows = [("a", 40.0, 1, True), ("a", None, 2, True), ("a", 50.0, 3, True), ("a", 96.0, 4, False), ("b", 40.0, 1, False), ("c", 85.0, 1, True)]
+    data = spark.createDataFrame(rows, "key string, percent double, seq long, before_reset boolean")
+    data.write.parquet(f"{tmp_path}/r")
+    out = threshold_alerts(spark.readStream.schema(data.schema).parquet(f"{tmp_path}/r")).writeStream.format("parquet")
+    out.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/o").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/o").collect())
+    assert got == [("a", 1, "trajectory"), ("a", 4, "95"), ("c", 1, "80")]

@@ -106,25 +106,3 @@ def sources(spark: SparkSession) -> DataFrame:
 
 def equivalents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(EQUIVALENTS), "item string, g_per_unit double")
-
-
-def factor_table(spark: SparkSession, grid: str | None = None) -> DataFrame:
-    """(section, factor, lo, mid, hi, unit) of every constant of the footprint model; all grids unless one is named."""
-    def row(section, name, lo, hi, unit):
-        mid = (lo * hi) ** 0.5 if lo > 0 and hi > 0 else (lo + hi) / 2
-        return (section, name, lo, mid, hi, unit)
-
-    rows = [row("energy", n, x, x, u) for n, x, u in (
-        ("quantisation", QUANT_BITS, "bit"), ("gpu energy slope", ENERGY_A, "Wh/token/B"), ("gpu energy offset", ENERGY_B, "Wh/token"),
-        ("latency slope", LATENCY_A, "s/token/B"), ("latency offset", LATENCY_B, "s/token"), ("gpus per server", GPUS, "1"),
-        ("server power", SERVER_WATTS, "W"))]
-    rows += [row("embodied", n, x, x, u) for n, x, u in (("gpu", GPU_KG, "kgCO2e"), ("server", SERVER_KG, "kgCO2e"), ("lifespan", LIFE_S, "s"))]
-    rows += [row("weights", k, *v, "1") for k, v in WEIGHTS.items()]
-    for k, v in INFRA.items():
-        rows += [row("infrastructure", f"{k} pue", v[0], v[1], "1"), row("infrastructure", f"{k} wue", v[2], v[3], "L/kWh")]
-    rows.append(row("water", "off-site", *OFFSITE, "L/kWh"))
-    rows += [row("grid", k, v, v, "gCO2e/kWh") for k, v in GRIDS.items() if grid in (None, k)]
-    for k, v in FAMILIES.items():
-        rows += [row("parameters", f"{k} total", v[0], v[1], "B"), row("parameters", f"{k} active", v[2], v[3], "B")]
-    rows += [row("equivalents", k, v, v, "g/unit") for k, v in EQUIVALENTS]
-    return spark.createDataFrame(rows, "section string, factor string, lo double, mid double, hi double, unit string")

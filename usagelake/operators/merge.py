@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,6 +49,13 @@ def latest_quota(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_o")
 
 
+def merge_quota(existing: DataFrame, incoming: DataFrame, live_source: str = "anthropic-oauth") -> DataFrame:
+    """Live observations: the newest of each kind. All others are history: new keys are appended."""
+    live = F.col("source") == live_source
+    history = append_new(existing.filter(~live), incoming.filter(~live), HISTORY_KEY)
+    return history.unionByName(latest_quota(existing.filter(live), incoming.filter(live)))
+
+
 def retain(df: DataFrame, now: int, days: int) -> DataFrame:
     return df.filter(F.col("ts_ms") >= now - days * expr.DAY_MS)
 
@@ -76,3 +84,48 @@ def first_writes(lines: DataFrame, keys=("file", "write_id"), order: str = "pos"
     return named.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").unionByName(lines.filter(F.col(keys[-1]).isNull()))
 
 
+
+
+VERSION = 1
+
+
+def save_chain(events: DataFrame, quota: DataFrame, now: int, retention_days: int, compact_days: int, boundary: int = 0, tz: str = "UTC") -> tuple[DataFrame, DataFrame, int]:
+    """(events, quota, boundary) as they are stored: old rows go, older ones than compact_days are folded, the boundary never falls."""
+    kept = compact(retain(events, now, retention_days), now, compact_days, tz)
+    through = now - compact_days * expr.DAY_MS if compact_days else 0
+    return kept, retain(quota, now, retention_days), max(boundary, through)
+
+
+def save_index(folder: str, events: DataFrame, quota: DataFrame, now: int, retention_days: int, compact_days: int, boundary: int = 0, tz: str = "UTC") -> str:
+    """Writes the chain's result as a new version below folder, then its meta row, which makes it the one to load; returns its path.
+
+    A version is never overwritten, so what is read may be what is being replaced.
+    """
+    spark = events.sparkSession
+    kept, seen, boundary = save_chain(events, quota, now, retention_days, compact_days, boundary, tz)
+    path = f"{folder}/v{now}"
+    kept.withColumn("day", expr.day_key("ts_ms", tz)).write.mode("overwrite").partitionBy("day").parquet(f"{path}/events")
+    seen.write.mode("overwrite").parquet(f"{path}/quota")
+    meta = spark.createDataFrame([(VERSION, now, retention_days, compact_days, boundary, path)], META)
+    meta.coalesce(1).write.mode("append").parquet(f"{folder}/meta")
+    return path
+
+
+META = "version int, updated_at long, retention_days int, compact_days int, compacted_through long, path string"
+
+
+def load_index(spark: SparkSession, folder: str, retention_days: int) -> tuple[DataFrame | None, DataFrame | None, int, bool]:
+    """(events, quota, boundary, reread) last stored; reread: retention was widened, so sources are to be read from their beginnings.
+
+    Without an index, or with one of another version, there are no tables and everything is to be read.
+    """
+    try:
+        last = spark.read.schema(META).parquet(f"{folder}/meta").orderBy(F.desc("updated_at")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    if last is None or last["version"] != VERSION:
+        return None, None, 0, True
+    events = spark.read.parquet(f"{last['path']}/events").drop("day")
+    return events, spark.read.parquet(f"{last['path']}/quota"), last["compacted_through"], retention_days > last["retention_days"]

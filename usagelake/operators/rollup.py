@@ -21,22 +21,24 @@ def resolved(df: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     neither joined nor read again.  An override (model, family, provider, p_in,
     p_out) replaces the registry's entry as a whole.
     """
-    low, raw = F.lower("model"), F.col("model")
-    entry = lambda i, f, p, a, b, c: F.struct(
-        i.alias("model_id"), F.lit(f).alias("family"), F.lit(p).alias("provider"), F.lit(a).cast("double").alias("p_in"),
-        F.lit(b).cast("double").alias("p_out"), F.lit(c).cast("long").alias("context"),
-    )
-    found = F.when(raw == dims.SYNTHETIC, entry(F.lit(dims.SYNTHETIC), "synthetic", "unknown", 0.0, 0.0, None))
-    for pattern, *rest in dims.MODELS:
-        found = found.when(F.rlike(low, F.lit(pattern)), entry(F.lit(rest[0]), *rest[1:]))
-    found = found.otherwise(entry(F.when(raw == "", "unknown").otherwise(raw), "unknown", "unknown", None, None, None))
+    # the place of the first pattern that fits, then that place's entry of a constant array
+    low, raw, place = F.lower("model"), F.col("model"), F.when(F.col("model") == dims.SYNTHETIC, len(dims.MODELS))
+    for i, (pattern, *_) in enumerate(dims.MODELS):
+        place = place.when(F.rlike(low, F.lit(pattern)), i)
+    df = df.withColumn("_place", place)
+    entries = [*[m[1:] for m in dims.MODELS], (dims.SYNTHETIC, "synthetic", "unknown", 0.0, 0.0, None)]
+    names = ("model_id", "family", "provider", "p_in", "p_out", "context")
+    entry = lambda *v: F.struct(*[F.lit(x).cast(t).alias(n) for x, n, t in zip(v, names, ("string",) * 3 + ("double",) * 2 + ("long",), strict=True)])
+    known = F.get(F.array(*[entry(*e) for e in entries]), F.col("_place"))
+    other = F.struct(F.when(raw == "", "unknown").otherwise(raw).alias("model_id"), *[F.lit(x).cast(t).alias(n) for x, n, t in zip(("unknown", "unknown", None, None, None), names[1:], ("string", "string", "double", "double", "long"), strict=True)])
+    found = F.coalesce(known, other)
     if overrides is not None:
         other = overrides.select("model", F.struct(
             F.col("model").alias("model_id"), F.coalesce("family", F.lit("unknown")).alias("family"), F.coalesce("provider", F.lit("unknown")).alias("provider"),
             F.col("p_in").cast("double").alias("p_in"), F.col("p_out").cast("double").alias("p_out"), F.lit(None).cast("long").alias("context"),
         ).alias("_o"))
         df, found = df.join(other, "model", "left"), F.coalesce("_o", found)
-    df = df.withColumn("_m", found).select(*[c for c in df.columns if c != "_o"], "_m.*")
+    df = df.withColumn("_m", found).select(*[c for c in df.columns if c not in ("_o", "_place")], "_m.*")
     pick = lambda table, key: F.coalesce(F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.struct(*[F.lit(y) for y in v]))]), F.col(key)))
     size, infra = pick({**dims.FAMILIES, "synthetic": (0.0,) * 4}, "family"), pick({k: (*v, dims.GRIDS[v[4]]) for k, v in dims.INFRA.items()}, "provider")
     df = df.withColumns({"_size": size, "_infra": infra})
@@ -100,6 +102,26 @@ def change(now: Column, before: Column) -> Column:
     return F.when(before > 0, (now - before) / before * 100)
 
 
+def versus_previous(events: DataFrame, start: int, *keys: Column) -> DataFrame:
+    """Groups since `start` beside the same groups before it: change of tokens and cost in percent, and whether the change is worth showing.
+
+    events: both periods.  A cost that is unknown on either side is not compared.
+    One pass: groups are summed with their period, which is then folded.
+    """
+    names = [f"key{i}" for i in range(len(keys))]
+    g = rollup(events, *keys, F.col("ts_ms") >= start).withColumnRenamed(f"key{len(keys)}", "_now")
+    side = lambda c, now: F.max(F.when(F.col("_now") == now, F.col(c)))
+    g = g.groupBy(*names).agg(*[side(c, now).alias(n) for c, now, n in (
+        ("tok_total", True, "tok_total"), ("tok_total", False, "before"), ("cost", True, "_cost"), ("cost", False, "_cost0"), ("cost_unknown", True, "_u"), ("cost_unknown", False, "_u0"),
+    )]).filter("tok_total IS NOT NULL")
+    whole = g.agg(F.sum("tok_total").alias("_whole"))
+    level = F.when(F.col("before").isNull(), "new").when(F.col("before") > F.greatest(F.lit(1000.0), 0.02 * F.col("_whole")), "shown").otherwise("small")
+    return g.crossJoin(F.broadcast(whole)).select(  # one row
+        *names, "tok_total", "before", change(F.col("tok_total"), F.col("before")).alias("change_pct"),
+        F.when(~F.col("_u") & ~F.col("_u0"), change(F.col("_cost"), F.col("_cost0"))).alias("cost_change_pct"), level.alias("significance"),
+    )
+
+
 def totals(events: DataFrame, **how) -> DataFrame:
     """One row over all models: tokens, cost, savings of the cache, hit ratio, footprint."""
     t = rollup(events, F.lit(1), **how).drop("key0", "models", "first_seq")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dims, expr
-from ..operators import budget, carbon, limits, merge, provenance, rollup
+from ..functions import dims, expr, factors
+from ..operators import budget, carbon, limits, merge, provenance, report, rollup
 from ..sources import logs, sinks
 from ..sources.driver_tables import NOW, quota_obs, usage_events
 from . import oracle as o
@@ -126,15 +126,20 @@ def pct(a: str, b: str) -> str:
 
 
 @query(P(*UDM, o.slices(PROJ), o.slices(PROJ, f"ts_ms >= {PREV} AND ts_ms < {START}", name="y"),
-         "a AS (SELECT key, sum(tok_total)::BIGINT AS t FROM x GROUP BY key), b AS (SELECT key, sum(tok_total)::BIGINT AS t FROM y GROUP BY key)",
-         f"SELECT a.key AS project, a.t AS tok_total, b.t AS before, {pct('a.t', 'b.t')} AS change_pct, CASE WHEN b.t IS NULL THEN 'new' WHEN b.t > greatest(1000, 0.02 * (SELECT sum(t) FROM a)) THEN 'shown' ELSE 'small' END AS significance FROM a LEFT JOIN b USING (key)"))
+         "a AS (SELECT key, sum(tok_total)::BIGINT AS t, sum(cost) AS c, bool_or(cost IS NULL) AS u FROM x GROUP BY key), b AS (SELECT key, sum(tok_total)::BIGINT AS t, sum(cost) AS c, bool_or(cost IS NULL) AS u FROM y GROUP BY key)",
+         f"SELECT a.key AS project, a.t AS tok_total, b.t AS before, {pct('a.t', 'b.t')} AS change_pct, CASE WHEN NOT a.u AND NOT b.u THEN round({pct('a.c', 'b.c')}, 4) END AS cost_change_pct, CASE WHEN b.t IS NULL THEN 'new' WHEN b.t > greatest(1000, 0.02 * (SELECT sum(t) FROM a)) THEN 'shown' ELSE 'small' END AS significance FROM a LEFT JOIN b USING (key)"))
 def versus_previous(spark, sf):
     m = measured(spark, sf).filter(F.col("ts_ms").between(PREV, NOW))
-    cur = F.col("ts_ms") >= START
-    g = m.groupBy(rollup.project().alias("project")).agg(F.sum(F.when(cur, F.col("tok_total"))).alias("tok_total"), F.sum(F.when(~cur, F.col("tok_total"))).alias("before")).filter("tok_total IS NOT NULL")
-    whole = g.agg(F.sum("tok_total").alias("whole"))
-    level = F.when(F.col("before").isNull(), "new").when(F.col("before") > F.greatest(F.lit(1000.0), 0.02 * F.col("whole")), "shown").otherwise("small")
-    return g.join(F.broadcast(whole)).select("project", "tok_total", "before", F.round(rollup.change(F.col("tok_total"), F.col("before")), 6).alias("change_pct"), level.alias("significance"))
+    g = rollup.versus_previous(m, START, rollup.project())
+    return g.select(F.col("key0").alias("project"), "tok_total", "before", r("change_pct", 6), r("cost_change_pct", 4), "significance")
+
+
+@query(P(*UDM, o.slices("CASE WHEN model < 'claude-opus-5' THEN 'a' ELSE 'b' END"), o.slices("1", f"ts_ms >= {PREV} AND ts_ms < {START}", name="y"),
+         "a AS (SELECT model AS key, tok_total AS t, cost AS c FROM x), b AS (SELECT model AS key, tok_total AS t, cost AS c FROM y)",
+         f"SELECT a.key AS model, {pct('a.t', 'b.t')} AS change_pct, round({pct('a.c', 'b.c')}, 4) AS cost_change_pct FROM a LEFT JOIN b USING (key)"))
+def versus_previous_by_model(spark, sf):
+    m = measured(spark, sf).filter(F.col("ts_ms").between(PREV, NOW))
+    return rollup.versus_previous(m, START, F.col("model")).select(F.col("key0").alias("model"), r("change_pct", 6), r("cost_change_pct", 4))
 
 
 @query(P(*UDM, o.slices("1"), o.slices("1", f"ts_ms >= {PREV} AND ts_ms < {START}", name="y"),
@@ -237,7 +242,7 @@ def equivalents(spark, sf):
 
 @query()
 def factor_table(spark, sf):
-    return dims.factor_table(spark)
+    return factors.factor_table(spark)
 
 
 @query(P(*UD, f"SELECT model, project, day, hr::INT AS hour, CASE WHEN grouping(project) = 0 THEN 'project' WHEN grouping(day) = 0 THEN 'day' WHEN grouping(hr) = 0 THEN 'hour' ELSE 'model' END AS grouped_by, sum(tok_total)::BIGINT AS tok_total, sum(req)::BIGINT AS requests FROM (SELECT * REPLACE ({PROJ} AS project) FROM d WHERE ts_ms BETWEEN {START} AND {NOW}) GROUP BY GROUPING SETS ((model), (project, model), (day, model), (hr, model))"))
@@ -505,3 +510,84 @@ def extract_windows(spark, sf):
     inner = F.struct(F.col("used_percent").alias("utilization"), F.col("resets_at_ms").alias("resets_at"))
     value = F.when(F.col("kind") == "five_hour", F.to_json(F.struct(F.struct(inner.alias("five_hour")).alias("data")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.lit("seven_day").alias("type"), F.col("used_percent"), "resets_at_ms")).alias("limits"))))
     return logs.extract_windows(q.select(F.col("seq").alias("pid"), value.alias("value")))
+
+
+@query(P(o.U, o.F, WIN, "c AS (SELECT wid, model, sum(tok_total)::BIGINT AS t, sum(req)::BIGINT AS n FROM w JOIN f ON f.fam = w.fam AND f.grain = 'request' AND ts_ms BETWEEN a AND b GROUP BY 1, 2)",
+         "SELECT wid, sum(t)::BIGINT AS tok_total, sum(n)::BIGINT AS requests, string_agg(model || '=' || t, ',' ORDER BY model) AS models FROM c GROUP BY wid"))
+def consumption_by_model(spark, sf):
+    c = limits.consumption_by_model(usage_events(spark, sf), windows(spark))
+    pairs = F.transform(F.array_sort(F.map_entries("models")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return c.select("wid", "tok_total", "requests", F.array_join(pairs, ",").alias("models"))
+
+
+@query(P(o.U, o.F, o.Q, anthropic_sql(CODEX_CLOCK), codex_sql(CODEX_CLOCK), "gg AS (SELECT * FROM ga UNION ALL BY NAME SELECT * FROM gc)",
+         """SELECT gauge_id, CASE WHEN window_hours < 24 THEN 'session ' || round(window_hours)::INT || ' h' WHEN round(window_hours / 24) = 1 THEN 'daily' WHEN round(window_hours / 24) = 7 THEN 'weekly'
+         WHEN round(window_hours / 24) BETWEEN 28 AND 31 THEN 'monthly' ELSE round(window_hours / 24)::INT || ' days' END AS label FROM gg"""))
+def window_labels(spark, sf):
+    g = limits.gauges(usage_events(spark, sf), quota_obs(spark, sf), CODEX_CLOCK)
+    return g.select("gauge_id", limits.window_label(F.col("window_hours")).alias("label"))
+
+
+@query(P(o.U, o.F, o.Q, anthropic_sql(CODEX_CLOCK), codex_sql(CODEX_CLOCK), "gg AS (SELECT * FROM ga UNION ALL BY NAME SELECT * FROM gc)",
+         """SELECT provider AS product, min(CASE WHEN limit_source = 'live' THEN 0 WHEN percent IS NOT NULL THEN 1 ELSE 2 END) AS rank, round(max(coalesce(percent, 0)), 6) AS peak,
+         CASE WHEN count(DISTINCT coalesce(limit_source, 'none')) = 1 THEN min(coalesce(limit_source, 'none')) END AS origin, count(*) AS n FROM gg GROUP BY provider"""))
+def gauges_by_product(spark, sf):
+    return limits.by_product(limits.gauges(usage_events(spark, sf), quota_obs(spark, sf), CODEX_CLOCK)).select("product", "rank", r("peak", 6), "origin", "n")
+
+
+@query(P(o.EV, o.Q, f"SELECT seq, source, kind, ts_ms - ts_ms % 1000 AS age_from, NOT (k = 1) AS ok, k = 1 AS waiting, k = 2 AS pacing, CASE WHEN k = 1 THEN 'suspended' END AS error FROM (SELECT *, seq % 3 AS k FROM q) WHERE source = 'anthropic-oauth'"))
+def poll_cadence(spark, sf):
+    q = quota_obs(spark, sf).filter("source = 'anthropic-oauth'")
+    k = F.col("seq") % 3
+    c = limits.cadence(NOW, F.array().cast("array<string>"), F.when(k > 0, 60_000).otherwise(0), F.when(k == 1, "backoff").otherwise("cadence"), F.col("ts_ms"))
+    return q.withColumn("c", c).select("seq", "source", "kind", (F.lit(NOW) - F.col("c.age_ms") - F.col("ts_ms") % 1000).alias("age_from"), "c.ok", "c.waiting", "c.pacing", "c.error")
+
+
+@query(P(*UDM, o.slices("1"), o.values("lb", "model_id, label", dims.LABELS.items()), "n AS (SELECT model, tok_total, coalesce(label, model_id) AS label FROM x LEFT JOIN lb USING (model_id))",
+         "SELECT model, tok_total, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || ' (' || model || ')' ELSE label END AS label FROM n"))
+def labelled_models(spark, sf):
+    return report.model_rows(usage_events(spark, sf), START, NOW).select("model", "tok_total", "label")
+
+
+@query(P(o.U, f"SELECT min(ts_ms) AS from_ms, {NOW} AS to_ms FROM u"))
+def default_period(spark, sf):
+    return report.default_period(usage_events(spark, sf), NOW, whole=True)
+
+
+@query(P(o.U, f"k AS (SELECT * FROM u WHERE ts_ms >= {NOW - 20 * DAY})", f"SELECT ts_ms - ts_ms % 3600000 AS ts_ms, source, model, project, sum(tok_total)::BIGINT AS tok_total, 'hour' AS compacted, {CUT} AS boundary FROM k WHERE ts_ms < {CUT} GROUP BY 1, 2, 3, 4 UNION ALL SELECT ts_ms, source, model, project, tok_total, compacted, {CUT} FROM k WHERE ts_ms >= {CUT}"))
+def saved_index(spark, sf):
+    kept, _, boundary = merge.save_chain(usage_events(spark, sf), quota_obs(spark, sf), NOW, 20, 10, CUT - DAY)
+    return kept.select("ts_ms", "source", "model", "project", "tok_total", "compacted", F.lit(boundary).alias("boundary"))
+
+
+@query(P(o.EV, o.Q, f"x AS (SELECT * FROM q WHERE source <> 'anthropic-oauth' AND {EXIST}), y AS (SELECT * FROM q WHERE source <> 'anthropic-oauth' AND {INCOME})",
+         "SELECT seq, source, ts_ms, kind FROM x UNION ALL SELECT seq, source, ts_ms, kind FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.source = y.source AND x.ts_ms = y.ts_ms AND x.kind = y.kind AND x.resets_at_ms = y.resets_at_ms) "
+         f"UNION ALL SELECT seq, source, ts_ms, kind FROM (SELECT * FROM q WHERE source = 'anthropic-oauth' AND ({EXIST} OR {INCOME}) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ts_ms DESC, seq) = 1)"))
+def merge_quota(spark, sf):
+    q = quota_obs(spark, sf)
+    return merge.merge_quota(q.filter(EXIST), q.filter(INCOME)).select("seq", "source", "ts_ms", "kind")
+
+
+@query()
+def methodology_lines(spark, sf):
+    return sinks.methodology_lines(spark)
+
+
+@query()
+def factors_by_group(spark, sf):
+    return factors.by_group(spark)
+
+
+@query()
+def summary_json(spark, sf):
+    return report.summary_json(usage_events(spark, sf), quota_obs(spark, sf), START, NOW, 240.0)
+
+
+@query()
+def snapshot_json(spark, sf):
+    return report.snapshot_json(usage_events(spark, sf), quota_obs(spark, sf), START, NOW, 240.0)
+
+
+@query()
+def carbon_report(spark, sf):
+    return report.carbon_report(usage_events(spark, sf), START, NOW)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dims, expr
+from ..functions import dims, expr, factors
 from ..operators import provenance, rollup
 
 # The header of the long export.
@@ -47,6 +47,14 @@ def export_lines(events: DataFrame, start: int, end: int, tz: str = "UTC", **how
     return head.unionByName(body).orderBy("part", "day", F.desc("tok_total"), "first_seq").select("line")
 
 
+def methodology_lines(spark: SparkSession, grid: str | None = None) -> DataFrame:
+    """`line`: the header, then one line for each factor in use, with its citation."""
+    body = factors.factor_table(spark, grid).select(csv_line(*factors.methodology_cells()).alias("line"))
+    body = body.withColumn("n", F.monotonically_increasing_id() + 1)
+    head = spark.createDataFrame([(",".join(factors.HEADER), 0)], "line string, n long")
+    return head.unionByName(body).orderBy("n").select("line")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Part files of `path`, in order; joined, they are the whole text."""
     lines.write.mode("overwrite").text(path)

@@ -1,7 +1,8 @@
 """A streaming source that tails JSONL files by byte offset.
 
 Whole lines alone are read; a file that has shrunk starts again; lines that are
-not UTF-8 are skipped.  The offset is the map of path to bytes.
+not UTF-8 are skipped.  The offset is the map of path to bytes.  The driver looks
+at the ends of files only; a long unread range is read in pieces, a task each.
 """
 
 from __future__ import annotations
@@ -24,35 +25,60 @@ def log_files(folder: str, suffix: str) -> list[str]:
     return sorted(out)
 
 
-def whole_lines(path: str, start: int, end: int):
-    """(position, line) of the complete lines in [start, end) of a file."""
-    with open(path, "rb") as f:
-        f.seek(start)
+#: Bytes of one step back from a file's end, and of one task's piece of a file.
+STEP, PIECE = 65_536, 64_000_000
+
+
+def whole_lines(path: str, start: int, end: int, first: bool = True):
+    """(position, line) of the lines that begin in [start, end); of a later piece, the line that start falls into belongs to the one before.
+
+    One line at a time is held. A file that has gone gives none.
+    """
+    try:
+        f = open(path, "rb")
+    except OSError:
+        return
+    with f:
         at = start
-        for raw in f.read(end - start).split(b"\n"):
-            here, at = at, at + len(raw) + 1
-            if at > end + 1 or not raw.strip():
+        if not first:
+            f.seek(start - 1)
+            at = start - 1 + len(f.readline())
+        f.seek(at)
+        while at < end:
+            raw = f.readline()
+            if not raw.endswith(b"\n"):
+                break
+            here, at = at, at + len(raw)
+            if not raw.strip():
                 continue
             try:
-                yield here, raw.decode("utf-8").rstrip("\r")
+                yield here, raw[:-1].decode("utf-8").rstrip("\r")
             except UnicodeDecodeError:
                 continue
 
 
-def last_line_end(path: str, start: int) -> int:
-    """Offset after the last complete line at or after start; 0 stands for a file that has shrunk."""
-    size = os.path.getsize(path)
-    begin = start if size >= start else 0
-    with open(path, "rb") as f:
-        f.seek(begin)
-        tail = f.read(size - begin)
-    cut = tail.rfind(b"\n")
-    return begin + cut + 1 if cut >= 0 else begin
+def last_line_end(path: str, start: int) -> int | None:
+    """Offset after the last complete line at or after start, searched backwards; a file that has shrunk starts again; None if it has gone."""
+    try:
+        size = os.path.getsize(path)
+        begin = start if size >= start else 0
+        with open(path, "rb") as f:
+            upto = size
+            while upto > begin:
+                low = max(begin, upto - STEP)
+                f.seek(low)
+                cut = f.read(upto - low).rfind(b"\n")
+                if cut >= 0:
+                    return low + cut + 1
+                upto = low
+    except OSError:
+        return None
+    return begin
 
 
 class Piece(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, first: bool):
+        self.path, self.start, self.end, self.first = path, start, end, first
 
 
 class TailReader(DataSourceStreamReader):
@@ -65,7 +91,9 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         for path in log_files(self.folder, self.suffix):
-            self.known[path] = last_line_end(path, self.known.get(path, 0))
+            end = last_line_end(path, self.known.get(path, 0))
+            if end is not None:  # a file that has gone keeps its offset
+                self.known[path] = end
         return {"files": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
@@ -75,12 +103,11 @@ class TailReader(DataSourceStreamReader):
         for path, upto in new.items():
             begin = old.get(path, 0)
             begin = begin if begin <= upto else 0
-            if upto > begin:
-                out.append(Piece(path, begin, upto))
+            out += [Piece(path, at, min(at + PIECE, upto), at == begin) for at in range(begin, upto, PIECE)]
         return out
 
     def read(self, partition: Piece):
-        for at, line in whole_lines(partition.path, partition.start, partition.end):
+        for at, line in whole_lines(partition.path, partition.start, partition.end, partition.first):
             yield partition.path, at, line
 
 

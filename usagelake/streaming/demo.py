@@ -14,8 +14,12 @@ from .ingest import fold_hours
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="usagelake-")
+    """A new folder below spark.checkpoint.dir; where that is unset, a local one in local mode and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="usagelake-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 

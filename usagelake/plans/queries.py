@@ -127,19 +127,19 @@ def pct(a: str, b: str) -> str:
 
 @query(P(*UDM, o.slices(PROJ), o.slices(PROJ, f"ts_ms >= {PREV} AND ts_ms < {START}", name="y"),
          "a AS (SELECT key, sum(tok_total)::BIGINT AS t, sum(cost) AS c, bool_or(cost IS NULL) AS u FROM x GROUP BY key), b AS (SELECT key, sum(tok_total)::BIGINT AS t, sum(cost) AS c, bool_or(cost IS NULL) AS u FROM y GROUP BY key)",
-         f"SELECT a.key AS project, a.t AS tok_total, b.t AS before, {pct('a.t', 'b.t')} AS change_pct, CASE WHEN NOT a.u AND NOT b.u THEN round({pct('a.c', 'b.c')}, 4) END AS cost_change_pct, CASE WHEN b.t IS NULL THEN 'new' WHEN b.t > greatest(1000, 0.02 * (SELECT sum(t) FROM a)) THEN 'shown' ELSE 'small' END AS significance FROM a LEFT JOIN b USING (key)"))
+         f"SELECT a.key AS project, a.t AS tok_total, b.t AS before, {pct('a.t', 'b.t')} AS change_pct, CASE WHEN NOT a.u AND NOT b.u THEN {pct('a.c', 'b.c')} END AS cost_change_pct, CASE WHEN b.t IS NULL THEN 'new' WHEN b.t > greatest(1000, 0.02 * (SELECT sum(t) FROM a)) THEN 'shown' ELSE 'small' END AS significance FROM a LEFT JOIN b USING (key)"))
 def versus_previous(spark, sf):
     m = measured(spark, sf).filter(F.col("ts_ms").between(PREV, NOW))
     g = rollup.versus_previous(m, START, rollup.project())
-    return g.select(F.col("key0").alias("project"), "tok_total", "before", r("change_pct", 6), r("cost_change_pct", 4), "significance")
+    return g.select(F.col("key0").alias("project"), "tok_total", "before", r("change_pct", 6), r("cost_change_pct", 6), "significance")
 
 
 @query(P(*UDM, o.slices("CASE WHEN model < 'claude-opus-5' THEN 'a' ELSE 'b' END"), o.slices("1", f"ts_ms >= {PREV} AND ts_ms < {START}", name="y"),
          "a AS (SELECT model AS key, tok_total AS t, cost AS c FROM x), b AS (SELECT model AS key, tok_total AS t, cost AS c FROM y)",
-         f"SELECT a.key AS model, {pct('a.t', 'b.t')} AS change_pct, round({pct('a.c', 'b.c')}, 4) AS cost_change_pct FROM a LEFT JOIN b USING (key)"))
+         f"SELECT a.key AS model, {pct('a.t', 'b.t')} AS change_pct, {pct('a.c', 'b.c')} AS cost_change_pct FROM a LEFT JOIN b USING (key)"))
 def versus_previous_by_model(spark, sf):
     m = measured(spark, sf).filter(F.col("ts_ms").between(PREV, NOW))
-    return rollup.versus_previous(m, START, F.col("model")).select(F.col("key0").alias("model"), r("change_pct", 6), r("cost_change_pct", 4))
+    return rollup.versus_previous(m, START, F.col("model")).select(F.col("key0").alias("model"), r("change_pct", 6), r("cost_change_pct", 6))
 
 
 @query(P(*UDM, o.slices("1"), o.slices("1", f"ts_ms >= {PREV} AND ts_ms < {START}", name="y"),

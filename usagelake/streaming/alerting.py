@@ -2,8 +2,9 @@
 
 A threshold fires once for a window, the highest that is crossed alone; a
 trajectory fires below the first threshold, once, if the window is projected to
-fill before its reset.  A window that is not read for `forget` is forgotten.
-Readings without a percentage change nothing.
+fill before its reset.  A window that is not read for `forget` is forgotten; a
+stream with such a timeout runs on, so leave it out where the stream is to end
+with its input.  Readings without a percentage change nothing.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.budget import DEFAULT_THRESHOLDS, TRAJECTORY, text_of, thresholds
 
 
-def threshold_alerts(readings: DataFrame, given=DEFAULT_THRESHOLDS, projection: bool = True, forget: str = "32 days") -> DataFrame:
+def threshold_alerts(readings: DataFrame, given=DEFAULT_THRESHOLDS, projection: bool = True, forget: str | None = None) -> DataFrame:
     """readings (key, percent, seq; before_reset, if trajectories are known) -> (key, seq, threshold)."""
     steps = thresholds(given)
-    hold_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+    hold_ms = int(pd.Timedelta(forget).total_seconds() * 1000) if forget else None
     if "before_reset" not in readings.columns:
         readings = readings.withColumn("before_reset", F.lit(False))
 
@@ -39,8 +40,10 @@ def threshold_alerts(readings: DataFrame, given=DEFAULT_THRESHOLDS, projection:
                 out.append((key[0], seq, due[-1]))
                 fired.update(due)
         state.update((",".join(sorted(fired)),))
-        state.setTimeoutDuration(hold_ms)
+        if hold_ms:
+            state.setTimeoutDuration(hold_ms)
         yield pd.DataFrame(out, columns=["key", "seq", "threshold"])
 
     slim = readings.select("key", "percent", "seq", "before_reset")
-    return slim.groupBy("key").applyInPandasWithState(update, "key string, seq long, threshold string", "fired string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if hold_ms else GroupStateTimeout.NoTimeout
+    return slim.groupBy("key").applyInPandasWithState(update, "key string, seq long, threshold string", "fired string", "append", timeout)

@@ -57,7 +57,7 @@ STREAM = LANES * SPAN * 20
 #: Distinct words that a counting task holds before it hands them on; tasks that add up weights.
 HELD, ADDERS = 2_000_000, 16
 #: Bytes of text that are scored side by side, and states whose probabilities are taken at once.
-SIDE_BY_SIDE, SCORED = 7_000_000, 32_768
+SIDE_BY_SIDE, SCORED = 5_000_000, 32_768
 
 
 def ending(batch: Batch, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -316,6 +316,18 @@ def read(batch: Batch, words: Words):
     return h, words.tokens(h, ending(batch, start, end)), first
 
 
+def read_all(raw: list[bytes], words: Words):
+    """read() of texts in pieces of bounded size, put together: arrays as long as the bytes are short-lived."""
+    hashes, tokens, ends, seen = [], [], [np.zeros(1, np.int64)], 0
+    for a, b in chunks(raw):
+        h, k, first = read(Batch(raw[a:b], lower=True), words)
+        hashes.append(h)
+        tokens.append(k)
+        ends.append(first[1:] + seen)
+        seen += len(h)
+    return np.concatenate(hashes), np.concatenate(tokens), np.concatenate(ends)
+
+
 def with_ends(values: np.ndarray, first: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
     """values with `end` after each text's, and where each text's begin."""
     return np.insert(values, first[1:], end), first + np.arange(len(first))
@@ -422,7 +434,7 @@ def score(docs: DataFrame, words: Words, network: dict[str, np.ndarray], counts:
         for pdf in batches:
             raw = encode(pdf["text"])
             for a, b in chunks(raw, SIDE_BY_SIDE):
-                h, k, first = read(Batch(raw[a:b], lower=True), words)
+                h, k, first = read_all(raw[a:b], words)
                 h, _ = with_ends(h, first, U64(END))
                 k, at = with_ends(k, first, END_TOKEN)
                 c, found = words.counts(h)

@@ -262,6 +262,24 @@ def test_neighbours_of_several_lengths(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
 
 
+def test_neighbours_of_any_magnitude(spark):
+    """Cosines do not depend on length, also where squares overflow or vanish; columns with internal names do no harm."""
+    from usagelake.llm.neighbours import nearest
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 8))
+    times = [1e300, 1.0, 1e-300, 1e200, 5e-320]
+    data = [(i, (v * times[i % 5]).tolist(), "x", 7) for i, v in enumerate(x)]
+    got = rows(nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>, row string, g int"), lambda i: i % 10 == 0))
+    y = np.array([np.array(d[1]) / np.abs(d[1]).max() for d in data])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    for q in range(0, 60, 10):
+        s = y @ y[q]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in mine] == [i for i in np.argsort(-s) if i != q][:5]
+        assert all(math.isclose(r["score"], s[r["vec_id"]], rel_tol=1e-12) for r in mine)
+
+
 def windows_of(text):
     w = ALNUM.findall((text or "").translate(LOWER))
     return [tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))] if w else []

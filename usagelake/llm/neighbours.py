@@ -16,7 +16,8 @@ Defined results: null vectors, zero vectors and vectors with null or non-finite
 components neither ask nor answer; vectors are compared with those of their own
 length, each length with codebooks of its own; rows with a null id take no part;
 equal vectors tie and the smaller id is nearer; repeated ids are rows of their
-own; an empty table gives an empty result.
+own; components of any finite size neither overflow nor vanish; columns other than
+the two named are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -114,9 +115,14 @@ def distinct(known: DataFrame, most: int) -> DataFrame:
     return few.select(F.col("members")[0]["vec_id"].alias("vec_id"), F.col("members")[0]["row"].alias("row"), "v", "members")
 
 
-def _matrix(column) -> np.ndarray:
+def _scaled(column) -> np.ndarray:
+    """Vectors of a column, each times a power of two that brings it near 1: cosines keep every bit, squares stay finite."""
     x = np.stack([np.asarray(v, np.float64) for v in column])
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _matrix(column) -> np.ndarray:
+    x = _scaled(column)
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
@@ -194,8 +200,7 @@ def nearest_alike(known: DataFrame, is_query, k: int, rerank: int, books: int, w
 
     def exact(batches):
         for pdf in batches:
-            a = np.stack([np.asarray(v, np.float64) for v in pdf["a"]])
-            b = np.stack([np.asarray(v, np.float64) for v in pdf["b"]])
+            a, b = _scaled(pdf["a"]), _scaled(pdf["b"])
             score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
             yield pdf[["query", "query_id", "row", "vec_id"]].assign(score=score)
 

@@ -238,15 +238,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: float = SHARE)
         F.xxhash64(F.lit(b), F.substring("regs", b * BAND * 2 + 1, BAND * 2)) for b in range(bands)
     ])).alias("band", "bucket"))
     many = cut(spread.groupBy("bucket").agg(F.count("*").alias("g"), F.min("class").alias("hub")).filter("g > 1"))
-    members = cut(spread.join(many, "bucket"))
+    members = cut(spread.join(sized(many), "bucket"))
     wanted = cut(members.select("class").distinct().join(reps.select("class", "key"), "class").select("key"))
     chosen = keyed.join(sized(wanted), "key", "left_semi")
     sets = cut(sketch(chosen, size, with_sets=True).dropDuplicates(["class"]).drop("key"))
 
     # every member with its bucket's hub
     pairs = cut(members.filter("class != hub").select("hub", "class").distinct())
-    parts = pairs.groupBy("hub").agg(F.count("*").alias("g")).withColumn("parts", F.ceil(F.col("g") / BLOCK).cast("int"))
-    dealt = pairs.join(parts, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("class"), F.col("parts"))))
+    parts = cut(pairs.groupBy("hub").agg(F.count("*").alias("g")).withColumn("parts", F.ceil(F.col("g") / BLOCK).cast("int")))
+    dealt = pairs.join(sized(parts), "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("class"), F.col("parts"))))
     ask = dealt.select("block", F.col("hub").alias("class")).distinct().withColumn("ask", F.lit(True))
     rows = ask.unionByName(dealt.select("block", "class").withColumn("ask", F.lit(False)))
     rows = rows.withColumn("band", F.lit(0)).withColumn("comp", F.col("class"))
@@ -258,9 +258,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: float = SHARE)
     labelled = cut(labelled.select("bucket", "band", "class", "comp", "g"))
     split = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "class").alias("home"))
     split = cut(split.filter("lo != hi").select("bucket", "home"))
-    open_ = labelled.join(split, "bucket")
-    n_ask = open_.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("home")).alias("n_ask"))
-    open_ = open_.join(n_ask, "bucket").withColumn("qs", F.ceil(F.col("n_ask") / BLOCK).cast("int")).withColumn("ts", F.ceil(F.col("g") / BLOCK).cast("int"))
+    open_ = labelled.join(sized(split), "bucket")
+    n_ask = cut(open_.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("home")).alias("n_ask")))
+    open_ = open_.join(sized(n_ask), "bucket").withColumn("qs", F.ceil(F.col("n_ask") / BLOCK).cast("int")).withColumn("ts", F.ceil(F.col("g") / BLOCK).cast("int"))
     here = F.xxhash64("class")
     asks = open_.filter("comp != home").withColumn("q", F.pmod(here, F.col("qs"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("ts") - 1)))
     told = open_.withColumn("t", F.pmod(here, F.col("ts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))

@@ -271,11 +271,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: float = SHARE)
         comp = cut(components(edges.unionByName(more)))
 
     classes = known.select("key", "n", "class").join(ids.distinct(), "key")
-    least = classes.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    least = classes.join(sized(comp), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = cut(least.select("key", "n", "comp", "doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
-    top = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"), first.alias("leader"))
-    found = least.join(top, "comp").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "component_id", "leader")])
+    top = least.groupBy("comp").agg(F.count("*").alias("g"), F.min("doc_id").alias("component_id"), first.alias("leader"))
+    top = cut(top.filter("g > 1").drop("g"))  # a row alone in its component leads itself
+    found = least.join(sized(top), "comp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("leader", F.coalesce("leader", "key"))
+    found = found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "component_id", "leader")])
     every = ids.join(found, "key", "left")
     return every.select(
         "key", "doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),

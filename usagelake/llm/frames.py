@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast after they have been counted.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one key that a shuffle may bring to a task.
+HOT_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +44,19 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join; right has a row for each key and, in `n`, the number of rows that left has of it.
+
+    right is broadcast if it has few rows by count.  Otherwise the keys of more than `hot` rows are broadcast, of which
+    left can hold no more than its rows / hot, and the others are shuffled: no task gets more than `hot` rows of a key.
+    """
+    if right.limit(rows + 1).count() <= rows:
+        return left.join(F.broadcast(right), keys)
+    often = right.filter(F.col("n") > hot)
+    # a left row of a hot key meets no other row of right
+    return left.join(F.broadcast(often), keys).unionByName(left.join(F.broadcast(often.select(keys)), keys, "left_anti").join(right.filter(F.col("n") <= hot), keys))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

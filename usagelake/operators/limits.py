@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.expr import HOUR_MS
 from .provenance import with_source
+from .scan import counted, running, settled, written
 
 # Fixed values.
 WINDOWS = (("five_hour", 5.0, False), ("weekly", 168.0, False), ("weekly_opus", 168.0, True))
@@ -22,27 +23,74 @@ def window_events(events: DataFrame) -> DataFrame:
     return with_source(events).filter("grain = 'request'")
 
 
+COUNTS = ("tok_input", "tok_output", "tok_cache_write", "tok_cache_read", "tok_total", "requests")
+
+
+def hour_of(ts_ms: str) -> Column:
+    return F.col(ts_ms) - F.pmod(F.col(ts_ms), F.lit(HOUR_MS))
+
+
+def cuts(windows: DataFrame) -> DataFrame:
+    """(fam, hour, from_at, to_at): the hours that windows (fam, from_ms, to_ms) begin or end in, cut into the pieces between those edges."""
+    edges = windows.select("fam", F.explode(F.array(F.col("from_ms"), F.col("to_ms") + 1)).alias("at"))
+    edges = edges.withColumn("hour", hour_of("at"))
+    edges = edges.unionByName(edges.withColumn("at", F.col("hour"))).distinct()
+    following = F.lead("at").over(W.partitionBy("fam", "hour").orderBy("at"))
+    return edges.select("fam", "hour", F.col("at").alias("from_at"), F.coalesce(following, F.col("hour") + HOUR_MS).alias("to_at"))
+
+
+def buckets(events: DataFrame, windows: DataFrame, few: bool, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Request events summed by family, keys and time: (fam, *keys, at, COUNTS).
+
+    A bucket is an hour, or, in an hour that an edge of a window falls into, the time between two edges; so every bucket lies
+    inside a window or outside.  There are as many as hours and edges, however many events.  Events are read once, and
+    summed before they are shuffled.  few: windows are few by count, and their edges are broadcast.
+    """
+    pieces = F.broadcast(cuts(windows)) if few else counted(cuts(windows))
+    p = pieces.select(F.col("fam").alias("_fam"), F.col("hour").alias("_hour"), "from_at", "to_at")
+    each = window_events(events).withColumn("requests", expr.requests()).withColumn("hour", hour_of("ts_ms")).select("fam", *keys, "hour", "ts_ms", *COUNTS)
+    met = each.join(p, (F.col("fam") == F.col("_fam")) & (F.col("hour") == F.col("_hour")) & (F.col("ts_ms") >= F.col("from_at")) & (F.col("ts_ms") < F.col("to_at")), "left")
+    at = F.coalesce(F.col("from_at"), F.col("hour")).alias("at")
+    return met.groupBy("fam", *keys, at).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def sums_inside(events: DataFrame, windows: DataFrame, few: bool, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(wid, *keys, COUNTS) of windows (wid, fam, from_ms, to_ms), both ends included, by the running sums at their ends."""
+    found = written(buckets(events, windows, few, keys))
+    ends = F.explode(F.array(F.struct(F.col("from_ms").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("to_ms") + 1).alias("at"), F.lit(1).alias("sign"))))
+    marks = windows.select("wid", "fam", ends.alias("e")).select("wid", "fam", "e.*")
+    if keys:
+        marks = marks.join(found.select("fam", *keys).distinct(), "fam")
+    line = found.withColumn("wid", F.lit(None).cast(windows.schema["wid"].dataType)).withColumn("sign", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    # a mark stands before the bucket that begins with it
+    line = line.withColumn("side", F.when(F.col("sign") == 0, 1).otherwise(0)).withColumn("_key", F.to_json(F.struct("fam", *keys)))
+    day = F.col("at") - F.pmod(F.col("at"), F.lit(expr.DAY_MS))
+    line = running(line, ["_key"], day, ["at", "side"], sums=COUNTS)
+    return line.filter("sign <> 0").groupBy("wid", *keys).agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in COUNTS])
+
+
+def spans_of(windows: DataFrame) -> tuple[DataFrame, bool]:
+    """(wid, fam, from_ms, to_ms) of the windows that hold time at all, computed once, and whether they are few."""
+    return settled(windows.select("wid", "fam", "from_ms", "to_ms").filter("from_ms <= to_ms"))
+
+
 def consumption(events: DataFrame, windows: DataFrame) -> DataFrame:
     """windows (wid, fam, from_ms, to_ms) with the use inside them, both ends included; zero where there is none.
 
-    Windows are few; Spark broadcasts them by their size. Events are summed before any shuffle.
+    Any number of windows costs one pass over the events: the edges of few are broadcast, those of many meet the events by
+    family and hour.  Windows that end before they begin hold nothing.
     """
-    spans = windows.select("wid", "fam", "from_ms", "to_ms")
-    used = window_events(events).join(spans, "fam").filter("ts_ms BETWEEN from_ms AND to_ms")
-    sums = used.groupBy("wid").agg(
-        *[F.sum(c).alias(c) for c in ("tok_input", "tok_output", "tok_cache_write", "tok_cache_read", "tok_total")],
-        F.sum(expr.requests()).alias("requests"),
-    ).withColumn("used", expr.weighted())
+    spans, few = spans_of(windows)
+    sums = sums_inside(events, spans, few).withColumn("used", expr.weighted())
     keep = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tok_total", "requests")]
     return windows.join(sums, "wid", "left").select(*windows.columns, *keep, F.coalesce("used", F.lit(0.0)).alias("used"))
 
 
 def consumption_by_model(events: DataFrame, windows: DataFrame) -> DataFrame:
-    """(wid, tok_total, requests, models): the use inside each window, and a map of model to tokens."""
-    used = window_events(events).join(windows.select("wid", "fam", "from_ms", "to_ms"), "fam").filter("ts_ms BETWEEN from_ms AND to_ms")
-    each = used.groupBy("wid", "model").agg(F.sum("tok_total").alias("t"), F.sum(expr.requests()).alias("r"))
-    pairs = F.array_sort(F.collect_list(F.struct("model", "t")))
-    return each.groupBy("wid").agg(F.sum("t").alias("tok_total"), F.sum("r").alias("requests"), F.map_from_entries(pairs).alias("models"))
+    """(wid, tok_total, requests, models): the use inside each window, and a map of model to tokens; no row without use."""
+    each = sums_inside(events, *spans_of(windows), ("model",)).filter("requests > 0")
+    pairs = F.array_sort(F.collect_list(F.struct("model", F.col("tok_total").alias("t"))))
+    return each.groupBy("wid").agg(F.sum("tok_total").alias("tok_total"), F.sum("requests").alias("requests"), F.map_from_entries(pairs).alias("models"))
 
 
 def window_label(hours: Column) -> Column:
@@ -83,15 +131,11 @@ def calibrate(events: DataFrame, quota: DataFrame, wid: str, hours: float) -> Da
     """(limit, observed_at, samples) of the rejections that a full window caused; no row if none had use."""
     r = quota.filter((F.col("source") == "claude-code") & (F.col("status") == "rejected") & (F.col("kind") == wid) & (F.col("resets_at_ms") != 0) & (F.col("cause") == "window"))
     windows = r.select(F.col("seq").alias("wid"), F.lit("anthropic").alias("fam"), (F.col("resets_at_ms") - int(hours * HOUR_MS)).alias("from_ms"), F.col("ts_ms").alias("to_ms"))
-    # rejections may be many: events meet them by hour instead of all with all
-    hour = lambda c: F.floor(F.col(c) / HOUR_MS)
-    asked = windows.withColumn("h", F.explode(F.sequence(hour("from_ms"), hour("to_ms")))) if hours <= 24 else windows.withColumn("h", F.explode(F.sequence(F.floor(F.col("from_ms") / expr.DAY_MS), F.floor(F.col("to_ms") / expr.DAY_MS))))
-    unit = HOUR_MS if hours <= 24 else expr.DAY_MS
-    mine = window_events(events).filter("fam = 'anthropic'").withColumn("h", F.floor(F.col("ts_ms") / unit))
-    met = asked.join(mine.drop("fam"), "h").filter("ts_ms BETWEEN from_ms AND to_ms")
-    used = met.groupBy("wid", "to_ms").agg(F.sum(expr.weighted()).alias("used"))
-    best = used.agg(F.max("used").alias("limit"), F.max_by("to_ms", F.struct("used", -F.col("to_ms"))).alias("observed_at"))
-    return best.filter("limit > 0").join(r.agg(F.count("*").alias("samples"))).select("limit", "observed_at", "samples")
+    used, had = consumption(events, windows), F.col("requests") > 0
+    best = used.agg(
+        F.max(F.when(had, F.col("used"))).alias("limit"), F.max_by("to_ms", F.when(had, F.struct("used", -F.col("to_ms")))).alias("observed_at"), F.count("*").alias("samples"),
+    )
+    return best.filter("limit > 0")
 
 
 def user_calibration(events: DataFrame, quota: DataFrame, gauge_id: str, percent: float, now: int) -> DataFrame:
@@ -113,12 +157,9 @@ def user_calibration(events: DataFrame, quota: DataFrame, gauge_id: str, percent
     return found.filter("limit IS NOT NULL")
 
 
-def anthropic_gauges(events: DataFrame, quota: DataFrame, now: int, limits: dict[str, tuple[float, bool]] | None = None) -> DataFrame:
-    """One row a window; none without any request event of the family.
-
-    limits: window -> (weighted tokens, set by the user).  Observations after `now` are not seen.
-    """
-    spark = events.sparkSession
+def anthropic_windows(quota: DataFrame, now: int, limits: dict[str, tuple[float, bool]] | None = None) -> DataFrame:
+    """The family's windows, and one of all time, with what was last observed of them."""
+    spark = quota.sparkSession
     rows = [(w, h, o, *(limits or {}).get(w, (None, False))) for w, h, o in (*WINDOWS, ("_any", 0.0, False))]  # the last: all time
     spec = spark.createDataFrame(rows, "kind string, window_hours double, live_only boolean, limit double, by_user boolean")
     seen = quota.filter(F.col("ts_ms") <= now)
@@ -130,10 +171,15 @@ def anthropic_gauges(events: DataFrame, quota: DataFrame, now: int, limits: dict
     )
     span = (F.col("window_hours") * HOUR_MS).cast("long")
     g = spec.join(state, "kind", "left").filter("NOT live_only OR live IS NOT NULL OR kind = '_any'")
-    g = g.withColumn("wid", F.col("kind")).withColumn("fam", F.lit("anthropic")).withColumn("from_ms", F.coalesce(F.col("known_reset"), F.lit(now)) - span).withColumn("to_ms", F.lit(now))
+    g = g.withColumn("wid", F.concat(F.lit("anthropic-"), "kind")).withColumn("fam", F.lit("anthropic")).withColumn("from_ms", F.coalesce(F.col("known_reset"), F.lit(now)) - span).withColumn("to_ms", F.lit(now))
     whole = F.col("kind") == "_any"
-    g = g.withColumn("from_ms", F.when(whole, F.lit(-(2**62))).otherwise(F.col("from_ms"))).withColumn("to_ms", F.when(whole, F.lit(2**62)).otherwise(F.col("to_ms")))
-    g = consumption(events, g).withColumn("_any", F.max(F.when(whole, F.col("requests"))).over(W.partitionBy("fam"))).filter((F.col("_any") > 0) & ~whole)
+    return g.withColumn("from_ms", F.when(whole, F.lit(-(2**62))).otherwise(F.col("from_ms"))).withColumn("to_ms", F.when(whole, F.lit(2**62)).otherwise(F.col("to_ms")))
+
+
+def anthropic_read(used: DataFrame, now: int) -> DataFrame:
+    """Gauges of the family's windows with their use."""
+    whole = F.col("kind") == "_any"
+    g = used.withColumn("_any", F.max(F.when(whole, F.col("requests"))).over(W.partitionBy("fam"))).filter((F.col("_any") > 0) & ~whole)
     fresh = F.lit(now) - F.col("live.ts_ms") < FRESH_MS
     source = F.when(F.col("live").isNotNull(), F.when(fresh, "live").otherwise("live-stale")).when(F.col("limit").isNotNull(), F.when(F.col("by_user"), "user").otherwise("configured"))
     reset = F.when(F.col("live.resets_at_ms") != 0, F.col("live.resets_at_ms"))
@@ -146,8 +192,8 @@ def anthropic_gauges(events: DataFrame, quota: DataFrame, now: int, limits: dict
     )
 
 
-def codex_gauges(events: DataFrame, quota: DataFrame, now: int) -> DataFrame:
-    """One row a reported kind; expired windows are derived from the ceiling that their last report implies."""
+def codex_windows(quota: DataFrame, now: int) -> DataFrame:
+    """Two windows a reported kind: as it is now, and as it was last reported."""
     seen = quota.filter((F.col("ts_ms") <= now) & (F.col("source") == "codex-cli") & F.col("used_percent").isNotNull())
     last = seen.groupBy("kind").agg(F.max_by(F.struct("ts_ms", "resets_at_ms", "used_percent", "window_minutes"), F.struct("ts_ms", -F.col("seq"))).alias("q"))
     last = last.select("kind", "q.*")
@@ -163,8 +209,13 @@ def codex_gauges(events: DataFrame, quota: DataFrame, now: int) -> DataFrame:
         F.struct(F.lit(False).alias("was"), begin.alias("from_ms"), F.lit(now).alias("to_ms")),
         F.struct(F.lit(True).alias("was"), (F.col("reset") - F.col("span")).alias("from_ms"), F.col("ts_ms").alias("to_ms")),
     )
-    both = named.withColumn("s", F.explode(spans)).select(*named.columns, "s.*").withColumn("wid", F.concat("wid", F.col("was").cast("string")))
-    g = consumption(events, both).withColumn("then", F.max(F.when(F.col("was"), F.col("used"))).over(W.partitionBy("kind"))).filter("NOT was")
+    named = named.withColumn("s", F.explode(spans)).select(*named.columns, "s.*")
+    return named.withColumn("wid", F.concat(F.lit("codex-"), "wid", F.when(F.col("was"), " as reported").otherwise("")))
+
+
+def codex_read(used: DataFrame, now: int) -> DataFrame:
+    """Gauges of the reported kinds; an expired one is derived from the ceiling that its last report implies."""
+    g = used.withColumn("then", F.max(F.when(F.col("was"), F.col("used"))).over(W.partitionBy("kind"))).filter("NOT was")
     limit = F.when((F.col("used_percent") > 0) & (F.col("then") > 0), F.col("then") / (F.col("used_percent") / 100))
     g = g.withColumn("limit", limit)
     derived = F.col("expired") & F.col("limit").isNotNull()
@@ -178,15 +229,50 @@ def codex_gauges(events: DataFrame, quota: DataFrame, now: int) -> DataFrame:
     )
 
 
-def gauges(events: DataFrame, quota: DataFrame, now: int, limits=None) -> DataFrame:
-    return anthropic_gauges(events, quota, now, limits).unionByName(codex_gauges(events, quota, now))
+def anthropic_gauges(events: DataFrame, quota: DataFrame, now: int, limits: dict[str, tuple[float, bool]] | None = None) -> DataFrame:
+    """One row a window; none without any request event of the family.
+
+    limits: window -> (weighted tokens, set by the user).  Observations after `now` are not seen.
+    """
+    windows, _ = settled(anthropic_windows(quota, now, limits))
+    return anthropic_read(consumption(events, windows), now)
+
+
+def codex_gauges(events: DataFrame, quota: DataFrame, now: int) -> DataFrame:
+    """One row a reported kind; expired windows are derived from the ceiling that their last report implies."""
+    windows, _ = settled(codex_windows(quota, now))
+    return codex_read(consumption(events, windows), now)
+
+
+def pace_windows(spark: SparkSession, now: int) -> DataFrame:
+    return spark.createDataFrame([(f"pace-{f}", f, now - PACE_MS, now) for f in ("anthropic", "openai")], "wid string, fam string, from_ms long, to_ms long")
+
+
+def pace_read(used: DataFrame) -> DataFrame:
+    return used.select("fam", F.col("used").alias("pace_used"), (F.col("used") / PACE_MS * HOUR_MS).alias("rate_per_hour"))
 
 
 def pace(events: DataFrame, now: int) -> DataFrame:
     """(fam, pace_used, rate_per_hour) over the last 45 minutes."""
-    spark = events.sparkSession
-    w = spark.createDataFrame([(f, f, now - PACE_MS, now) for f in ("anthropic", "openai")], "wid string, fam string, from_ms long, to_ms long")
-    return consumption(events, w).select("fam", F.col("used").alias("pace_used"), (F.col("used") / PACE_MS * HOUR_MS).alias("rate_per_hour"))
+    return pace_read(consumption(events, pace_windows(events.sparkSession, now)))
+
+
+def readings(events: DataFrame, quota: DataFrame, now: int, limits: dict[str, tuple[float, bool]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all gauges, pace): every window of both families and the pace's, in one pass over the events.
+
+    Windows and their use are a row for each kind, computed here.
+    """
+    a, _ = settled(anthropic_windows(quota, now, limits))
+    c, _ = settled(codex_windows(quota, now))
+    p = pace_windows(events.sparkSession, now)
+    spans = [w.select("wid", "fam", "from_ms", "to_ms") for w in (a, c, p)]
+    used, _ = settled(consumption(events, spans[0].unionByName(spans[1]).unionByName(spans[2])).select("wid", "tok_total", "requests", "used"))
+    both = anthropic_read(a.join(used, "wid"), now).unionByName(codex_read(c.join(used, "wid"), now))
+    return both, pace_read(p.join(used, "wid"))
+
+
+def gauges(events: DataFrame, quota: DataFrame, now: int, limits: dict[str, tuple[float, bool]] | None = None) -> DataFrame:
+    return readings(events, quota, now, limits)[0]
 
 
 def scale(prefix: str = "") -> tuple[Column, Column]:
@@ -220,10 +306,10 @@ def throttled(left: Column, rate: Column, reset_in: Column, budget: Column, full
     return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_CYCLES)), zero, cycle, lambda s: F.struct(s["in_ms"].alias("in_ms"), s["throttled"].alias("throttled")))
 
 
-def project(gauge_rows: DataFrame, events: DataFrame, now: int) -> DataFrame:
-    """Gauges with in_ms, at, rate_per_hour, before_reset and throttled; null where nothing can be projected."""
+def project(gauge_rows: DataFrame, paces: DataFrame, now: int) -> DataFrame:
+    """Gauges, at the paces (fam, pace_used, rate_per_hour; a row for each family), with in_ms, at, rate_per_hour, before_reset and throttled; null where nothing can be projected."""
     limit, remaining = scale()
-    g = gauge_rows.withColumn("fam", F.col("provider")).join(F.broadcast(pace(events, now)), "fam", "left").withColumn("_remaining", remaining)
+    g = gauge_rows.withColumn("fam", F.col("provider")).join(F.broadcast(paces), "fam", "left").withColumn("_remaining", remaining)
     short_limit, short_left = scale("s_")
     own = F.struct(*[F.col(c).alias(f"s_{c}") for c in ("resets_at", "limit", "used", "percent")])
     five = F.min_by(own, F.when(F.col("window_hours") == 5, F.col("gauge_id"))).over(W.partitionBy("provider"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -78,12 +81,53 @@ def sync(stored: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def first_writes(lines: DataFrame, keys=("file", "write_id"), order: str = "pos") -> DataFrame:
-    """The first of each file's rewritten records; rows without an id all stay."""
+    """The first of each file's rewritten records, whatever lies between; rows without an id all stay."""
     named = lines.filter(F.col(keys[-1]).isNotNull())
     first = W.partitionBy(*keys).orderBy(order)
     return named.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").unionByName(lines.filter(F.col(keys[-1]).isNull()))
 
 
+#: Ids that a file's memory holds. Fixed value.
+SLOTS = 500
+
+
+class Memory:
+    """The last `slots` ids that were new when they came; the oldest goes first, however often it is met again."""
+
+    def __init__(self, slots: int, ids=()):
+        self.slots, self.queue = slots, deque(ids)
+        self.held = set(self.queue)
+
+    def new(self, name: str | None) -> bool:
+        """Whether a record of that id is kept; records without an id always are, and are not remembered."""
+        if name is None:
+            return True
+        if name in self.held:
+            return False
+        self.held.add(name)
+        self.queue.append(name)
+        if len(self.queue) > self.slots:
+            self.held.discard(self.queue.popleft())
+        return True
+
+
+def remembered_writes(lines: DataFrame, slots: int = SLOTS, file: str = "file", name: str = "write_id", order: str = "pos") -> DataFrame:
+    """lines without the records whose id is still in their file's memory of `slots` ids: an id that returns later than that is kept again.
+
+    The memory makes a file one sequence.  Files are dealt over the tasks and sorted by Spark; a task walks through its files in
+    batches and holds one memory, never a file.
+    """
+    def walk(batches):
+        at, memory = None, None
+        for batch in batches:
+            keep = []
+            for where, what in zip(batch.column(file).to_pylist(), batch.column(name).to_pylist(), strict=True):
+                if memory is None or where != at:
+                    at, memory = where, Memory(slots)
+                keep.append(memory.new(what))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return lines.repartition(file).sortWithinPartitions(file, order).mapInArrow(walk, lines.schema)
 
 
 VERSION = 1

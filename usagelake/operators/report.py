@@ -63,7 +63,7 @@ def summary(events: DataFrame, quota: DataFrame, start: int, now: int, monthly:
     oldest = events.agg(F.min("ts_ms").alias("dataHorizon"))
     mixes = carbon.grid_sensitivity(kept).select("grid", F.col("g_mid").alias("gramsCO2e"), "ratio")
     levers = carbon.uncertainty(kept)
-    g = limits.project(limits.gauges(events, quota, now), events, now)
+    g = limits.project(*limits.readings(events, quota, now), now)
     gauges = g.select(
         F.col("gauge_id").alias("id"), limits.window_label(F.col("window_hours")).alias("label"), "percent", F.col("resets_at").alias("resetsAt"),
         F.col("limit_source").alias("limitSource"), F.when(F.col("before_reset"), F.col("at")).alias("saturatesAt"),

@@ -349,8 +349,8 @@ SIM = f"""sim AS (SELECT gauge_id, 0 AS i, remaining AS rest, 0.0::DOUBLE AS ela
          "pj AS (SELECT gauge_id, in_ms, thr FROM sim WHERE in_ms > 0 UNION ALL SELECT gauge_id, remaining / rate, false FROM st WHERE NOT coalesce(braked, false) AND remaining / rate > 0)",
          f"SELECT gg.gauge_id, round(in_ms / 1000) AS in_s, thr AS throttled, CASE WHEN in_ms IS NOT NULL THEN coalesce({THROTTLE_CLOCK} + trunc(in_ms)::BIGINT < gg.resets_at, true) END AS before_reset FROM gg LEFT JOIN pj USING (gauge_id)").replace("WITH ", "WITH RECURSIVE ", 1))
 def throttle_projection(spark, sf):
-    e, q = usage_events(spark, sf), quota_obs(spark, sf)
-    return limits.project(limits.gauges(e, q, THROTTLE_CLOCK), e, THROTTLE_CLOCK).select("gauge_id", F.round(F.col("in_ms") / 1000).alias("in_s"), "throttled", "before_reset")
+    g, paces = limits.readings(usage_events(spark, sf), quota_obs(spark, sf), THROTTLE_CLOCK)
+    return limits.project(g, paces, THROTTLE_CLOCK).select("gauge_id", F.round(F.col("in_ms") / 1000).alias("in_s"), "throttled", "before_reset")
 
 
 @query(P(o.U, o.F, o.Q, anthropic_sql(CODEX_CLOCK), codex_sql(CODEX_CLOCK), "gg AS (SELECT * FROM ga UNION ALL BY NAME SELECT * FROM gc)", "SELECT gauge_id, window_hours, round(percent, 6) AS percent FROM gg WHERE percent IS NOT NULL ORDER BY window_hours, percent DESC, gauge_id LIMIT 1"))
@@ -436,8 +436,8 @@ def multiset_sync(spark, sf):
     return gone.select(F.lit("delete").alias("op"), *cols).unionByName(new.select(F.lit("insert").alias("op"), *cols))
 
 
-def assistant_lines(spark, sf) -> DataFrame:
-    """Log lines as the assistant writes them, made from the usage table; each is written twice, as streaming rewrites are."""
+def assistant_lines(spark, sf, apart: int = 1) -> DataFrame:
+    """Log lines as the assistant writes them, made from the usage table; each is written twice, as streaming rewrites are, `apart` positions apart."""
     u = usage_events(spark, sf).filter("source = 'claude-code'")
     write = F.struct(F.col("tok_cw5m").alias("ephemeral_5m_input_tokens"), F.col("tok_cw1h").alias("ephemeral_1h_input_tokens"))
     usage = F.struct(
@@ -448,7 +448,7 @@ def assistant_lines(spark, sf) -> DataFrame:
     stamp = F.concat(F.date_format(expr.local_time("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
     line = F.to_json(F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), F.concat(F.lit("/home/me/"), F.coalesce("project", F.lit("none")), F.lit("/")).alias("cwd"), F.col("session_id").alias("sessionId"), message.alias("message")))
     twice = u.select(F.col("session_id").alias("file"), (F.col("seq") * 2).alias("pos"), line.alias("value"))
-    return twice.unionByName(twice.withColumn("pos", F.col("pos") + 1))
+    return twice.unionByName(twice.withColumn("pos", F.col("pos") + apart))
 
 
 PARSED = "model, coalesce(project, 'none') AS project, session_id, tok_input, tok_output, tok_cache_write, tok_cw5m, tok_cw1h, tok_cache_read, tok_thinking, tok_total"
@@ -464,6 +464,20 @@ def dedup_stream_rewrites(spark, sf):
     return merge.first_writes(logs.assistant_usage(assistant_lines(spark, sf), NOW)).select("pos", "ts_ms", "model", "project", "session_id", *expr.TOKENS)
 
 
+#: Records between two writes of an id, and the slots of the memory that may have lost it by then.
+APART, SLOTS = 4001, 2
+FIFO = P(o.U, f"""n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS i FROM (SELECT u.*, seq * 2 + t.t * {APART} AS pos FROM u, (VALUES (0), (1)) t(t) WHERE source = 'claude-code'))""",
+         f"""mem AS (SELECT session_id, i, [seq] AS held, true AS kept FROM n WHERE i = 1
+  UNION ALL SELECT n.session_id, n.i, CASE WHEN list_contains(held, seq) THEN held ELSE list_append(held, seq)[-{SLOTS}:] END, NOT list_contains(held, seq) FROM mem JOIN n ON n.session_id = mem.session_id AND n.i = mem.i + 1)""",
+         "SELECT pos, ts_ms, model, session_id, tok_total FROM n JOIN mem USING (session_id, i) WHERE kept").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(FIFO)
+def dedup_fifo_rewrites(spark, sf):
+    records = logs.assistant_usage(assistant_lines(spark, sf, APART), NOW)
+    return merge.remembered_writes(records, SLOTS).select("pos", "ts_ms", "model", "session_id", "tok_total")
+
+
 def rollout_lines(spark, sf) -> DataFrame:
     """Rollout files, one a session: the model is named when it changes, counts follow."""
     u = usage_events(spark, sf).filter("source = 'codex-cli'")
@@ -477,7 +491,11 @@ def rollout_lines(spark, sf) -> DataFrame:
 
 @query(P(o.U, "SELECT seq * 2 + 1 AS pos, ts_ms, model, coalesce(project, 'none') AS project, tok_input, tok_output, tok_cache_write, tok_cache_write AS tok_cw5m, tok_cache_read, tok_thinking, tok_total FROM u WHERE source = 'codex-cli' AND tok_total > 0"))
 def parse_rollout_carry(spark, sf):
-    return logs.rollout_usage(rollout_lines(spark, sf), NOW).select("pos", "ts_ms", "model", "project", "tok_input", "tok_output", "tok_cache_write", "tok_cw5m", "tok_cache_read", "tok_thinking", "tok_total")
+    return carried_columns(logs.rollout_usage(rollout_lines(spark, sf), NOW))
+
+
+def carried_columns(usage: DataFrame) -> DataFrame:
+    return usage.select("pos", "ts_ms", "model", "project", "tok_input", "tok_output", "tok_cache_write", "tok_cw5m", "tok_cache_read", "tok_thinking", "tok_total")
 
 
 @query(P(o.U, "SELECT source, ts_ms, model, project, tok_input, tok_output, tok_cache_read, CASE WHEN source = 'openai-api' THEN 0 ELSE tok_cache_write END AS tok_cache_write, tok_input + tok_output + tok_cache_read + CASE WHEN source = 'openai-api' THEN 0 ELSE tok_cache_write END AS tok_total, greatest(1, requests) AS requests FROM u WHERE source LIKE '%-api'"))
@@ -504,7 +522,8 @@ def rejection_cause(spark, sf):
     return q.select("seq", logs.rejection_cause(content).alias("cause"))
 
 
-@query()
+@query(P(o.EV, o.Q, """SELECT seq AS pid, CASE kind WHEN 'five_hour' THEN 'five_hour' ELSE 'seven_day' END AS key, kind, CASE WHEN used_percent BETWEEN 0 AND 1 THEN used_percent * 100 ELSE least(greatest(used_percent, 0), 100) END AS percent,
+         CASE WHEN kind = 'five_hour' THEN CASE WHEN resets_at_ms > 1e11 THEN resets_at_ms ELSE resets_at_ms * 1000 END END AS resets_at_ms FROM q WHERE source = 'anthropic-oauth' AND used_percent IS NOT NULL"""))
 def extract_windows(spark, sf):
     q = quota_obs(spark, sf).filter("source = 'anthropic-oauth'")
     inner = F.struct(F.col("used_percent").alias("utilization"), F.col("resets_at_ms").alias("resets_at"))

@@ -40,7 +40,8 @@ def lines(spark: SparkSession, *folders: str, pattern: str = "*.jsonl") -> DataF
 
 def assistant(spark: SparkSession, folder: str, now: int):
     read = lines(spark, folder)
-    return merge.first_writes(logs.assistant_usage(read, now)), logs.rejections(read, now)
+    # an id is remembered even where its record has no tokens
+    return merge.remembered_writes(logs.assistant_usage(read, now)).filter("tok_total <> 0"), logs.rejections(read, now)
 
 
 def rollouts(spark: SparkSession, folder: str, now: int):

@@ -6,10 +6,13 @@ timestamp can't be read, `now` stands in, which callers pass explicitly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.scan import running
+
 USAGE = (
     "STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_read_input_tokens: BIGINT, cache_creation_input_tokens: BIGINT, "
     "cache_creation: STRUCT<ephemeral_5m_input_tokens: BIGINT, ephemeral_1h_input_tokens: BIGINT>, output_tokens_details: STRUCT<thinking_tokens: BIGINT>>"
@@ -107,21 +110,29 @@ def rejections(lines: DataFrame, now: int) -> DataFrame:
     )
 
 
-def carried(lines: DataFrame) -> DataFrame:
-    """Rollout lines with the model, directory and session last named before them in their file."""
-    before = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(before)
-    return parsed(lines, ROLLOUT).withColumns({
-        "model": F.coalesce(last("r.payload.model"), F.lit("codex")), "cwd": last("r.payload.cwd"), "session_id": last("r.payload.session_id"),
-    })
+#: Positions of a file (bytes, where it is read from disk) whose lines one task sorts.
+PIECE = 64_000_000
+CARRIED = ("model", "cwd", "session_id")
+
 
+def carried(lines: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Rollout lines with the model, directory and session last named before them in their file, a long file in many pieces."""
+    named = parsed(lines, ROLLOUT).withColumns({c: F.col(f"r.payload.{c}") for c in CARRIED})
+    found = running(named, ["file"], F.floor(F.col("pos") / piece), ["pos"], lasts=CARRIED)
+    return found.withColumn("model", F.coalesce("model", F.lit("codex")))
 
-def rollout_usage(lines: DataFrame, now: int) -> DataFrame:
+
+def rollout_usage(lines: DataFrame, now: int, piece: int = PIECE) -> DataFrame:
     """lines (value, file, pos) of a rollout -> usage events: the last request's counts, never the running total."""
+    return counted_usage(carried(lines, piece), now)
+
+
+def counted_usage(lines: DataFrame, now: int) -> DataFrame:
+    """Rollout lines (file, pos, r, and what is carried to them) -> usage events; lines without counts are dropped."""
     u = "r.payload.info.last_token_usage"
     cached, write, out = n(f"{u}.cached_input_tokens"), n(f"{u}.cache_write_input_tokens"), n(f"{u}.output_tokens")
     fresh = F.greatest(F.lit(0), n(f"{u}.input_tokens") - cached - write)
-    rows = carried(lines).filter(f"r.payload.type = 'token_count' AND {u} IS NOT NULL").select(
+    rows = lines.filter(f"r.payload.type = 'token_count' AND {u} IS NOT NULL").select(
         "file", "pos", time_ms(F.col("r.timestamp"), now).alias("ts_ms"), F.lit("codex-cli").alias("source"), "model", project_name(F.col("cwd")).alias("project"), "session_id",
         fresh.alias("tok_input"), out.alias("tok_output"), write.alias("tok_cache_write"), write.alias("tok_cw5m"), F.lit(0).cast("long").alias("tok_cw1h"),
         cached.alias("tok_cache_read"), n(f"{u}.reasoning_output_tokens").alias("tok_thinking"), (fresh + out + write + cached).alias("tok_total"), F.lit(1).cast("long").alias("requests"),
@@ -187,25 +198,34 @@ def normal_window(key: Column) -> Column:
     )
 
 
+#: Objects and arrays at any depth to DEPTH, each with the key that holds it; elements of an array with the array's and their place.
+NESTED = f"""
+WITH RECURSIVE found (pid, label, v, depth) AS (
+  SELECT pid, 'racine', try_parse_json(value), 0 FROM {{payloads}} WHERE try_parse_json(value) IS NOT NULL
+  UNION ALL
+  SELECT f.pid, coalesce(e.key, concat(f.label, '[', e.pos, ']')), e.value, f.depth + 1 FROM found f, LATERAL variant_explode(f.v) e
+  WHERE f.depth < {DEPTH} AND schema_of_variant(f.v) RLIKE '^(OBJECT|ARRAY)' AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)')
+SELECT pid, label, v FROM found WHERE schema_of_variant(v) LIKE 'OBJECT%'"""
+
+
 def extract_windows(payloads: DataFrame) -> DataFrame:
     """payloads (pid, value) -> (pid, key, kind, percent, resets_at_ms) of every object, at any depth to 12, that states a percentage.
 
     A value in [0, 1] is a fraction; an object is named by its type, name or
-    window, else by the key that holds it.
+    window, else by the key that holds it.  One recursive query reads the payloads once; the session's limit
+    of a recursion's rows, which would fail a large table, is lifted.
     """
     spark = payloads.sparkSession
-    level = payloads.selectExpr("pid", "'racine' AS label", "try_parse_json(value) AS v").filter("v IS NOT NULL")
-    found = None
-    for depth in range(DEPTH + 1):
-        number = [F.try_variant_get("v", f"$.{k}", "double") for k in PERCENTS]
-        pct = F.coalesce(*[F.when(~F.schema_of_variant(F.coalesce(F.try_variant_get("v", f"$.{k}", "variant"), F.parse_json(F.lit("null")))).isin("STRING", "VOID", "BOOLEAN"), c) for k, c in zip(PERCENTS, number, strict=True)])
-        name = F.coalesce(*[F.when(F.schema_of_variant(F.coalesce(F.try_variant_get("v", f"$.{k}", "variant"), F.parse_json(F.lit("null")))) == "STRING", F.try_variant_get("v", f"$.{k}", "string")) for k in ("type", "name", "window")], F.col("label"))
-        reset = F.coalesce(*[flexible_ms(F.try_variant_get("v", f"$.{k}", "string")) for k in RESETS])
-        objects = level.filter(F.schema_of_variant("v").startswith("OBJECT"))
-        here = objects.select("pid", name.alias("key"), pct.alias("p"), reset.alias("resets_at_ms")).filter("p IS NOT NULL")
-        found = here if found is None else found.unionByName(here)
-        if depth == DEPTH:
-            break
-        level = spark.sql("SELECT l.pid, coalesce(e.key, concat(l.label, '[', e.pos, ']')) AS label, e.value AS v FROM {l} l, LATERAL variant_explode(l.v) e WHERE schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'", l=level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    objects = spark.sql(NESTED, payloads=payloads.select("pid", "value"))
+
+    def field(key: str, fits: Callable[[Column], Column], as_type: str) -> Column:
+        kind = F.schema_of_variant(F.coalesce(F.try_variant_get("v", f"$.{key}", "variant"), F.parse_json(F.lit("null"))))
+        return F.when(fits(kind), F.try_variant_get("v", f"$.{key}", as_type))
+
+    pct = F.coalesce(*[field(k, lambda kind: ~kind.isin("STRING", "VOID", "BOOLEAN"), "double") for k in PERCENTS])
+    name = F.coalesce(*[field(k, lambda kind: kind == "STRING", "string") for k in ("type", "name", "window")], F.col("label"))
+    reset = F.coalesce(*[flexible_ms(F.try_variant_get("v", f"$.{k}", "string")) for k in RESETS])
+    found = objects.select("pid", name.alias("key"), pct.alias("p"), reset.alias("resets_at_ms")).filter("p IS NOT NULL")
     p = F.when(F.col("p").between(0, 1), F.col("p") * 100).otherwise(F.col("p"))
     return found.select("pid", "key", normal_window(F.col("key")).alias("kind"), F.least(F.greatest(p, F.lit(0.0)), F.lit(100.0)).alias("percent"), "resets_at_ms")

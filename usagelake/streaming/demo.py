@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import scratch
 from ..plans import oracle as o
-from ..sources.driver_tables import usage_events
+from ..plans import queries as plans
+from ..sources import logs
+from ..sources.driver_tables import NOW, usage_events
+from . import stateful
 from .ingest import fold_hours
 
+STEPS = 3
+
+
+def in_steps(lines: DataFrame, transform, work: str) -> DataFrame:
+    """What transform makes of the stream of lines that grows by positions in STEPS steps, the stream starting again for each."""
+    spark = lines.sparkSession
+    ends = lines.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+    step = ((ends["hi"] or 0) - (ends["lo"] or 0)) // STEPS + 1
+    for i in range(STEPS):
+        lo = (ends["lo"] or 0) + i * step
+        lines.filter(F.col("pos").between(lo, lo + step - 1)).write.mode("append").parquet(f"{work}/in")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{work}/in")
+        with stateful.keyed_state(spark):
+            run = transform(stream).writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+    return spark.read.parquet(f"{work}/out")
+
+
+def stream_fifo_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assistant's log as a stream: an id is dropped while its file's memory holds it, across restarts."""
+    lines = plans.assistant_lines(spark, sf_dir, plans.APART)
+    found = in_steps(lines, lambda s: stateful.remembered_writes(logs.assistant_usage(s, NOW), plans.SLOTS), scratch(spark, "stream"))
+    return found.select("pos", "ts_ms", "model", "session_id", "tok_total")
+
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a local one in local mode and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="usagelake-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+def stream_rollout_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts as a stream: what earlier steps named is carried to later ones; equal to the batch parse."""
+    found = in_steps(plans.rollout_lines(spark, sf_dir), lambda s: stateful.carried_usage(s, NOW), scratch(spark, "stream"))
+    return plans.carried_columns(found)
 
 
 def stream_hourly_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage events as a file stream, folded to hours; equal to the batch fold when no row is late."""
-    work = scratch(spark)
+    work = scratch(spark, "stream")
     usage_events(spark, sf_dir).write.parquet(f"{work}/in")
     schema = spark.read.parquet(f"{work}/in").schema
     stream = spark.readStream.schema(schema).parquet(f"{work}/in")
@@ -40,5 +61,5 @@ def stream_hourly_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by("tok_total", "batch_id").alias("tok_total"), F.max_by("requests", "batch_id").alias("requests"))
 
 
-QUERIES = {"stream_hourly_fold": stream_hourly_fold}
-SQL = {"stream_hourly_fold": o.sql(o.U, "SELECT ts_ms - ts_ms % 3600000 AS hour_ms, source, model, sum(tok_total)::BIGINT AS tok_total, sum(CASE WHEN requests <> 0 THEN requests ELSE 1 END)::BIGINT AS requests FROM u GROUP BY 1, 2, 3")}
+QUERIES = {"stream_hourly_fold": stream_hourly_fold, "stream_fifo_rewrites": stream_fifo_rewrites, "stream_rollout_carry": stream_rollout_carry}
+SQL = {"stream_fifo_rewrites": plans.FIFO, "stream_rollout_carry": plans.SQL["parse_rollout_carry"], "stream_hourly_fold": o.sql(o.U, "SELECT ts_ms - ts_ms % 3600000 AS hour_ms, source, model, sum(tok_total)::BIGINT AS tok_total, sum(CASE WHEN requests <> 0 THEN requests ELSE 1 END)::BIGINT AS requests FROM u GROUP BY 1, 2, 3")}

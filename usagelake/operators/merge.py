@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from .scan import settled, walked
 
 
 REQUEST_KEY = ("source", "ts_ms", "session_id", "tok_total")
@@ -75,8 +75,45 @@ def compact(events: DataFrame, now: int, days: int, tz: str = "UTC") -> DataFram
     return events.filter(~old).unionByName(folded.select(events.columns))
 
 
-def sync(stored: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(to delete, to insert) so that stored becomes wanted, as multisets."""
+def digests(rows: DataFrame, day: Column) -> DataFrame:
+    """(day, n, sum, other): a digest of each day's rows as a multiset: their number, and sums of two hashes of all columns.
+
+    Days with equal digests hold the same rows as often; two times 64 bits leave no room for chance.  A table of them may be
+    kept beside the rows, so that the rows are not read.
+    """
+    wide = lambda c: c.cast("decimal(38,0)")  # noqa: E731  sums of hashes never overflow
+    all_of = [F.col(c) for c in rows.columns]
+    return rows.groupBy(day.alias("day")).agg(
+        F.count("*").alias("n"), F.sum(wide(F.xxhash64(*all_of))).alias("sum"), F.sum(wide(F.xxhash64(F.lit("again"), *reversed(all_of)))).alias("other"),
+    )
+
+
+def changed_days(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(day) of the digests that differ, or stand on one side only."""
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("n", "sum", "other")]
+    both = stored.alias("s").join(wanted.alias("w"), F.col("s.day").eqNullSafe(F.col("w.day")), "full")
+    return both.filter(~(same[0] & same[1] & same[2])).select(F.coalesce("s.day", "w.day").alias("day"))
+
+
+def on_days(rows: DataFrame, day: Column, days: DataFrame) -> DataFrame:
+    """rows of the days: few days are written into the filter, so that days in folders are not opened; null is a day."""
+    few, small = settled(days)
+    if small:
+        found = [r["day"] for r in few.collect()]
+        return rows.filter(day.isin([d for d in found if d is not None]) | (day.isNull() if None in found else F.lit(False)))
+    return rows.join(days.select(F.col("day").alias("_day")), day.eqNullSafe(F.col("_day")), "left_semi")
+
+
+def sync(stored: DataFrame, wanted: DataFrame, day: Column | None = None, stored_digests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(to delete, to insert) so that stored becomes wanted, as multisets.
+
+    day: what the rows are compared by first; only days whose digests differ are then compared row by row.  Without it
+    all rows are.  stored_digests: what was kept of `stored` when it was written.
+    """
+    if day is not None:
+        known = digests(stored, day) if stored_digests is None else stored_digests
+        days, _ = settled(changed_days(known, digests(wanted, day)))
+        stored, wanted = on_days(stored, day, days), on_days(wanted, day, days)
     return stored.exceptAll(wanted), wanted.exceptAll(stored)
 
 
@@ -114,20 +151,10 @@ class Memory:
 def remembered_writes(lines: DataFrame, slots: int = SLOTS, file: str = "file", name: str = "write_id", order: str = "pos") -> DataFrame:
     """lines without the records whose id is still in their file's memory of `slots` ids: an id that returns later than that is kept again.
 
-    The memory makes a file one sequence.  Files are dealt over the tasks and sorted by Spark; a task walks through its files in
-    batches and holds one memory, never a file.
+    The memory makes a file one sequence: a task walks through its files and holds one memory, never a file.
     """
-    def walk(batches):
-        at, memory = None, None
-        for batch in batches:
-            keep = []
-            for where, what in zip(batch.column(file).to_pylist(), batch.column(name).to_pylist(), strict=True):
-                if memory is None or where != at:
-                    at, memory = where, Memory(slots)
-                keep.append(memory.new(what))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return lines.repartition(file).sortWithinPartitions(file, order).mapInArrow(walk, lines.schema)
+    kept = walked(lines, file, [order], lambda: Memory(slots), lambda memory, what: (memory.new(what),), [name], "_kept boolean")
+    return kept.filter("_kept").drop("_kept")
 
 
 VERSION = 1

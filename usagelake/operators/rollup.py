@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, expr
+from .scan import written
 
 NO_PROJECT = "sans projet"
 
@@ -114,9 +115,10 @@ def versus_previous(events: DataFrame, start: int, *keys: Column) -> DataFrame:
     g = g.groupBy(*names).agg(*[side(c, now).alias(n) for c, now, n in (
         ("tok_total", True, "tok_total"), ("tok_total", False, "before"), ("cost", True, "_cost"), ("cost", False, "_cost0"), ("cost_unknown", True, "_u"), ("cost_unknown", False, "_u0"),
     )]).filter("tok_total IS NOT NULL")
-    whole = g.agg(F.sum("tok_total").alias("_whole"))
-    level = F.when(F.col("before").isNull(), "new").when(F.col("before") > F.greatest(F.lit(1000.0), 0.02 * F.col("_whole")), "shown").otherwise("small")
-    return g.crossJoin(F.broadcast(whole)).select(  # one row
+    g = written(g)
+    whole = g.agg(F.sum("tok_total")).first()[0] or 0
+    level = F.when(F.col("before").isNull(), "new").when(F.col("before") > max(1000.0, 0.02 * whole), "shown").otherwise("small")
+    return g.select(
         *names, "tok_total", "before", change(F.col("tok_total"), F.col("before")).alias("change_pct"),
         F.when(~F.col("_u") & ~F.col("_u0"), change(F.col("_cost"), F.col("_cost0"))).alias("cost_change_pct"), level.alias("significance"),
     )

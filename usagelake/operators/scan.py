@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows that are broadcast at most, after they have been counted.
 BROADCAST_ROWS = 100_000
@@ -48,6 +53,30 @@ def settled(df: DataFrame, rows: int = 10_000) -> tuple[DataFrame, bool]:
     return df.sparkSession.createDataFrame(found, df.schema), True
 
 
+def walked(rows: DataFrame, by: str, order: list[str], state: Callable[[], Any], step: Callable[..., tuple], given: list[str], added: str) -> DataFrame:
+    """rows with the columns `added` (DDL), which step(state, *values of `given`) gives for each row in turn; each sequence begins with a state().
+
+    For what only a loop can say.  A sequence is one walk by its nature: sequences are dealt over the tasks and sorted by
+    Spark, and a task holds one state and a batch of rows, never a sequence.  step changes the state in place.
+    """
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(added).fields])
+    names = StructType.fromDDL(added).fieldNames()
+    kinds = to_arrow_schema(StructType.fromDDL(added))
+
+    def walk(batches):
+        at, now = None, None
+        for batch in batches:
+            out = []
+            for where, *values in zip(*[batch.column(c).to_pylist() for c in (by, *given)], strict=True):
+                if now is None or where != at:
+                    at, now = where, state()
+                out.append(step(now, *values))
+            columns = [pa.array([r[i] for r in out], kinds.field(n).type) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(walk, schema)
+
+
 def running(rows: DataFrame, by: list[str], piece: Column, order: list[str], sums: tuple[str, ...] = (), lasts: tuple[str, ...] = ()) -> DataFrame:
     """rows with `sums` as sums up to and with each row, and `lasts` as the last value that is not null up to it, in the sequence `by`.
 

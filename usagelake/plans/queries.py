@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims, expr, factors
+from ..functions import sql as functions_sql
 from ..operators import budget, carbon, limits, merge, provenance, report, rollup
+from ..operators import schedule as polls
 from ..sources import logs, sinks
 from ..sources.driver_tables import NOW, quota_obs, usage_events
 from . import oracle as o
@@ -184,7 +187,8 @@ def token_class_share(spark, sf):
 @query(P(*UD, f"SELECT model, sum(tok_total)::BIGINT AS tok_total, round(sum(tok_total)::DOUBLE / sum(sum(tok_total)) OVER (), 9) AS share FROM d WHERE ts_ms BETWEEN {START} AND {NOW} GROUP BY model"))
 def model_share(spark, sf):
     g = current(spark, sf).groupBy("model").agg(F.sum("tok_total").alias("tok_total"))
-    return g.join(F.broadcast(g.agg(F.sum("tok_total").alias("t")))).select("model", "tok_total", F.round(F.when(F.col("t") > 0, F.col("tok_total") / F.col("t")), 9).alias("share"))
+    g = g.withColumn("t", F.sum("tok_total").over(W.partitionBy()))  # a row for each model
+    return g.select("model", "tok_total", F.round(F.when(F.col("t") > 0, F.col("tok_total") / F.col("t")), 9).alias("share"))
 
 
 @query(P(*UD, "SELECT source, count(*) AS n, sum(tok_total)::BIGINT AS tok_total, min(ts_ms) AS oldest FROM d GROUP BY source"))
@@ -432,7 +436,7 @@ SYNC = "source, ts_ms, model, project, tok_total"
 def multiset_sync(spark, sf):
     u = usage_events(spark, sf)
     cols = SYNC.split(", ")
-    gone, new = merge.sync(u.filter(EXIST).select(cols), u.filter(INCOME).select(cols))
+    gone, new = merge.sync(u.filter(EXIST).select(cols), u.filter(INCOME).select(cols), expr.day_key())
     return gone.select(F.lit("delete").alias("op"), *cols).unionByName(new.select(F.lit("insert").alias("op"), *cols))
 
 
@@ -562,6 +566,43 @@ def poll_cadence(spark, sf):
     return q.withColumn("c", c).select("seq", "source", "kind", (F.lit(NOW) - F.col("c.age_ms") - F.col("ts_ms") % 1000).alias("age_from"), "c.ok", "c.waiting", "c.pacing", "c.error")
 
 
+TICKS = "seq, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, {ms} AS at_ms, k % 7 = 0 AS forced, CASE WHEN k % 8 < 2 THEN 429 WHEN k % 8 = 2 THEN 500 WHEN k % 8 > 3 THEN 200 END AS status, CASE WHEN k % 16 = 0 THEN k * 60 END AS retry_after_s"
+
+
+@query(P(o.EV, f"t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY at_ms, seq) AS i FROM (SELECT {TICKS.format(ms='ms')} FROM ev WHERE event_type = 'error'))",
+         """p AS (SELECT source, 0::BIGINT AS i, 0::BIGINT AS f, 0::BIGINT AS l, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS at_ms, false AS called FROM t GROUP BY source
+  UNION ALL SELECT source, i, CASE WHEN called AND status = 200 THEN at_ms ELSE f END, CASE WHEN NOT called THEN l WHEN status = 200 THEN 0 WHEN status IS NOT NULL AND retry_after_s > 0 THEN at_ms + retry_after_s * 1000
+      ELSE at_ms + least((CASE WHEN status = 429 THEN 600000 ELSE 45000 END * pow(2, least(n, 20)))::BIGINT, 3600000) END, CASE WHEN NOT called THEN n WHEN status = 200 THEN 0 ELSE n + 1 END, seq, at_ms, called
+    FROM (SELECT t.*, p.f, p.l, p.n, p.l <= t.at_ms AND (t.forced OR p.f = 0 OR t.at_ms - p.f >= 900000) AS called FROM p JOIN t ON t.source = p.source AND t.i = p.i + 1))""",
+         "x AS (SELECT *, greatest(l, CASE WHEN f <> 0 THEN f + 900000 ELSE 0 END) AS next_at FROM p WHERE i > 0)",
+         "SELECT seq, source, called, n AS failures, next_at, CASE WHEN l > at_ms THEN 'backoff' WHEN next_at > at_ms THEN 'cadence' END AS reason FROM x").replace("WITH ", "WITH RECURSIVE ", 1))
+def poll_schedule(spark, sf):
+    ticks = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'").withColumns({"seq": F.col("event_id"), "k": F.get_json_object("props", "$.k").cast("long")})
+    ticks = ticks.selectExpr(*[c.strip() for c in TICKS.format(ms="unix_micros(CAST(ts AS TIMESTAMP)) div 1000").split(",")])
+    return polls.schedule(ticks).select("seq", "source", "called", "failures", "next_at", "reason")
+
+
+def from_sql(spark, sf, text: str) -> DataFrame:
+    """A statement on the engine's SQL functions, over the deduplicated events."""
+    functions_sql.register(spark, measured(spark, sf))
+    return spark.sql(text)
+
+
+@query(P(*UDM, o.slices("1"), "SELECT model, model_id, tok_total, requests, round(cost, 6) AS cost, round(g_min, 3) AS g_min, round(g_mid, 3) AS g_mid, round(g_max, 3) AS g_max, round(wh_mid, 3) AS wh_mid, round(l_mid, 3) AS l_mid FROM x"))
+def sql_models(spark, sf):
+    return from_sql(spark, sf, f"SELECT model, model_id, tok_total, requests, round(cost, 6) AS cost, round(g_min, 3) AS g_min, round(g_mid, 3) AS g_mid, round(g_max, 3) AS g_max, round(wh_mid, 3) AS wh_mid, round(l_mid, 3) AS l_mid FROM usage_slices('model', {START}, {NOW})")
+
+
+@query(P(*UDM, o.slices("day"), "SELECT key AS day, sum(tok_total)::BIGINT AS tok_total, sum(requests)::BIGINT AS requests, round(coalesce(sum(cost), 0), 5) AS cost, round(sum(g_mid), 2) AS g_mid FROM x GROUP BY key"))
+def sql_days(spark, sf):
+    return from_sql(spark, sf, f"SELECT key AS day, sum(tok_total) AS tok_total, sum(requests) AS requests, round(coalesce(sum(cost), 0), 5) AS cost, round(sum(g_mid), 2) AS g_mid FROM usage_slices('day', {START}, {NOW}) GROUP BY key")
+
+
+@query(P(*UD, f"SELECT fam AS family, round(coalesce(sum({o.WEIGHT}) FILTER (ts_ms >= {CODEX_CLOCK} - 18000000), 0), 3) AS session, round(sum({o.WEIGHT}), 3) AS week FROM d WHERE grain = 'request' AND ts_ms BETWEEN {CODEX_CLOCK} - 604800000 AND {CODEX_CLOCK} GROUP BY fam"))
+def sql_windows(spark, sf):
+    return from_sql(spark, sf, f"SELECT family, round(session, 3) AS session, round(week, 3) AS week FROM usage_windows({CODEX_CLOCK})")
+
+
 @query(P(*UDM, o.slices("1"), o.values("lb", "model_id, label", dims.LABELS.items()), "n AS (SELECT model, tok_total, coalesce(label, model_id) AS label FROM x LEFT JOIN lb USING (model_id))",
          "SELECT model, tok_total, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || ' (' || model || ')' ELSE label END AS label FROM n"))
 def labelled_models(spark, sf):

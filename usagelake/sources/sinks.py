@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, expr, factors
 from ..operators import provenance, rollup
+from . import text_sink
 
 # The header of the long export.
 HEADER = (
@@ -55,6 +56,12 @@ def methodology_lines(spark: SparkSession, grid: str | None = None) -> DataFrame
     return head.unionByName(body).orderBy("n").select("line")
 
 
+def write_text(lines: DataFrame, path: str) -> None:
+    """Lines (line) as one text in the folder `path`: all of it or, if the job fails, what was there before."""
+    text_sink.register(lines.sparkSession)
+    lines.select("line").write.format("ordered_text").mode("overwrite").save(path)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Part files of `path`, in order; joined, they are the whole text."""
     lines.write.mode("overwrite").text(path)

@@ -81,24 +81,79 @@ class Piece(InputPartition):
         self.path, self.start, self.end, self.first = path, start, end, first
 
 
+def shares(wants: dict[str, int], budget: int) -> dict[str, int]:
+    """The budget over the files that want more bytes: files that want little get all of it, the others equal shares of what is left."""
+    out, left = {}, budget
+    for n, (path, want) in enumerate(sorted(wants.items(), key=lambda x: (x[1], x[0]))):
+        out[path] = min(want, left // (len(wants) - n))
+        left -= out[path]
+    return out
+
+
+def line_end(path: str, start: int, upto: int, most: int) -> int:
+    """Offset after the last whole line in [start, upto), or after the first line if that is longer; never beyond `most`."""
+    try:
+        with open(path, "rb") as f:
+            at = upto
+            while at > start:
+                low = max(start, at - STEP)
+                f.seek(low)
+                cut = f.read(at - low).rfind(b"\n")
+                if cut >= 0:
+                    return low + cut + 1
+                at = low
+            f.seek(upto)
+            at = upto
+            while at < most:  # a line longer than the share is read whole
+                piece = f.read(min(STEP, most - at))
+                cut = piece.find(b"\n")
+                if cut >= 0:
+                    return at + cut + 1
+                if not piece:
+                    break
+                at += len(piece)
+    except OSError:
+        return start
+    return most
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.folder, self.suffix = options["path"], options.get("suffix", ".jsonl")
+        self.budget = int(options["maxBytesPerTrigger"]) if options.get("maxBytesPerTrigger") else None
+        self.progress = options.get("progress")
+        if self.budget is not None and not self.progress:
+            raise ValueError("maxBytesPerTrigger needs the option progress, a file that tells a restarted stream where it stands")
         self.known: dict[str, int] = {}
+        if self.progress and os.path.exists(self.progress):
+            with open(self.progress, encoding="utf-8") as f:
+                self.known = json.load(f)
 
     def initialOffset(self) -> dict:
         return {"files": json.dumps({})}
 
     def latestOffset(self) -> dict:
+        ends = {}
         for path in log_files(self.folder, self.suffix):
             end = last_line_end(path, self.known.get(path, 0))
             if end is not None:  # a file that has gone keeps its offset
-                self.known[path] = end
+                ends[path] = end
+        if self.budget is not None:
+            begins = {p: self.known.get(p, 0) if self.known.get(p, 0) <= e else 0 for p, e in ends.items()}
+            part = shares({p: e - begins[p] for p, e in ends.items() if e > begins[p]}, self.budget)
+            part = part if any(part.values()) or not part else {min(part): 1}  # a budget below a byte a file still goes on
+            ends |= {p: line_end(p, begins[p], begins[p] + n, ends[p]) if n else begins[p] for p, n in part.items() if n < ends[p] - begins[p]}
+        self.known |= ends
         return {"files": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         old, new = json.loads(start["files"]), json.loads(end["files"])
         self.known = {**new, **self.known}
+        if self.progress:  # Spark plans a batch after it has logged its end, so this is where the stream goes on from
+            os.makedirs(os.path.dirname(self.progress), exist_ok=True)
+            with open(f"{self.progress}.new", "w", encoding="utf-8") as f:
+                json.dump(new, f)
+            os.replace(f"{self.progress}.new", self.progress)
         out = []
         for path, upto in new.items():
             begin = old.get(path, 0)
@@ -112,7 +167,12 @@ class TailReader(DataSourceStreamReader):
 
 
 class JsonlTail(DataSource):
-    """spark.readStream.format("jsonl_tail").load(folder) -> (file, pos, value)"""
+    """spark.readStream.format("jsonl_tail").load(folder) -> (file, pos, value)
+
+    Options: suffix (.jsonl); maxBytesPerTrigger with progress, a file of the stream's own: a micro-batch then reads some so many
+    bytes, dealt fairly over the files that have grown.  A line is never cut: one that is longer than its file's share is read
+    whole.  Without them a micro-batch reads all there is.  A trigger of what is available now makes one micro-batch.
+    """
 
     @classmethod
     def name(cls) -> str:

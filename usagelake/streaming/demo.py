@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr
 from ..operators.scan import scratch
 from ..plans import oracle as o
 from ..plans import queries as plans
-from ..sources import logs
+from ..sources import logs, tail
 from ..sources.driver_tables import NOW, usage_events
 from . import stateful
 from .ingest import fold_hours
@@ -44,6 +45,26 @@ def stream_rollout_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.carried_columns(found)
 
 
+#: Bytes of a micro-batch of the tailed log.
+BUDGET = 1_000_000
+
+
+def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assistant's log, tailed as files by bytes in bounded micro-batches, parsed; equal to the batch parse."""
+    work = scratch(spark, "stream")
+    lines = plans.assistant_lines(spark, sf_dir)
+    lines.repartition("file").sortWithinPartitions("file", "pos").select("value").write.text(f"{work}/logs")
+    tail.register(spark)
+    here = work.removeprefix("file://").removeprefix("file:")
+    stream = spark.readStream.format("jsonl_tail").options(suffix=".txt", maxBytesPerTrigger=BUDGET, progress=f"{here}/progress/tail.json").load(f"{here}/logs")
+    run = logs.assistant_usage(stream, NOW).writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/state").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.read.parquet(f"{work}/out").select("ts_ms", "model", "project", "session_id", *expr.TOKENS)
+
+
 def stream_hourly_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage events as a file stream, folded to hours; equal to the batch fold when no row is late."""
     work = scratch(spark, "stream")
@@ -61,5 +82,5 @@ def stream_hourly_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by("tok_total", "batch_id").alias("tok_total"), F.max_by("requests", "batch_id").alias("requests"))
 
 
-QUERIES = {"stream_hourly_fold": stream_hourly_fold, "stream_fifo_rewrites": stream_fifo_rewrites, "stream_rollout_carry": stream_rollout_carry}
-SQL = {"stream_fifo_rewrites": plans.FIFO, "stream_rollout_carry": plans.SQL["parse_rollout_carry"], "stream_hourly_fold": o.sql(o.U, "SELECT ts_ms - ts_ms % 3600000 AS hour_ms, source, model, sum(tok_total)::BIGINT AS tok_total, sum(CASE WHEN requests <> 0 THEN requests ELSE 1 END)::BIGINT AS requests FROM u GROUP BY 1, 2, 3")}
+QUERIES = {"stream_tail": stream_tail, "stream_hourly_fold": stream_hourly_fold, "stream_fifo_rewrites": stream_fifo_rewrites, "stream_rollout_carry": stream_rollout_carry}
+SQL = {"stream_tail": plans.P(o.U, f"SELECT ts_ms, {plans.PARSED} FROM u, (VALUES (0), (1)) t(t) WHERE source = 'claude-code'"), "stream_fifo_rewrites": plans.FIFO, "stream_rollout_carry": plans.SQL["parse_rollout_carry"], "stream_hourly_fold": o.sql(o.U, "SELECT ts_ms - ts_ms % 3600000 AS hour_ms, source, model, sum(tok_total)::BIGINT AS tok_total, sum(CASE WHEN requests <> 0 THEN requests ELSE 1 END)::BIGINT AS requests FROM u GROUP BY 1, 2, 3")}

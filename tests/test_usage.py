@@ -324,13 +324,15 @@ def test_factor_table_and_methodology(spark):
 
 
 def test_documents(spark, sf):
-    import json
-
+    from usagelake.operators import document
     from usagelake.plans import queries as plans
 
     s = json.loads(plans.snapshot_json(spark, sf).first()[0])
-    assert {"tokens", "costUSD", "gramsCO2e", "sensitivity", "uncertainty", "gauges", "budget", "models", "projects", "days", "hours", "equivalents"} <= set(s)
-    assert sum(m["tok_total"] for m in s["models"]) == s["tokens"] == sum(d["tok_total"] for d in s["days"]) and len(s["hours"]) == 24 and len(s["sensitivity"]) == 4
+    assert list(s) == [n for n in document.PARTS if "." not in n] and "previous" in s["trend"]
+    total = s["totals"]["tokens"]["total"]
+    assert sum(m["tokens"]["total"] for m in s["byModel"]) == total == sum(d["tokens"] for d in s["daily"]) == sum(h["tokens"] for h in s["hours"]) and len(s["hours"]) == 24 and len(s["carbonSensitivity"]) == 4
+    brief = json.loads(plans.summary_json(spark, sf).first()[0])
+    assert brief == {k: v for k, v in s.items() if k not in document.LISTS}
     lines = [r[0] for r in plans.carbon_report(spark, sf).collect()]
     assert lines[0] == "# Footprint" and sum(x.startswith("## ") for x in lines) == 7 and len([x for x in lines if x.startswith("| infrastructure")]) == 12
 
@@ -349,7 +351,7 @@ def test_collect_isolates_failures(spark, tmp_path):
     e, q, status = collect(spark, {"claude-code": str(tmp_path / "a"), "codex-cli": str(tmp_path / "c"), "openai-api": str(tmp_path / "missing")}, 0)
     assert sorted((r["source"], r["tok_total"]) for r in e.collect()) == [("claude-code", 12), ("codex-cli", 10)] and q.count() == 0
     assert [(r["source"], r["available"], r["error"]) for r in status.collect()] == [
-        ("claude-code", True, None), ("anthropic-api", False, None), ("codex-cli", True, None), ("openai-api", False, "PATH_NOT_FOUND")]
+        ("claude-code", True, None), ("anthropic-oauth", False, None), ("anthropic-api", False, None), ("codex-cli", True, None), ("openai-api", False, "PATH_NOT_FOUND")]
 
 
 def test_index_is_saved_and_loaded(spark, sf, tmp_path):

@@ -20,8 +20,13 @@ TRAJECTORY = "trajectory"
 
 def costs_between(events: DataFrame, ranges: list[tuple[str, Column, Column]]) -> DataFrame:
     """One row: cost_X of each range (X, from, to), both ends included, and whether a price is missing in any; one pass over the deduped events."""
+    return costs_of(dedupe(events), ranges)
+
+
+def costs_of(kept: DataFrame, ranges: list[tuple[str, Column, Column]]) -> DataFrame:
+    """costs_between() of events that have been deduplicated."""
     inside = {n: F.col("ts_ms").between(a, b) for n, a, b in ranges}
-    met = dedupe(events).withColumns({f"_in_{n}": c for n, c in inside.items()}).filter(" OR ".join(f"_in_{n}" for n in inside))
+    met = kept.withColumns({f"_in_{n}": c for n, c in inside.items()}).filter(" OR ".join(f"_in_{n}" for n in inside))
     sums = met.groupBy("model", *[f"_in_{n}" for n in inside]).agg(*[F.sum(c).alias(c) for c in expr.TOKENS])
     priced = resolved(sums).withColumn("cost", expr.cost())
     return priced.agg(
@@ -40,12 +45,16 @@ def month_bounds(now: int, tz: str = "UTC") -> tuple[Column, Column]:
 
 def status(events: DataFrame, limit: float, now: int, tz: str = "UTC") -> DataFrame:
     """One row: spent, percent, projection at the pace of the last days, state."""
-    spark = events.sparkSession
+    return status_of(dedupe(events), events.agg(F.min("ts_ms").alias("oldest")), limit, now, tz)
+
+
+def status_of(kept: DataFrame, oldest: DataFrame, limit: float, now: int, tz: str = "UTC") -> DataFrame:
+    """status() of deduplicated events, and one row (oldest) of all."""
+    spark = kept.sparkSession
     start, end = month_bounds(now, tz)
     bounds = spark.range(1).select(start.alias("month_start"), end.alias("month_end"))
-    costs = costs_between(events, [("month", start, F.lit(now)), ("pace", F.lit(now - PACE_DAYS * DAY_MS), F.lit(now))])
+    costs = costs_of(kept, [("month", start, F.lit(now)), ("pace", F.lit(now - PACE_DAYS * DAY_MS), F.lit(now))])
     costs = costs.select(F.col("cost_month").alias("spent"), F.col("cost_pace").alias("recent"), "cost_incomplete")
-    oldest = events.agg(F.min("ts_ms").alias("oldest"))
     row = bounds.join(costs).join(oldest).withColumn("history_days", F.coalesce(F.floor((F.lit(now) - F.col("oldest")) / DAY_MS), F.lit(0)))
     span = F.least(F.greatest(F.col("history_days"), F.lit(MIN_HISTORY_DAYS)), F.lit(PACE_DAYS)).cast("double")
     left = F.greatest(F.col("month_end") - now, F.lit(0)) / float(DAY_MS)

@@ -15,20 +15,30 @@ def _pairs(events: DataFrame, **how) -> DataFrame:
 
 
 def grid_sensitivity(events: DataFrame, grid: str | None = None) -> DataFrame:
-    """(grid, g_min, g_mid, g_max, ratio): the same use under four mixes, against the reference total.
+    """(grid, g_min, g_mid, g_max, ratio): the same use under four mixes, against the reference total."""
+    return grid_sensitivity_of(_pairs(events, grid=grid))
+
+
+def grid_sensitivity_of(pairs: DataFrame) -> DataFrame:
+    """grid_sensitivity() of priced rows by raw model.
 
     All are sums of one pass over the priced rows; the one row of sums is then unfolded.
     """
     kinds = ("g_min", "g_mid", "g_max")
     each = {k: expr.footprint(mix=F.lit(dims.GRIDS[k])) for k in dims.SENSITIVITY_GRIDS}
     sums = [F.sum(f[c]).alias(f"{i}_{c}") for i, f in enumerate(each.values()) for c in kinds]
-    row = _pairs(events, grid=grid).agg(F.sum("g_mid").alias("reference"), *sums).filter("reference IS NOT NULL")
+    row = pairs.agg(F.sum("g_mid").alias("reference"), *sums).filter("reference IS NOT NULL")
     rows = F.array(*[F.struct(F.lit(k).alias("grid"), *[F.col(f"{i}_{c}").alias(c) for c in kinds]) for i, k in enumerate(each)])
     return row.select("reference", F.explode(rows).alias("r")).select("r.*", F.when(F.col("reference") > 0, F.col("r.g_mid") / F.col("reference")).alias("ratio"))
 
 
 def uncertainty(events: DataFrame, grid: str | None = None) -> DataFrame:
-    """(lever, ratio): high over low when one assumption varies and the others are pinned; one pass over the priced rows.
+    """(lever, ratio): high over low when one assumption varies and the others are pinned."""
+    return uncertainty_of(_pairs(events, grid=grid))
+
+
+def uncertainty_of(pairs: DataFrame) -> DataFrame:
+    """uncertainty() of priced rows by raw model, in one pass.
 
     PUE stays free in all levers but its own.
     """
@@ -37,7 +47,7 @@ def uncertainty(events: DataFrame, grid: str | None = None) -> DataFrame:
     size, weight = expr.footprint(token_weights=still), expr.footprint(params=params)
     side = {s: expr.footprint(params=params, token_weights=still, pue=F.col(f"pue_{s}"))["g_mid"] for s in ("lo", "hi")}
     pinned = [expr.footprint(params=params, token_weights=still, mix=F.lit(dims.GRIDS[k]))["g_mid"] for k in dims.SENSITIVITY_GRIDS]
-    row = _pairs(events, grid=grid).drop(*expr.footprint()).agg(
+    row = pairs.drop(*expr.footprint()).agg(
         F.sum(size["g_min"]).alias("model_lo"), F.sum(size["g_max"]).alias("model_hi"),
         F.sum(weight["g_min"]).alias("weights_lo"), F.sum(weight["g_max"]).alias("weights_hi"),
         F.sum(side["lo"]).alias("infra_lo"), F.sum(side["hi"]).alias("infra_hi"),

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from .scan import settled, walked
+from .scan import settled, walked, written
 
 
 REQUEST_KEY = ("source", "ts_ms", "session_id", "tok_total")
@@ -124,6 +124,25 @@ def first_writes(lines: DataFrame, keys=("file", "write_id"), order: str = "pos"
     return named.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").unionByName(lines.filter(F.col(keys[-1]).isNull()))
 
 
+def folded_count(events: DataFrame, now: int, days: int) -> DataFrame:
+    """(rows, folded, hours): events, those that compact() folds, and the rows that they become; one pass."""
+    if days == 0:
+        return events.agg(F.count("*").alias("rows"), F.lit(0).cast("long").alias("folded"), F.lit(0).cast("long").alias("hours"))
+    old = (F.col("ts_ms") < now - days * expr.DAY_MS) & ~F.coalesce(F.col("compacted") == "day", F.lit(False))
+    hour = F.col("ts_ms") - F.pmod(F.col("ts_ms"), F.lit(expr.HOUR_MS))
+    each = events.groupBy(F.when(old, F.struct(hour, "source", "model", "project")).alias("k")).agg(F.count("*").alias("n"))
+    return each.agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("n"))), F.lit(0)).alias("folded"), F.count("k").alias("hours"))
+
+
+def signature(events: DataFrame, quota: DataFrame) -> str:
+    """A digest of both tables as multisets, whatever their order: equal if nothing is to be stored anew."""
+    parts = []
+    for df in (events, quota):
+        r = digests(df, F.lit(0)).drop("day").first()
+        parts.append("-" if r is None else ":".join(str(x) for x in r))
+    return "/".join(parts)
+
+
 #: Ids that a file's memory holds. Fixed value.
 SLOTS = 500
 
@@ -170,19 +189,35 @@ def save_chain(events: DataFrame, quota: DataFrame, now: int, retention_days: in
 def save_index(folder: str, events: DataFrame, quota: DataFrame, now: int, retention_days: int, compact_days: int, boundary: int = 0, tz: str = "UTC") -> str:
     """Writes the chain's result as a new version below folder, then its meta row, which makes it the one to load; returns its path.
 
-    A version is never overwritten, so what is read may be what is being replaced.
+    A version is never overwritten, so what is read may be what is being replaced.  Where the last version holds the same rows, as
+    multisets, under the same settings, nothing is written and its path is returned.
     """
     spark = events.sparkSession
     kept, seen, boundary = save_chain(events, quota, now, retention_days, compact_days, boundary, tz)
+    kept, seen = written(kept), written(seen)
+    sign = signature(kept, seen)
+    last = last_meta(spark, folder)
+    if last is not None and (last["version"], last["signature"], last["retention_days"], last["compact_days"], last["compacted_through"]) == (VERSION, sign, retention_days, compact_days, boundary):
+        return last["path"]
     path = f"{folder}/v{now}"
     kept.withColumn("day", expr.day_key("ts_ms", tz)).write.mode("overwrite").partitionBy("day").parquet(f"{path}/events")
     seen.write.mode("overwrite").parquet(f"{path}/quota")
-    meta = spark.createDataFrame([(VERSION, now, retention_days, compact_days, boundary, path)], META)
+    meta = spark.createDataFrame([(VERSION, now, retention_days, compact_days, boundary, path, sign)], META)
     meta.coalesce(1).write.mode("append").parquet(f"{folder}/meta")
     return path
 
 
-META = "version int, updated_at long, retention_days int, compact_days int, compacted_through long, path string"
+META = "version int, updated_at long, retention_days int, compact_days int, compacted_through long, path string, signature string"
+
+
+def last_meta(spark: SparkSession, folder: str):
+    """The newest meta row, if there is any."""
+    try:
+        return spark.read.schema(META).parquet(f"{folder}/meta").orderBy(F.desc("updated_at")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def load_index(spark: SparkSession, folder: str, retention_days: int) -> tuple[DataFrame | None, DataFrame | None, int, bool]:
@@ -190,12 +225,7 @@ def load_index(spark: SparkSession, folder: str, retention_days: int) -> tuple[D
 
     Without an index, or with one of another version, there are no tables and everything is to be read.
     """
-    try:
-        last = spark.read.schema(META).parquet(f"{folder}/meta").orderBy(F.desc("updated_at")).first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        last = None
+    last = last_meta(spark, folder)
     if last is None or last["version"] != VERSION:
         return None, None, 0, True
     events = spark.read.parquet(f"{last['path']}/events").drop("day")

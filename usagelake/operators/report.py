@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims, expr, factors
-from . import budget, carbon, limits, provenance, rollup
+from . import carbon, provenance, rollup
 
 #: Everyday equivalents that a view shows.
 SHOWN = 4
@@ -38,67 +38,6 @@ def model_rows(events: DataFrame, start: int, end: int) -> DataFrame:
     return labelled(rollup.slices(kept, F.lit(1))).orderBy(F.desc("tok_total"), "first_seq")
 
 
-def one(df: DataFrame, name: str) -> DataFrame:
-    """The rows of a small result as one array column."""
-    return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-
-
-def beside(*rows: DataFrame) -> DataFrame:
-    """One-row results as one row."""
-    first, *rest = rows
-    for r in rest:
-        first = first.crossJoin(r)
-    return first
-
-
-def summary(events: DataFrame, quota: DataFrame, start: int, now: int, monthly: float) -> DataFrame:
-    """One row: totals, what they depend on, gauges, budget and reconciliation."""
-    kept = rollup.period(provenance.dedupe(events), start, now)
-    t = rollup.totals(kept)
-    totals = t.select(
-        F.lit(now).alias("generatedAt"), F.lit(start).alias("from"), F.col("tok_total").alias("tokens"), "requests", F.round("cost", 4).alias("costUSD"),
-        F.round("cache_savings", 4).alias("cacheSavingsUSD"), F.struct(F.col("g_min").alias("min"), F.col("g_mid").alias("mid"), F.col("g_max").alias("max")).alias("gramsCO2e"),
-        F.col("wh_mid").alias("energyWh"), F.col("l_mid").alias("waterL"),
-    )
-    oldest = events.agg(F.min("ts_ms").alias("dataHorizon"))
-    mixes = carbon.grid_sensitivity(kept).select("grid", F.col("g_mid").alias("gramsCO2e"), "ratio")
-    levers = carbon.uncertainty(kept)
-    g = limits.project(*limits.readings(events, quota, now), now)
-    gauges = g.select(
-        F.col("gauge_id").alias("id"), limits.window_label(F.col("window_hours")).alias("label"), "percent", F.col("resets_at").alias("resetsAt"),
-        F.col("limit_source").alias("limitSource"), F.when(F.col("before_reset"), F.col("at")).alias("saturatesAt"),
-    )
-    spent = budget.status(events, monthly, now)
-    billed = provenance.reconciliation(events, start, now).select(F.col("fam").alias("family"), "local", "billed", F.col("delta_pct").alias("deltaPct"), "days")
-    return beside(
-        totals, oldest, one(mixes, "sensitivity"), one(levers, "uncertainty"), one(gauges, "gauges"), spent.select(F.struct(*spent.columns).alias("budget")), one(billed, "reconciliation"),
-    )
-
-
-def summary_json(*args) -> DataFrame:
-    """`value`: the summary as a JSON document."""
-    s = summary(*args)
-    return s.select(F.to_json(F.struct(*s.columns)).alias("value"))
-
-
-def snapshot_json(events: DataFrame, quota: DataFrame, start: int, now: int, monthly: float, status: DataFrame | None = None) -> DataFrame:
-    """`value`: the summary with models, projects, days, hours, equivalents and source status, as a JSON document."""
-    kept = provenance.dedupe(events)
-    within = rollup.period(kept, start, now)
-    brief = lambda df, *more: df.select(*more, "tok_total", "requests", "cost")
-    models = model_rows(events, start, now).select("model", "label", "tok_total", "requests", "cost", "g_mid")
-    projects = rollup.rollup(within, rollup.project()).orderBy(F.desc("tok_total"), "first_seq", "key0").limit(10)
-    parts = [
-        summary(events, quota, start, now, monthly), one(models, "models"), one(brief(projects, F.col("key0").alias("project"), "cost_unknown"), "projects"),
-        one(brief(rollup.daily_series(kept, start, now), "day").orderBy("day"), "days"), one(brief(rollup.hour_profile(within), "hour").orderBy("hour"), "hours"),
-        one(carbon.equivalents(rollup.totals(within)).limit(SHOWN), "equivalents"), one(limits.by_product(limits.gauges(events, quota, now)), "products"),
-    ]
-    if status is not None:
-        parts.append(one(status, "sources"))
-    whole = beside(*parts)
-    return whole.select(F.to_json(F.struct(*whole.columns)).alias("value"))
-
-
 def money(c: str) -> Column:
     return F.when(F.col(c).isNull(), F.lit("–")).otherwise(F.format_string("$%.2f", c))
 

@@ -64,10 +64,14 @@ def slices(events: DataFrame, *keys: Column, grid: str | None = None, overrides:
     names = [f"key{i}" for i in range(len(keys))]
     keyed = events.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)])
     sums = keyed.groupBy(*names, "model").agg(*token_sums(), F.count("*").alias("events"), F.min("seq").alias("first_seq"))
-    priced = resolved(sums, overrides)
+    return priced(sums, grid, overrides)
+
+
+def priced(sums: DataFrame, grid: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """Token sums by raw model (model, ...) with what is known of the model, costs and footprints."""
+    known = resolved(sums, overrides)
     mix = F.col("own_grid_g") if grid is None else F.lit(dims.GRIDS.get(grid, dims.GRIDS["us-average"]))
-    priced = priced.withColumn("grid_g", mix)
-    return priced.withColumns({"cost": expr.cost(), "bare_cost": expr.cost_without_cache(), **expr.footprint()})
+    return known.withColumn("grid_g", mix).withColumns({"cost": expr.cost(), "bare_cost": expr.cost_without_cache(), **expr.footprint()})
 
 
 MEASURES = ("g_min", "g_mid", "g_max", "wh_min", "wh_mid", "wh_max", "l_min", "l_mid", "l_max")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, expr, factors
 from ..functions import sql as functions_sql
-from ..operators import budget, carbon, limits, merge, provenance, report, rollup
+from ..operators import budget, carbon, document, limits, merge, provenance, report, rollup
 from ..operators import schedule as polls
 from ..sources import logs, sinks
 from ..sources.driver_tables import NOW, quota_obs, usage_events
@@ -638,14 +638,21 @@ def factors_by_group(spark, sf):
     return factors.by_group(spark)
 
 
+@query(P(*UDM, *[o.slices(k, f"ts_ms BETWEEN {START} AND {NOW}", name=f"a{i}") + ", " + o.slices(k, f"ts_ms >= {PREV} AND ts_ms < {START}", name=f"b{i}") for i, k in enumerate(("model", PROJ, "day", "printf('%02d', hr)"))],
+         " UNION ALL ".join(f"SELECT '{n}' AS part, coalesce(a.key, b.key) AS key, a.t AS tokens, b.t AS before, a.r AS requests, round(coalesce(a.c, CASE WHEN a.t IS NOT NULL THEN 0 END), 5) AS cost, round(a.g, 2) AS grams FROM (SELECT key, sum(tok_total)::BIGINT AS t, sum(requests)::BIGINT AS r, sum(cost) AS c, sum(g_mid) AS g FROM a{i} GROUP BY key) a FULL JOIN (SELECT key, sum(tok_total)::BIGINT AS t FROM b{i} GROUP BY key) b USING (key)" for i, n in enumerate(("model", "project", "day", "hour")))))
+def snapshot_numbers(spark, sf):
+    n = document.numbers(usage_events(spark, sf), START, NOW)
+    return n.select("part", "key", "tokens", "before", "requests", r("cost", 5), r("grams", 2))
+
+
 @query()
 def summary_json(spark, sf):
-    return report.summary_json(usage_events(spark, sf), quota_obs(spark, sf), START, NOW, 240.0)
+    return document.summary(usage_events(spark, sf), quota_obs(spark, sf), START, NOW, 240.0)
 
 
 @query()
 def snapshot_json(spark, sf):
-    return report.snapshot_json(usage_events(spark, sf), quota_obs(spark, sf), START, NOW, 240.0)
+    return document.snapshot(usage_events(spark, sf), quota_obs(spark, sf), START, NOW, 240.0)
 
 
 @query()

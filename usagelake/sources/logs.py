@@ -177,11 +177,17 @@ def billing_usage(lines: DataFrame, provider: str, now: int) -> DataFrame:
     ).filter("tok_total > 0")
 
 
-def billed_costs(lines: DataFrame, now: int) -> DataFrame:
-    """(day, amount) of a cost report; amounts are numbers or their text, anything else is ignored."""
+def cost_report(lines: DataFrame, now: int) -> DataFrame:
+    """(day, amount) of a cost report, and its total on the row of no day; amounts are finite numbers or their text, anything else is ignored."""
     b = parsed(lines, BUCKET).withColumn("u", F.explode("r.results"))
-    day = F.date_format(F.timestamp_millis(_bucket_ms(now)), "yyyy-MM-dd")
-    return b.groupBy(day.alias("day")).agg(F.coalesce(F.sum(F.col("u.amount").try_cast("double")), F.lit(0.0)).alias("amount"))
+    amount = F.col("u.amount").try_cast("double")
+    found = b.select(F.date_format(F.timestamp_millis(_bucket_ms(now)), "yyyy-MM-dd").alias("day"), amount.alias("amount")).filter(~F.isnan("amount") & (F.abs("amount") < float("inf")))
+    return found.rollup("day").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount"))
+
+
+def billed_costs(lines: DataFrame, now: int) -> DataFrame:
+    """(day, amount) of a cost report."""
+    return cost_report(lines, now).filter("day IS NOT NULL")
 
 
 PERCENTS = ("utilization", "used_percent", "usedPercent", "percent_used", "percentUsed", "percent")

@@ -425,9 +425,9 @@ def marks_of(rows):
     out = []
     for r in rows:
         alike = [x for x in rows if x[:2] == r[:2]]
-        least = min((x[2], x[3] >> 8) for x in alike)
+        least = min((x[2], x[3] >> 16) for x in alike)
         mixed = any(x[0] == r[0] and x[1] != r[1] for x in rows)
-        out.append(((r[2], r[3] >> 8) > least, len(alike) > 1, r == min(alike) and mixed))
+        out.append(((r[2], r[3] >> 16) > least, len(alike) > 1, r == min(alike) and mixed))
     return out
 
 
@@ -436,7 +436,7 @@ def test_pieces_are_judged_alike_however_they_are_dealt(spark, parts):
     from usagelake.llm.repeats import ROWS, settled
 
     rng = np.random.default_rng(parts)
-    rows = {(int(k), int(k * 10 + c), int(i), int(f) << 8 | 1, 100 + n) for n, (k, c, i, f) in enumerate(rng.integers([0, 0, 0, 0], [9, 3, 6, 5], (160, 4)))}
+    rows = {(int(k), int(k * 10 + c), int(i), int(f) << 16 | 1, 100 + n) for n, (k, c, i, f) in enumerate(rng.integers([0, 0, 0, 0], [9, 3, 6, 5], (160, 4)))}
     rows |= {(20, 200, i, 256, 0) for i in range(90)} | {(21, 210 + i % 2, 0, 256, i) for i in range(60)} | {(30 + i, 0, i, 0, 0) for i in range(20)}
     rows = sorted(rows)
     want = {(r[2], r[4], r[3], r[0]): m for r, m in zip(rows, marks_of(rows), strict=True)}

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .frames import BROADCAST_ROWS, cut, sized
+from .frames import BROADCAST_ROWS, cut, sized, spread_join
 from .text import _BYTES, Batch, chunks, encode, prefix_of, sliding_min, window_hashes
 
 ROWS = "hk long, hc long, id long, doc long, place long"
@@ -49,26 +49,37 @@ def identified(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("doc"), text.alias("text"),
     )
     same = F.sha2(F.col("text").cast("binary"), 256).alias("same")
-    copies = known.groupBy(same).agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
-    return known.withColumn("same", same).join(sized(cut(copies)), "same", "left").drop("same")
+    copies = known.groupBy(same).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    return spread_join(known.withColumn("same", same), cut(copies), ["same"], outer=True).drop("same").withColumnRenamed("n", "copies")
 
 
 def firsts(known: DataFrame) -> DataFrame:
-    """The rows that stand for their text."""
-    return known.filter("first_id IS NULL OR id = first_id")
+    """One row for each text: of the text's rows with the least id, whose places are alike, any."""
+    twins = known.filter("id = first_id").dropDuplicates(["id", "doc"])
+    return known.filter("first_id IS NULL").unionByName(twins)
+
+
+#: Bits of a packed place that hold a piece's number of windows.
+COUNT_BITS = 16
+
+
+def fits(window: int, levels) -> None:
+    """Refuse windows whose pieces, at most window - gram + 1 windows each, do not fit in a packed place."""
+    if not 0 < min(levels) <= max(levels) <= window or window - min(levels) + 1 >= 1 << COUNT_BITS:
+        raise ValueError(f"levels lie between 1 and the window, and a piece has less than {1 << COUNT_BITS} windows")
 
 
 def pack(first, count):
     """(first window, number of windows) as one integer that sorts by the first window."""
-    return (np.asarray(first, np.int64) << 8) | np.asarray(count, np.int64)
+    return (np.asarray(first, np.int64) << COUNT_BITS) | np.asarray(count, np.int64)
 
 
 def first_of(place):
-    return place >> 8
+    return place >> COUNT_BITS
 
 
 def count_of(place):
-    return place & 0xFF
+    return place & ((1 << COUNT_BITS) - 1)
 
 
 class Sequence:
@@ -246,7 +257,7 @@ def settled(rows: DataFrame) -> DataFrame:
     marked = cut(ordered.mapInPandas(mark, MARKS))
     # two rows of each partition, and those that tie with its first
     alike = W.partitionBy("hk", "hc")
-    at = F.struct("id", F.shiftright("place", 8).alias("first"))
+    at = F.struct("id", F.shiftright("place", COUNT_BITS).alias("first"))
     edges = marked.filter("edge").withColumn("at", at).withColumn("least", F.min("at").over(alike))
     edges = edges.withColumn("past", F.min_by("later", F.struct("at", ~F.col("later"))).over(alike)).withColumn("n", F.count("*").over(alike))
     edges = edges.withColumn("later", F.col("later") | F.col("past") | (F.col("at") > F.col("least"))).withColumn("again", F.col("again") | (F.col("n") > 1))

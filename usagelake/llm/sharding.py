@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import cut, table
+from .frames import cut, table, unused
 
 SHARDS = 8
 #: Rows that one chunk or cell holds on average, until there are CHUNKS of them.
@@ -93,9 +93,11 @@ def shard(
     """df with a shard (0 .. shards-1) and a slot within it (gapless from 0).
 
     `key`: columns whose hash orders the rows (all by default); rows that agree
-    in them are told apart by their place in the input.
+    in them are told apart by their place in the input.  `out`: names of the two
+    columns; where df has one of that name already, underscores go before the new one.
     """
     spark = df.sparkSession
+    out = tuple(unused(df, n) for n in out)
     names = list(df.columns)
     flat = df.toDF(*[f"c{i}" for i in range(len(names))])
     keys = [f"c{names.index(k)}" for k in (key or names)]

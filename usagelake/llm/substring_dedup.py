@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, table
-from .repeats import covered, doc_id, every_document, firsts, identified, pieces, settled, with_places
+from .repeats import covered, doc_id, every_document, firsts, fits, identified, pieces, settled, with_places
 from .text import Batch, chunks, encode
 
 WINDOW = 20
@@ -68,6 +68,7 @@ def _strip(docs: DataFrame, window: int) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, levels=LEVELS) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that are left, joined by spaces."""
+    fits(window, levels)
     known = identified(docs)
     return _strip(every_document(known, repeated_words(firsts(known), window, levels)), window)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, sized, table
-from .repeats import count_of, covered, doc_id, every_document, first_of, firsts, identified, pack, pieces, settled, with_places
+from .repeats import count_of, covered, doc_id, every_document, first_of, firsts, fits, identified, pack, pieces, settled, with_places
 from .text import _BYTES, _INVERSE, Batch, chunks, encode, powers, prefix_of, window_hashes
 
 WINDOW = 200
@@ -250,6 +250,7 @@ def _strip(docs: DataFrame, window: int) -> DataFrame:
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, levels=LEVELS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that are left."""
+    fits(window, levels)
     known = identified(docs)
     return _strip(every_document(known, repeated_bytes(firsts(known), window, levels)), window)
 

@@ -34,6 +34,12 @@ HEADER = ("groupe", "facteur", "valeur", "unite", "source", "citation", "version
 NOT_RECORDED = "version and date of consultation not recorded"
 # End of fixed values.
 
+#: What is to be said of a group's values.
+CAVEATS = {
+    "method": "fitted to open models on one kind of GPU", "weights": "no provider publishes it", "grid": "a yearly average, whatever the hour",
+    "infrastructure": "of the provider's fleet, not of the site", "water": "bounds of published estimates", "equivalents": "an order of magnitude",
+}
+
 SCHEMA = "`group` string, key string, value string, unit string, source string"
 
 
@@ -81,13 +87,35 @@ def factor_table(spark: SparkSession, grid: str | None = None) -> DataFrame:
     return cited.orderBy("ord").select("group", "key", "value", "unit", "source", F.coalesce("citation", F.concat(F.lit("unknown source: "), "source")).alias("citation"), F.coalesce("pinned", F.lit(False)).alias("pinned"))
 
 
-def by_group(spark: SparkSession, grid: str | None = None) -> DataFrame:
+def by_group(spark: SparkSession, grid: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """(group, factors, unpinned): number of factors and the publishers whose versions are missing."""
     publisher = F.trim(F.get(F.split("publisher", r"[,(]"), F.lit(0)))
-    known = factor_table(spark, grid).join(F.broadcast(citations(spark).select("source", "publisher")), "source", "left")
+    known = (factor_table(spark, grid) if table is None else table).join(F.broadcast(citations(spark).select("source", "publisher")), "source", "left")
     return known.groupBy("group").agg(F.count("*").alias("factors"), F.array_sort(F.collect_set(F.when(~F.col("pinned"), publisher))).alias("unpinned"))
 
 
 def methodology_cells() -> list[Column]:
-    """Cells of a line of the methodology file."""
-    return [F.col(c) for c in ("group", "key", "value", "unit", "source", "citation")] + [F.when(F.col("pinned"), "oui").otherwise("non"), F.lit("")]
+    """Cells of a line of the methodology file; the last is what is to be said against the value."""
+    caveats = F.create_map(*[F.lit(x) for pair in CAVEATS.items() for x in pair])
+    reserve = F.concat_ws("; ", caveats[F.col("group")], F.when(~F.col("pinned"), NOT_RECORDED))
+    return [F.col(c) for c in ("group", "key", "value", "unit", "source", "citation")] + [F.when(F.col("pinned"), "oui").otherwise("non"), reserve]
+
+
+def in_use(models: DataFrame) -> DataFrame:
+    """factor_table() with tok_total, the tokens whose footprint rests on each factor; factors that none rests on are left out.
+
+    models: a row for each raw model (provider, own_grid, tok_total), as priced.  A grid is used where it is a provider's own.
+    """
+    spark = models.sparkSession
+    whole = models.agg(F.sum("tok_total").alias("tok_total")).select(F.lit("*").alias("owner"), "tok_total")
+    owners = whole.unionByName(models.groupBy(F.col("provider").alias("owner")).agg(F.sum("tok_total").alias("tok_total")))
+    owners = owners.unionByName(models.groupBy(F.concat(F.lit("grid "), "own_grid").alias("owner")).agg(F.sum("tok_total").alias("tok_total")))
+    of = spark.createDataFrame(owned(), "`group` string, key string, owner string")
+    return factor_table(spark).join(F.broadcast(of), ["group", "key"]).join(owners.filter("tok_total > 0"), "owner").drop("owner")
+
+
+def owned() -> list[tuple[str, str, str]]:
+    """(group, key, owner) of each factor: a provider, a grid, or * for all use."""
+    out = [("method", k, "*") for k, *_ in METHOD] + [("weights", WEIGHT_NAMES[k], "*") for k in dims.WEIGHTS] + [("grid", k, f"grid {k}") for k in dims.GRIDS]
+    out += [("infrastructure", f"{k} {what}", k) for k in dims.INFRA for what in ("PUE", "water on site", "default grid")]
+    return [*out, ("water", "OFFSITE_L_PER_KWH", "*"), *[("equivalents", k, "*") for k, _ in dims.EQUIVALENTS]]

@@ -244,9 +244,19 @@ def equivalents(spark, sf):
     return carbon.equivalents(rollup.totals(current(spark, sf))).select("item", r("units", 3))
 
 
-@query()
+def factors_used(spark, sf) -> DataFrame:
+    """The factors that the period's footprints rest on."""
+    return factors.in_use(rollup.slices(current(spark, sf), F.lit(1)))
+
+
+OWNED = o.values("fc", "grp, key, owner", [(g, k, w) for g, k, w in factors.owned()])
+
+
+@query(P(*UDM, o.slices("1"), o.values("og", "provider, own", [(k, v[4]) for k, v in dims.INFRA.items()]), OWNED,
+         "ow AS (SELECT '*' AS owner, sum(tok_total) AS t FROM x UNION ALL SELECT provider, sum(tok_total) FROM x GROUP BY provider UNION ALL SELECT 'grid ' || own, sum(tok_total) FROM x JOIN og USING (provider) GROUP BY own)",
+         'SELECT grp AS "group", key, t::BIGINT AS tok_total FROM fc JOIN ow USING (owner) WHERE t > 0'))
 def factor_table(spark, sf):
-    return factors.factor_table(spark)
+    return factors_used(spark, sf).select("group", "key", "tok_total")
 
 
 @query(P(*UD, f"SELECT model, project, day, hr::INT AS hour, CASE WHEN grouping(project) = 0 THEN 'project' WHEN grouping(day) = 0 THEN 'day' WHEN grouping(hr) = 0 THEN 'hour' ELSE 'model' END AS grouped_by, sum(tok_total)::BIGINT AS tok_total, sum(req)::BIGINT AS requests FROM (SELECT * REPLACE ({PROJ} AS project) FROM d WHERE ts_ms BETWEEN {START} AND {NOW}) GROUP BY GROUPING SETS ((model), (project, model), (day, model), (hr, model))"))
@@ -630,12 +640,12 @@ def merge_quota(spark, sf):
 
 @query()
 def methodology_lines(spark, sf):
-    return sinks.methodology_lines(spark)
+    return sinks.methodology_lines(spark, table=factors_used(spark, sf))
 
 
 @query()
 def factors_by_group(spark, sf):
-    return factors.by_group(spark)
+    return factors.by_group(spark, table=factors_used(spark, sf))
 
 
 @query(P(*UDM, *[o.slices(k, f"ts_ms BETWEEN {START} AND {NOW}", name=f"a{i}") + ", " + o.slices(k, f"ts_ms >= {PREV} AND ts_ms < {START}", name=f"b{i}") for i, k in enumerate(("model", PROJ, "day", "printf('%02d', hr)"))],

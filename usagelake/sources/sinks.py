@@ -48,9 +48,10 @@ def export_lines(events: DataFrame, start: int, end: int, tz: str = "UTC", **how
     return head.unionByName(body).orderBy("part", "day", F.desc("tok_total"), "first_seq").select("line")
 
 
-def methodology_lines(spark: SparkSession, grid: str | None = None) -> DataFrame:
-    """`line`: the header, then one line for each factor in use, with its citation."""
-    body = factors.factor_table(spark, grid).select(csv_line(*factors.methodology_cells()).alias("line"))
+def methodology_lines(spark: SparkSession, grid: str | None = None, table: DataFrame | None = None) -> DataFrame:
+    """`line`: the header, then one line for each factor of the table (all by default), with its citation and caveat."""
+    table = factors.factor_table(spark, grid) if table is None else table.orderBy(F.array_position(F.lit(list(factors.GROUPS)), F.col("group")), "key")
+    body = table.select(csv_line(*factors.methodology_cells()).alias("line"))
     body = body.withColumn("n", F.monotonically_increasing_id() + 1)
     head = spark.createDataFrame([(",".join(factors.HEADER), 0)], "line string, n long")
     return head.unionByName(body).orderBy("n").select("line")

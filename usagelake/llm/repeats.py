@@ -54,9 +54,16 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def firsts(known: DataFrame) -> DataFrame:
-    """One row for each text: of the text's rows with the least id, whose places are alike, any."""
-    twins = known.filter("id = first_id").dropDuplicates(["id", "doc"])
-    return known.filter("first_id IS NULL").unionByName(twins)
+    """One row for each text: of the text's rows with the least id, whose places are alike, any.
+
+    Only where such rows agree in their id as well are texts shuffled, one from each task.
+    """
+    chosen = known.filter("first_id IS NULL OR id = first_id")
+    alike = cut(known.filter("id = first_id").groupBy("id", "doc").agg(F.count("*").alias("n")).filter("n > 1").select("id", "doc"))
+    if alike.isEmpty():
+        return chosen
+    names = sized(alike)
+    return chosen.join(names, ["id", "doc"], "left_anti").unionByName(chosen.join(names, ["id", "doc"], "left_semi").dropDuplicates(["id", "doc"]))
 
 
 #: Bits of a packed place that hold a piece's number of windows.

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .frames import BROADCAST_ROWS, cut, sized, spread_join
-from .text import _BYTES, Batch, chunks, encode, prefix_of, sliding_min, window_hashes
+from .text import _BYTES, CHUNK_BYTES, Batch, chunks, encode, prefix_of, sliding_min, window_hashes
 
 ROWS = "hk long, hc long, id long, doc long, place long"
 ORDER = ["hk", "hc", "id", "place", "doc"]
@@ -66,6 +66,8 @@ def firsts(known: DataFrame) -> DataFrame:
     return chosen.join(names, ["id", "doc"], "left_anti").unionByName(chosen.join(names, ["id", "doc"], "left_semi").dropDuplicates(["id", "doc"]))
 
 
+#: Bytes of text that one vectorised step handles: some 150 bytes of arrays for each item.
+STEP_BYTES = {"byte": CHUNK_BYTES // 4, "word": CHUNK_BYTES}
 #: Bits of a packed place that hold a piece's number of windows.
 COUNT_BITS = 16
 
@@ -158,7 +160,7 @@ def pieces(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
         for pdf in batches:
             raw = encode(pdf["text"])
             ids, names = pdf["id"].to_numpy(), pdf["doc"].to_numpy()
-            for a, b in chunks(raw):
+            for a, b in chunks(raw, STEP_BYTES[unit]):
                 seq = Sequence(raw[a:b], unit)
                 key, first, count, text = seq.pieces(window, gram, list(pdf["places"].iloc[a:b]) if given else None)
                 if len(key):

@@ -44,8 +44,8 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS, hot: int = HOT_ROWS, outer: bool = False) -> DataFrame:
-    """Inner join, or left join; right has a row for each key and, in `n`, the number of rows that left has of it.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS, hot: int = HOT_ROWS, outer: bool = False, count: str = "n") -> DataFrame:
+    """Inner join, or left join; right has a row for each key and, in `count`, the number of rows that left has of it.
 
     right is broadcast if it has few rows by count.  Otherwise the keys of more than `hot` rows are broadcast, of which
     left can hold no more than its rows / hot, and the others are shuffled: no task gets more than `hot` rows of a key.
@@ -53,9 +53,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int =
     how = "left" if outer else "inner"
     if right.limit(rows + 1).count() <= rows:
         return left.join(F.broadcast(right), keys, how)
-    often = right.filter(F.col("n") > hot)
+    often = right.filter(F.col(count) > hot)
     # a left row of a hot key meets no other row of right
-    others = left.join(F.broadcast(often.select(keys)), keys, "left_anti").join(right.filter(F.col("n") <= hot), keys, how)
+    others = left.join(F.broadcast(often.select(keys)), keys, "left_anti").join(right.filter(F.col(count) <= hot), keys, how)
     return left.join(F.broadcast(often), keys).unionByName(others)
 
 

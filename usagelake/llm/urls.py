@@ -8,10 +8,13 @@ whose siblings are many and mostly rare is generalised into a wildcard; a node
 with a single path is a leaf.  Sibling branches whose labels are alike are
 merged, their counts pooled; a template is rejected if its purity, smoothed by
 its parent's, is over one half.  The tree is as deep as its paths branch.
+Every look-up goes by counted rows, so that a hot host, template or url is dealt
+to many tasks.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits
 no rule and gets the verdict of the whole corpus; an empty table gives an empty
-result; rows repeat with their pages.  All of it is DataFrame code.
+result; rows repeat with their pages; columns named host, path, rule, template,
+purity or verdict are replaced, all others are kept.  All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import cut, table
+from .frames import cut, spread_join, table, unused
 
 RULES = (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
@@ -53,14 +56,14 @@ def host_and_path(df: DataFrame, url: str) -> DataFrame:
     return df.withColumn("host", F.translate(host, UPPER, LOWER)).withColumn("path", path)
 
 
-def ruled(df: DataFrame, rules=RULES) -> DataFrame:
-    """df with the longest rule that fits its host and path, and that rule's verdict; both null if none does."""
+def ruled(df: DataFrame, rules=RULES, out: str = "ruled") -> DataFrame:
+    """df with the longest rule that fits its host and path, and in `out` that rule's verdict; both null if none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for text, says in sorted(rules, key=lambda r: len(r[0])):  # the longest is asked first
         host, slash, path = text.partition("/")
         fits = ((F.col("host") == host) | F.endswith("host", F.lit(f".{host}"))) & F.startswith("path", F.lit(slash + path))
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
-    return df.withColumn("rule", rule).withColumn("ruled", verdict)
+    return df.withColumn("rule", rule).withColumn(out, verdict)
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -82,15 +85,18 @@ def templates(paths: DataFrame) -> DataFrame:
         if open_.isEmpty():
             return done
         # the least and the greatest path of a node share what all of them share
-        nodes = open_.groupBy("_t").agg(F.min("_rest").alias("_lo"), F.max("_rest").alias("_hi")).withColumn("_same", _shared(F.col("_lo"), F.col("_hi")))
-        df = open_.join(nodes.select("_t", "_same"), "_t")
+        nodes = open_.groupBy("_t").agg(F.min("_rest").alias("_lo"), F.max("_rest").alias("_hi"), F.count("*").alias("_k"))
+        nodes = cut(nodes.select("_t", _shared(F.col("_lo"), F.col("_hi")).alias("_same"), "_k"))
+        df = spread_join(open_, nodes, ["_t"], count="_k").drop("_k")
         begun = F.slice("_rest", F.lit(1), F.col("_same"))
         df = df.withColumn("_stem", F.when(F.col("_same") > 0, F.concat(F.col("_t"), F.lit("/"), F.array_join(begun, "/"))).otherwise(F.col("_t")))
         df = cut(df.withColumn("_s", F.get("_rest", F.col("_same"))).withColumn("_rest", F.slice("_rest", F.col("_same") + 2, F.size("_rest"))).drop("_same", "_t"))
-        kids = df.filter("_s IS NOT NULL").groupBy("_stem", "_s").agg(F.sum("n").alias("_n"))
-        wild = kids.groupBy("_stem").agg(F.count("*").alias("_values"), F.sum("_n").alias("_pages"))
-        wild = cut(wild.filter((F.col("_values") > VARIABLE_VALUES) & (F.col("_pages") < F.col("_values") * VARIABLE_PAGES)).select("_stem", F.lit("*").alias("_wild")))
-        df = df.join(wild, "_stem", "left")
+        kids = df.groupBy("_stem", "_s").agg(F.sum("n").alias("_n"), F.count("*").alias("_k"))
+        pages = F.sum(F.when(F.col("_s").isNotNull(), F.col("_n")))
+        wild = kids.groupBy("_stem").agg(F.count("_s").alias("_values"), pages.alias("_pages"), F.sum("_k").alias("_k"))
+        variable = (F.col("_values") > VARIABLE_VALUES) & (F.col("_pages") < F.col("_values") * VARIABLE_PAGES)
+        wild = cut(wild.filter(variable).select("_stem", F.lit("*").alias("_wild"), "_k"))
+        df = spread_join(df, wild, ["_stem"], outer=True, count="_k").drop("_k")
         below = F.when(F.col("_s").isNull(), F.col("_stem")).otherwise(F.concat(F.col("_stem"), F.lit("/"), F.coalesce("_wild", "_s")))
         df = df.withColumn("_t", below).withColumn("up", F.array_distinct(F.concat("up", F.array("_stem", "_t")))).drop("_s", "_wild", "_stem")
         open_ = cut(df)
@@ -100,7 +106,8 @@ def pooled(kids: DataFrame) -> DataFrame:
     """(_up, _node, _l, _b, _p) of sibling branches -> with _pl and _pb, the labelled and blocked pages of all alike siblings."""
     bin_ = F.least(F.floor(F.asin(F.sqrt(F.col("_b") / F.col("_l"))) * F.lit(BINS / (math.pi / 2))), F.lit(BINS - 1)).cast("int")
     kids = kids.withColumn("_bin", F.when(F.col("_l") > 0, bin_))
-    bins = kids.filter("_l > 0").groupBy("_up", "_bin").agg(F.sum("_l").alias("_bl"), F.sum("_b").alias("_bb"))  # BINS a parent
+    told = kids.filter("_l > 0")
+    bins = told.groupBy("_up", "_bin").agg(F.sum("_l").alias("_bl"), F.sum("_b").alias("_bb"), F.count("*").alias("_kids"))  # BINS a parent
     along = W.partitionBy("_up").orderBy("_bin")
     l0, b0 = F.lag("_bl").over(along), F.lag("_bb").over(along)
     share = (F.col("_bb") + b0) / (F.col("_bl") + l0)
@@ -108,42 +115,47 @@ def pooled(kids: DataFrame) -> DataFrame:
     apart = F.coalesce(F.abs(F.col("_bb") / F.col("_bl") - b0 / l0) > ALIKE * error, F.lit(False))
     bins = bins.withColumn("_apart", apart.cast("int")).withColumn("_branch", F.sum("_apart").over(along))
     alike = W.partitionBy("_up", "_branch")
-    bins = bins.select("_up", "_bin", F.sum("_bl").over(alike).alias("_pl"), F.sum("_bb").over(alike).alias("_pb"))
-    return kids.join(bins, ["_up", "_bin"], "left").drop("_bin")
+    bins = cut(bins.select("_up", "_bin", "_kids", F.sum("_bl").over(alike).alias("_pl"), F.sum("_bb").over(alike).alias("_pb")))
+    told = spread_join(told, bins, ["_up", "_bin"], count="_kids").drop("_kids")
+    return told.unionByName(kids.filter("_l = 0"), allowMissingColumns=True).drop("_bin")
 
 
 def purity(grown: DataFrame) -> DataFrame:
-    """(up, purity): blocked part of the labelled pages of each leaf's branch, smoothed from the root down."""
-    leaves = cut(grown.groupBy("up").agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b")))
+    """(up, purity, paths): blocked part of the labelled pages of each leaf's branch, smoothed from the root down; the leaf's paths."""
+    leaves = cut(grown.groupBy("up").agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b"), F.count("*").alias("paths")))
     depth, whole = leaves.agg(
         F.coalesce(F.max(F.size("up")), F.lit(0)),
         (F.coalesce(F.sum("_b"), F.lit(0)) + PRIOR / 2) / (F.coalesce(F.sum("_l"), F.lit(0)) + PRIOR),
     ).first()
-    out = leaves.withColumn("_p", F.lit(float(whole)))
+    open_ = leaves.withColumn("_p", F.lit(float(whole)))
+    done = open_.filter(F.lit(False))
     for i in range(depth):
-        out = out.withColumn("_node", F.get("up", F.lit(i)))
+        done = done.unionByName(open_.filter(F.size("up") <= i))
+        open_ = open_.filter(F.size("up") > i).withColumn("_node", F.get("up", F.lit(i)))
         up = F.get("up", F.lit(i - 1)) if i else F.lit("")
-        kids = out.filter("_node IS NOT NULL").withColumn("_up", up).groupBy("_up", "_node").agg(
-            F.sum("_l").alias("_l"), F.sum("_b").alias("_b"), F.max("_p").alias("_p")
+        kids = open_.withColumn("_up", up).groupBy("_up", "_node").agg(
+            F.sum("_l").alias("_l"), F.sum("_b").alias("_b"), F.max("_p").alias("_p"), F.count("*").alias("_k")
         )
         own = F.when(F.col("_pl") > 0, (F.col("_pb") + PRIOR * F.col("_p")) / (F.col("_pl") + PRIOR)).otherwise(F.col("_p"))
-        judged = cut(pooled(cut(kids)).select("_node", own.alias("_own")))
-        out = cut(out.join(judged, "_node", "left").withColumn("_p", F.coalesce("_own", "_p")).drop("_node", "_own"))
-    return out.select("up", F.col("_p").alias("purity"))
+        judged = cut(pooled(cut(kids)).select("_node", "_k", own.alias("_own")))
+        open_ = cut(spread_join(open_, judged, ["_node"], count="_k").withColumn("_p", F.col("_own")).drop("_node", "_own", "_k"))
+    return done.unionByName(open_).select("up", F.col("_p").alias("purity"), "paths")
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule, template, purity and verdict, which replace columns of those names."""
-    seen = ruled(host_and_path(pages.drop("rule", "template", "purity", "verdict"), url), rules)
-    known = F.col("ruled").isNotNull()
+    says, many = unused(pages, "_ruled"), unused(pages, "_pages")
+    seen = ruled(host_and_path(pages.drop("rule", "template", "purity", "verdict"), url), rules, says)
+    known = F.col(says).isNotNull()
     paths = seen.groupBy("host", "path").agg(
-        F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")
+        F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.count_if(F.col(says) == "block").alias("blocked")
     )
     grown = cut(templates(paths))
-    leaf = cut(grown.select("host", "path", "up").join(purity(grown), "up").select("host", "path", F.element_at("up", -1).alias("template"), "purity"))
-    return seen.join(leaf, ["host", "path"], "left").withColumn(
-        "verdict", F.coalesce("ruled", F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
-    ).drop("ruled")
+    leaf = spread_join(grown.select("host", "path", "up", F.col("n").alias(many)), cut(purity(grown)), ["up"], count="paths")
+    leaf = cut(leaf.select("host", "path", F.element_at("up", -1).alias("template"), "purity", many))
+    return spread_join(seen, leaf, ["host", "path"], outer=True, count=many).withColumn(
+        "verdict", F.coalesce(says, F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
+    ).drop(says, many)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ slots beyond that are dropped, missing ones follow at the end.
 Defined results: a null text has no words; null is a source of its own, last in
 order; documents without words take nothing and give nothing; an empty table
 gives an empty mix.  Rows that agree in id, source and size are
-interchangeable.  Every column of the documents is kept; added names are
+interchangeable.  Rows with a null or often repeated id are ordered in tasks of
+bounded size like any others; which of them a mix takes may then depend on how
+the input is partitioned.  Every column of the documents is kept; added names are
 parameters or start with an underscore.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import cut, n_words, sized, table
+from .frames import cut, n_words, sized, spread_join, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -68,6 +70,16 @@ def _running(df: DataFrame, group: str, bucket: Column, value: Column, order: li
     return df.join(ahead.select(group, "_bucket", "_ahead"), [group, "_bucket"]).withColumn(out, F.col(out) + F.col("_ahead")).drop("_ahead", "_bucket")
 
 
+def order_buckets(base: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """base with `_bucket`, by its id; a source's bucket that an id repeated many times has filled is split by row."""
+    base = base.withColumn("_whole", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
+    full = base.groupBy("source_no", "_whole").agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * ORDER_ROWS)
+    full = cut(full.select("source_no", "_whole", F.ceil(F.col("_n") / ORDER_ROWS).alias("_splits")))
+    part = F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_splits")), F.lit(0))
+    split = base.join(sized(full), ["source_no", "_whole"], "left").withColumn("_bucket", F.struct(F.col("_whole"), part.alias("_part")))
+    return split.drop("_whole", "_splits")
+
+
 def schedule(spark: SparkSession, sources: DataFrame, slots: int, block: int, seed: int) -> DataFrame:
     """(slot, source_no, rank): which block of which source fills each slot.
 
@@ -121,7 +133,7 @@ def mix(
     buckets = max(1, -(-rows // ORDER_ROWS))
     place = F.xxhash64(F.lit(seed), "doc_id", "size")
     laid = _running(
-        base, "source_no", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(buckets)), F.col("size"),
+        order_buckets(base, buckets, seed + 1), "source_no", F.col("_bucket"), F.col("size"),
         [place, F.col("doc_id"), F.col("size"), F.col("_row")], "_at",
     ).filter("size > 0")
     once = laid.withColumn("pass", F.explode(F.array(*[F.lit(p) for p in range(PASSES)]))).withColumn("_at", F.col("_at") + F.col("pass") * F.col("source_size"))
@@ -158,9 +170,9 @@ def taken_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: i
     slim = flat.select(F.col("_id").alias("doc_id"), own(source).alias("source"), F.col("_size").alias("size"))
     rows, pieces = mix(slim, weights, share, seed)
     taken = rows.join(pieces.groupBy("_row").agg(F.sum("n").alias("taken")), "_row", "left").groupBy(F.col("doc_id").alias("_id")).agg(
-        (F.sum(F.coalesce("taken", F.lit(0))) / F.sum("size")).alias("_share")
+        F.try_divide(F.sum(F.coalesce("taken", F.lit(0))), F.sum("size")).alias("_share"), F.count("*").alias("_rows")
     ).filter("_share > 0")
-    many = flat.join(taken, "_id")
+    many = spread_join(flat, cut(taken), ["_id"], count="_rows")
     copies = F.floor(F.col("_share") + 0.5).cast("int")
     many = many.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return many.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -39,6 +39,8 @@ BAND = 4
 SCALE, ZERO = 1.001, 4000
 #: A pair is dropped on its registers alone if they are exp(DOUBT) times likelier without a link.
 DOUBT = 14.0
+#: A pair with a smaller share of equal registers is dropped as well; at a similarity of 0.8 that has a probability of 1e-23.
+FEWEST = 0.4
 BLOCK = 4096
 
 
@@ -96,7 +98,12 @@ def _chance(x: np.ndarray) -> np.ndarray:
 
 
 def maybe_linked(more, less, same, n_a, n_b, share: float) -> np.ndarray:
-    """Whether similarity `share` or more is likely enough, given registers that are larger, smaller, equal."""
+    """Whether similarity `share` or more is likely enough, given registers that are larger, smaller, equal.
+
+    A likelihood ratio against the true similarity is exp(DOUBT) or more with a probability of exp(-DOUBT) at most
+    (Markov's inequality), so over the 40 values tried a linked pair is dropped with one of 40 exp(-DOUBT), 3.4e-5, at
+    most; a link between components is lost only if all their pairs' are.
+    """
     u = n_a / (n_a + n_b)
     v = 1 - u
     top = np.minimum(u, v) / np.maximum(u, v)
@@ -152,7 +159,7 @@ def block_links(q: Side, t: Side, band: int, share: float):
         if not len(on):
             continue
         equal = t.regs[on] == q.regs[i]
-        keep = equal.sum(axis=1) >= 0.4 * REGISTERS
+        keep = equal.sum(axis=1) >= FEWEST * REGISTERS
         if band > 0:  # a pair that shares an earlier band is compared there
             keep &= ~equal[:, : band * BAND].reshape(len(on), band, BAND).all(axis=2).any(axis=1)
         on, equal = on[keep], equal[keep]

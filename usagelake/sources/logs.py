@@ -157,8 +157,8 @@ def _bucket_ms(now: int) -> Column:
     return F.coalesce(time_ms(F.col("r.starting_at")), F.col("r.start_time") * 1000, F.lit(now))
 
 
-def billing_usage(lines: DataFrame, provider: str, now: int) -> DataFrame:
-    """lines (value: one bucket of a usage report) -> daily events; buckets without tokens are dropped."""
+def billing_usage(lines: DataFrame, provider: str, now: int, empty: bool = False) -> DataFrame:
+    """lines (value: one bucket of a usage report) -> daily events; results without tokens are dropped unless `empty` keeps them."""
     b = parsed(lines, BUCKET).withColumn("u", F.explode("r.results"))
     zero = F.lit(0).cast("long")
     if provider == "anthropic":
@@ -170,11 +170,12 @@ def billing_usage(lines: DataFrame, provider: str, now: int) -> DataFrame:
         cached = n("u.input_cached_tokens")
         fresh, count, project = F.greatest(zero, n("u.input_tokens") - cached), n("u.num_model_requests"), F.col("u.project_id")
     out = n("u.output_tokens")
-    return b.select(
+    found = b.select(
         _bucket_ms(now).alias("ts_ms"), F.lit(f"{provider}-api").alias("source"), F.coalesce("u.model", F.lit("unknown")).alias("model"), project.alias("project"),
         F.lit(None).cast("string").alias("session_id"), fresh.alias("tok_input"), out.alias("tok_output"), write.alias("tok_cache_write"), five.alias("tok_cw5m"), hour.alias("tok_cw1h"),
         cached.alias("tok_cache_read"), zero.alias("tok_thinking"), (fresh + out + cached + write).alias("tok_total"), F.greatest(F.lit(1).cast("long"), count).alias("requests"),
-    ).filter("tok_total > 0")
+    )
+    return found if empty else found.filter("tok_total > 0")
 
 
 def cost_report(lines: DataFrame, now: int) -> DataFrame:

@@ -145,6 +145,32 @@ def test_bounded_tail_reads_each_line_once_across_restarts(tmp_path, budget):
         tail.TailReader({"path": "x", "maxBytesPerTrigger": "5"})
 
 
+def test_tail_that_lags_behind_doubles_its_batches(tmp_path):
+    (tmp_path / "logs").mkdir()
+    files = [tmp_path / f"logs/{c}.jsonl" for c in "ab"]
+    for f in files:
+        f.write_text("".join(f"{i:09d}\n" for i in range(5_000)))
+    options = {"path": str(tmp_path / "logs"), "maxBytesPerTrigger": "100", "catchUpBytesPerTrigger": "20000", "progress": str(tmp_path / "p/tail.json")}
+    reader, sizes, got = tail.TailReader(options), [], []
+
+    def batch(start):
+        end = reader.latestOffset()
+        part = [x for p in reader.partitions(start, end) for x in reader.read(p)]
+        sizes.append(10 * len(part))
+        got.extend(part)
+        return end
+
+    start = reader.initialOffset()
+    while not sizes or sizes[-1]:
+        start = batch(start)
+    assert max(sizes) <= 20_000 and sizes[0] <= 100 and len(sizes) < 16  # 1,000 of a hundred bytes each
+    assert Counter(x[2] for x in got) == Counter({f"{i:09d}": 2 for i in range(5_000)})
+    with files[0].open("a") as f:
+        f.write("late 4567\n" * 100)
+    batch(start)
+    assert sizes[-1] == 100  # it had caught up, so it begins small again
+
+
 SYNCED = "source string, ts_ms long, model string"
 
 

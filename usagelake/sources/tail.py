@@ -121,6 +121,8 @@ class TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.folder, self.suffix = options["path"], options.get("suffix", ".jsonl")
         self.budget = int(options["maxBytesPerTrigger"]) if options.get("maxBytesPerTrigger") else None
+        self.most = max(int(options.get("catchUpBytesPerTrigger") or 0), self.budget or 0)
+        self.allowed = self.budget
         self.progress = options.get("progress")
         if self.budget is not None and not self.progress:
             raise ValueError("maxBytesPerTrigger needs the option progress, a file that tells a restarted stream where it stands")
@@ -140,7 +142,9 @@ class TailReader(DataSourceStreamReader):
                 ends[path] = end
         if self.budget is not None:
             begins = {p: self.known.get(p, 0) if self.known.get(p, 0) <= e else 0 for p, e in ends.items()}
-            part = shares({p: e - begins[p] for p, e in ends.items() if e > begins[p]}, self.budget)
+            wants = {p: e - begins[p] for p, e in ends.items() if e > begins[p]}
+            part = shares(wants, self.allowed)
+            self.allowed = min(2 * self.allowed, self.most) if sum(wants.values()) > self.allowed else self.budget
             part = part if any(part.values()) or not part else {min(part): 1}  # a budget below a byte a file still goes on
             ends |= {p: line_end(p, begins[p], begins[p] + n, ends[p]) if n else begins[p] for p, n in part.items() if n < ends[p] - begins[p]}
         self.known |= ends
@@ -171,7 +175,8 @@ class JsonlTail(DataSource):
 
     Options: suffix (.jsonl); maxBytesPerTrigger with progress, a file of the stream's own: a micro-batch then reads some so many
     bytes, dealt fairly over the files that have grown.  A line is never cut: one that is longer than its file's share is read
-    whole.  Without them a micro-batch reads all there is.  A trigger of what is available now makes one micro-batch.
+    whole.  catchUpBytesPerTrigger: while more is left than a micro-batch takes, each takes twice what the one before did, up to so
+    many bytes; the stream is back at maxBytesPerTrigger when it has caught up or starts again.  Without them a micro-batch reads all there is.  A trigger of what is available now makes one micro-batch.
     """
 
     @classmethod

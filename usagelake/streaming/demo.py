@@ -45,7 +45,7 @@ def stream_rollout_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.carried_columns(found)
 
 
-#: Bytes of a micro-batch of the tailed log.
+#: Bytes of a micro-batch of the tailed log; while it lags behind they double, up to a task's piece for each core.
 BUDGET = 1_000_000
 
 
@@ -56,7 +56,8 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.repartition("file").sortWithinPartitions("file", "pos").select("value").write.text(f"{work}/logs")
     tail.register(spark)
     here = work.removeprefix("file://").removeprefix("file:")
-    stream = spark.readStream.format("jsonl_tail").options(suffix=".txt", maxBytesPerTrigger=BUDGET, progress=f"{here}/progress/tail.json").load(f"{here}/logs")
+    behind = tail.PIECE * spark.sparkContext.defaultParallelism
+    stream = spark.readStream.format("jsonl_tail").options(suffix=".txt", maxBytesPerTrigger=BUDGET, catchUpBytesPerTrigger=behind, progress=f"{here}/progress/tail.json").load(f"{here}/logs")
     run = logs.assistant_usage(stream, NOW).writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/state").start()
     try:
         run.processAllAvailable()

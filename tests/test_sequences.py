@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,29 @@ def test_streamed_carry_goes_on_after_restarts(spark, tmp_path):
     assert carried(got) == carry_loop(rows)
 
 
+class Held(dict):
+    """A map state in memory, and the handle that gives it."""
+
+    def getMapState(self, *_):
+        return self
+
+    getValue, updateValue = dict.get, dict.__setitem__
+
+
+def test_a_call_carries_many_files():
+    rows = [(f, i, f"m{f}{i}" if i % 3 == 0 else None, None, None if f == "b" else f"s{f}", i % 2 == 1) for i in range(12) for f in ("a", "b", None)]
+    random.Random(1).shuffle(rows)
+    columns = ["file", "pos", "model", "cwd", "session_id", "counted"]
+    carry, held, got = stateful.Carry(), Held(), {}
+    carry.init(held)
+    for lo, hi in ((0, 5), (5, 12)):
+        part = pd.DataFrame([r for r in rows if lo <= r[1] < hi], columns=columns)
+        for out in carry.handleInputRows((7,), iter([part.iloc[:4], part.iloc[4:]]), None):
+            got |= {(r.file, r.pos): (r.model, r.cwd, r.session_id) for r in out.itertuples()}
+    assert got == {(f, i): (f"m{f}{i - i % 3}", None, None if f == "b" else f"s{f}") for i in range(1, 12, 2) for f in ("a", "b", None)}
+    assert set(held) == {("a",), ("b",), (None,)}
+
+
 def random_json(rng, depth=0):
     kind = rng.random()
     if depth > 5 or kind < 0.35:

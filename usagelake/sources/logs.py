@@ -127,17 +127,31 @@ def rollout_usage(lines: DataFrame, now: int, piece: int = PIECE) -> DataFrame:
     return counted_usage(carried(lines, piece), now)
 
 
-def counted_usage(lines: DataFrame, now: int) -> DataFrame:
-    """Rollout lines (file, pos, r, and what is carried to them) -> usage events; lines without counts are dropped."""
+def rollout_counts(lines: DataFrame, now: int) -> DataFrame:
+    """Rollout lines (file, pos, r, and the CARRIED columns) with their counts, and whether they are `counted`: a request's, of some tokens."""
     u = "r.payload.info.last_token_usage"
     cached, write, out = n(f"{u}.cached_input_tokens"), n(f"{u}.cache_write_input_tokens"), n(f"{u}.output_tokens")
-    fresh = F.greatest(F.lit(0), n(f"{u}.input_tokens") - cached - write)
-    rows = lines.filter(f"r.payload.type = 'token_count' AND {u} IS NOT NULL").select(
-        "file", "pos", time_ms(F.col("r.timestamp"), now).alias("ts_ms"), F.lit("codex-cli").alias("source"), "model", project_name(F.col("cwd")).alias("project"), "session_id",
-        fresh.alias("tok_input"), out.alias("tok_output"), write.alias("tok_cache_write"), write.alias("tok_cw5m"), F.lit(0).cast("long").alias("tok_cw1h"),
-        cached.alias("tok_cache_read"), n(f"{u}.reasoning_output_tokens").alias("tok_thinking"), (fresh + out + write + cached).alias("tok_total"), F.lit(1).cast("long").alias("requests"),
+    fresh = F.greatest(F.lit(0).cast("long"), n(f"{u}.input_tokens") - cached - write)
+    total = fresh + out + write + cached
+    return lines.select(
+        "file", "pos", time_ms(F.col("r.timestamp"), now).alias("ts_ms"), *CARRIED, fresh.alias("tok_input"), out.alias("tok_output"), write.alias("tok_cache_write"),
+        cached.alias("tok_cache_read"), n(f"{u}.reasoning_output_tokens").alias("tok_thinking"), total.alias("tok_total"),
+        (F.coalesce(F.col("r.payload.type") == "token_count", F.lit(False)) & F.col(u).isNotNull() & (total > 0)).alias("counted"),
+    )
+
+
+def carried_columns(counts: DataFrame) -> DataFrame:
+    """rollout_counts() that are counted, with what was carried to them -> usage events."""
+    return counts.select(
+        "file", "pos", "ts_ms", F.lit("codex-cli").alias("source"), "model", project_name(F.col("cwd")).alias("project"), "session_id",
+        "tok_input", "tok_output", "tok_cache_write", F.col("tok_cache_write").alias("tok_cw5m"), F.lit(0).cast("long").alias("tok_cw1h"),
+        "tok_cache_read", "tok_thinking", "tok_total", F.lit(1).cast("long").alias("requests"),
     )
-    return rows.filter("tok_total > 0")
+
+
+def counted_usage(lines: DataFrame, now: int) -> DataFrame:
+    """Rollout lines (file, pos, r, and what is carried to them) -> usage events; lines without counts are dropped."""
+    return carried_columns(rollout_counts(lines, now).filter("counted"))
 
 
 def rollout_quota(lines: DataFrame, now: int) -> DataFrame:

@@ -232,6 +232,17 @@ def test_a_call_carries_many_files():
     assert set(held) == {("a",), ("b",), (None,)}
 
 
+def test_a_call_remembers_for_many_files():
+    rng = random.Random(6)
+    rows = [(f, i, rng.choice([None, *"uvwxyz"])) for i in range(60) for f in ("a", "b", None)]
+    memory, held, got = stateful.Remember(3), Held(), []
+    memory.init(held)
+    for lo, hi in ((0, 25), (25, 26), (26, 60)):
+        part = pd.DataFrame(rng.sample([r for r in rows if lo <= r[1] < hi], 3 * (hi - lo)), columns=["file", "pos", "write_id"])
+        got += [(r.file, r.pos) for out in memory.handleInputRows((7,), iter([part.iloc[:2], part.iloc[2:]]), None) for r in out.itertuples()]
+    assert Counter(got) == Counter(memory_loop(rows, 3)) and len(held) == 3
+
+
 def random_json(rng, depth=0):
     kind = rng.random()
     if depth > 5 or kind < 0.35:

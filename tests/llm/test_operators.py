@@ -629,3 +629,24 @@ def test_toxic_spans():
             r = g * (0.3 + 1.7 * r) / (1 + 0.2 * r)
             want.append(r)
     assert np.allclose(got, want)
+
+
+def test_long_texts_take_their_steps_together():
+    """The steps of a group are those of its longest text; each group held a long one before."""
+    from usagelake.llm import language_model
+
+    raw = [b"w " * (400_000 if i % 40 == 0 else 12_500) for i in range(480)]
+    groups = [on.tolist() for on in language_model.side_by_side(raw)]
+    assert sorted(i for on in groups for i in on) == list(range(480)) and len(groups) > 2
+    with_long = lambda parts: sum(any(len(raw[i]) > 25_000 for i in on) for on in parts)
+    assert with_long(groups) <= 3 < with_long(range(a, b) for a, b in language_model.chunks(raw, language_model.SIDE_BY_SIDE))
+    assert all(sum(len(raw[i]) for i in on) <= language_model.SIDE_BY_SIDE for on in groups if len(on) > 1)
+
+
+def test_softmax_of_any_size():
+    from usagelake.llm import language_model
+
+    x = np.array([[0, 1, 2], [500, 501, 502], [-500, -499, -498], [0, -900, 900]], np.float32)
+    want = np.exp(x - x.max(axis=1, keepdims=True))
+    assert np.allclose(language_model.softmax(x), want / want.sum(axis=1, keepdims=True), atol=1e-6)
+    assert np.allclose(language_model.softmax(x[:1]), (want / want.sum(axis=1, keepdims=True))[:1], atol=1e-6)

@@ -650,3 +650,26 @@ def test_softmax_of_any_size():
     want = np.exp(x - x.max(axis=1, keepdims=True))
     assert np.allclose(language_model.softmax(x), want / want.sum(axis=1, keepdims=True), atol=1e-6)
     assert np.allclose(language_model.softmax(x[:1]), (want / want.sum(axis=1, keepdims=True))[:1], atol=1e-6)
+
+
+def test_language_model_softmax_takes_few_rows_at_a_time():
+    import tracemalloc
+
+    from usagelake.llm import language_model as lm
+
+    w, words, rng = lm.fresh(), small_words(lm), np.random.default_rng(8)
+    state = rng.standard_normal((lm.SCORED, lm.HIDDEN)).astype(np.float32)
+    target = rng.integers(lm.VOCABULARY, size=len(state))
+    classes = words.class_of[target]
+    log_share = lambda logits, to: logits[np.arange(len(to)), to] - np.log(np.exp(logits).sum(axis=1))
+    want = log_share(state.astype(float) @ w["o"] + w["p"], classes)
+    for c in range(lm.GROUPS):
+        a, b, on = words.bounds[c], words.bounds[c + 1], np.flatnonzero(classes == c)
+        if len(on):
+            want[on] += log_share(state[on].astype(float) @ w["m"][a:b].T + w["q"][a:b], target[on] - a)
+    tracemalloc.start()
+    got = lm.chances(w, words, state, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, atol=1e-4)
+    assert peak < len(state) * lm.CLASSES * 4  # all rows' logits at once are as much

@@ -58,6 +58,8 @@ STREAM = LANES * SPAN * 20
 HELD, ADDERS = 2_000_000, 16
 #: Bytes of text that are scored side by side, and states whose probabilities are taken at once.
 SIDE_BY_SIDE, SCORED = 5_000_000, 32_768
+#: Rows of a softmax that are computed at once.
+ROWS = 1024
 
 
 def ending(batch: Batch, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -119,11 +121,12 @@ class Words:
         self.class_of = np.concatenate([group, np.arange(GROUPS, CLASSES)])
         self.bounds = np.searchsorted(group, np.arange(GROUPS + 1))
 
-    def tokens(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def tokens(self, h: np.ndarray) -> np.ndarray:
+        """Token of each word of the vocabulary, -1 of any other."""
         if not len(self.vocabulary):
-            return VOCABULARY + kind
+            return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, self.token[at], VOCABULARY + kind)
+        return np.where(self.vocabulary.take(at) == h, self.token.take(at), -1)
 
     def counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, found) of each word."""
@@ -145,46 +148,65 @@ def fresh(seed: int = 1) -> dict[str, np.ndarray]:
     return {k: (rng.standard_normal(s) / np.sqrt(scale[k]) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
 
 
-def _sigmoid(x):
-    y = np.negative(x)
-    np.exp(y, out=y)
-    y += 1
-    return np.reciprocal(y, out=y)
-
-
 def row_sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], x.dtype)  # several times as fast as sum() over short rows
 
 
-def forward(w, gates: np.ndarray, h: np.ndarray):
-    """One step of the gated unit from what the input gives its gates; returns the new state and what backpropagation needs."""
-    u = h @ w["h"]
-    zr = _sigmoid(gates[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(gates[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-    return n + z * (h - n), (z, r, n, u[:, 2 * HIDDEN :])
-
-
-def softmax(logits: np.ndarray) -> np.ndarray:
-    """Shares of each row; only where a row's exponentials leave the range of floats is its largest taken off first."""
+def forward(w: np.ndarray, gates: np.ndarray, h: np.ndarray):
+    """One step of the gated unit; returns the new state and what backpropagation needs.
+
+    w: the state's weights, (gates, state); gates: what the input gives them. A text is a column, so that a gate is a block.
+    """
+    u = w @ h
+    zr = gates[: 2 * HIDDEN] + u[: 2 * HIDDEN]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r = zr[:HIDDEN], zr[HIDDEN:]
+    n = r * u[2 * HIDDEN :]
+    n += gates[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (z, r, n, u[2 * HIDDEN :])
+
+
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sum) of each row, up to a factor; only where they leave the range of floats is a row's largest taken off first."""
     with np.errstate(over="ignore"):
         p = np.exp(logits)
         total = row_sums(p)
     if not (total.min() > 1e-20 and total.max() < 1e30):
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         total = row_sums(p)
+    return p, total
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    """Shares of each row."""
+    p, total = exponentials(logits)
     p /= total[:, None]
     return p
 
 
+def slopes(state: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes of the weighted losses of softmax(state @ w + bias) by its logits."""
+    logits = state @ w
+    logits += bias
+    p, total = exponentials(logits)
+    p *= (weight / total)[:, None]
+    p[np.arange(len(p)), target] -= weight
+    return p
+
+
 def by_class(words: Words, classes: np.ndarray):
-    """(class, first and last word, places of its tokens) of each class of several words that is met."""
+    """(places in order of their classes, [(first and last word, first and last place in that order) of each class of several words that is met])."""
     order = np.argsort(classes.astype(np.int16), kind="stable")  # short integers are sorted by radix
-    at = np.searchsorted(classes[order], np.arange(GROUPS + 1))
-    for c in range(GROUPS):
-        a, b = words.bounds[c], words.bounds[c + 1]
-        if b - a > 1 and at[c + 1] > at[c]:
-            yield a, b, order[at[c] : at[c + 1]]
+    at = np.searchsorted(classes[order], np.arange(GROUPS + 1)).tolist()
+    b = words.bounds.tolist()
+    return order, [(b[c], b[c + 1], at[c], at[c + 1]) for c in range(GROUPS) if b[c + 1] - b[c] > 1 and at[c + 1] > at[c]]
 
 
 class Trainer:
@@ -205,7 +227,7 @@ class Trainer:
         shape = lambda x, fill: np.concatenate([x, np.full(steps * count - len(x), fill, x.dtype)]).reshape(count, steps).T
         lanes, source = shape(stream, END_TOKEN), shape(np.concatenate([[before], stream[:-1]]), END_TOKEN)
         real = shape(np.ones(len(stream), np.float32), 0)
-        h = np.zeros((count, HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, count), np.float32)
         for i, first in enumerate(range(0, steps, SPAN)):
             on = slice(first, first + SPAN)
             h = self.update(source[on], lanes[on], real[on], h, rate(i))
@@ -213,49 +235,66 @@ class Trainer:
     def update(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One step down the gradient of a span; returns the state after it."""
         w, g = self.w, {}
-        gates_in = (w["e"] @ w["x"] + w["b"])[x]
-        goes_on = (x != END_TOKEN).astype(np.float32)[:, :, None]  # a new text starts from nothing
-        kept, before, after = [], [], []
-        for t in range(len(x)):
-            h = h * goes_on[t]
-            before.append(h)
-            h, need = forward(w, gates_in[t], h)
+        steps, lanes = x.shape
+        gates_in = np.ascontiguousarray((w["e"] @ w["x"] + w["b"]).take(x, 0).transpose(0, 2, 1))
+        goes_on = (x != END_TOKEN).astype(np.float32)  # a new text starts from nothing
+        of_state = np.ascontiguousarray(w["h"].T)
+        before, after = np.empty((2, steps, HIDDEN, lanes), np.float32)
+        kept = []
+        for t in range(steps):
+            np.multiply(h, goes_on[t], out=before[t])
+            h, need = forward(of_state, gates_in[t], before[t])
             kept.append(need)
-            after.append(h)
-        state, target, weight = np.concatenate(after), y.ravel(), (real / real.sum()).ravel()
+            after[t] = h
+        state = np.ascontiguousarray(after.transpose(0, 2, 1)).reshape(-1, HIDDEN)
+        target, weight = y.ravel(), (real / real.sum()).ravel()
         classes = self.words.class_of[target]
-        p = softmax(state @ w["o"] + w["p"])
-        p[np.arange(len(p)), classes] -= 1
-        p *= weight[:, None]
-        g["o"], g["p"] = state.T @ p, p.sum(0)
-        into = p @ w["o"].T
-        g["m"], g["q"] = np.zeros_like(w["m"]), np.zeros_like(w["q"])
-        for a, b, on in by_class(self.words, classes):
-            s = state[on]
-            p = softmax(s @ w["m"][a:b].T + w["q"][a:b])
-            p[np.arange(len(p)), target[on] - a] -= 1
-            p *= weight[on][:, None]
-            g["m"][a:b], g["q"][a:b] = p.T @ s, p.sum(0)
-            into[on] += p @ w["m"][a:b]
-        into = into.reshape(*x.shape, HIDDEN)
-        gates, backs = np.empty((2, *x.shape, 3 * HIDDEN), np.float32)
+        into = np.empty_like(state)
+        for k in ("o", "p", "m", "q"):
+            g[k] = np.zeros_like(w[k])
+        for a in range(0, len(state), ROWS):  # few rows at a time stay in the cache
+            b = a + ROWS
+            p = slopes(state[a:b], w["o"], w["p"], classes[a:b], weight[a:b])
+            g["o"] += state[a:b].T @ p
+            g["p"] += np.ones(len(p), p.dtype) @ p
+            into[a:b] = p @ w["o"].T
+        order, found = by_class(self.words, classes)
+        ordered, place, share = state.take(order, 0), target[order], weight[order]
+        more = into.take(order, 0)
+        for a, b, i, j in found:
+            p = slopes(ordered[i:j], w["m"][a:b].T, w["q"][a:b], place[i:j] - a, share[i:j])
+            g["m"][a:b], g["q"][a:b] = p.T @ ordered[i:j], np.ones(len(p), p.dtype) @ p
+            more[i:j] += p @ w["m"][a:b]
+        into[order] = more
+        into = np.ascontiguousarray(into.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+        gates, backs = np.empty((2, steps, 3 * HIDDEN, lanes), np.float32)
         dh = np.zeros_like(h)
-        for t in range(len(x) - 1, -1, -1):
+        for t in range(steps - 1, -1, -1):
             z, r, n, u = kept[t]
-            dh = dh + into[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before[t] - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            np.concatenate([dz, dr, dn], axis=1, out=gates[t])
-            np.concatenate([dz, dr, dn * r], axis=1, out=backs[t])
-            dh = (dh * z + backs[t] @ w["h"].T) * goes_on[t]
-        flat = gates.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        read, first = np.unique(x.ravel()[order], return_index=True)
-        rows = np.add.reduceat(flat[order], first)
-        g["h"] = np.concatenate(before).T @ backs.reshape(-1, 3 * HIDDEN)
-        g["b"], g["x"], g["e"] = flat.sum(0), w["e"][read].T @ rows, np.zeros_like(w["e"])
-        g["e"][read] = rows @ w["x"].T
+            dz, dr, dn = gates[t, :HIDDEN], gates[t, HIDDEN : 2 * HIDDEN], gates[t, 2 * HIDDEN :]
+            dh += into[t]
+            past = dh * z
+            dh -= past
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= dh
+            np.subtract(before[t], n, out=dz)
+            dz *= z
+            dz *= dh
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= u
+            dr *= dn
+            backs[t, : 2 * HIDDEN] = gates[t, : 2 * HIDDEN]
+            np.multiply(dn, r, out=backs[t, 2 * HIDDEN :])
+            dh = w["h"] @ backs[t]
+            dh += past
+            dh *= goes_on[t]
+        g["h"] = np.matmul(before, backs.transpose(0, 2, 1)).sum(0)
+        g["b"] = gates.sum((0, 2))
+        g["x"] = np.matmul(w["e"].take(x, 0).transpose(0, 2, 1), gates.transpose(0, 2, 1)).sum(0)
+        rows = np.matmul(w["x"], gates)
+        g["e"] = np.stack([np.bincount(x.ravel(), rows[:, i].ravel(), TOKENS) for i in range(EMBED)], axis=1).astype(np.float32)
         self.done += 1
         for k in w:
             d = np.clip(g[k], -1, 1)
@@ -278,14 +317,24 @@ def train(stream: np.ndarray, w: dict[str, np.ndarray], words: Words, rate: floa
     return trainer.w
 
 
+def log_shares(state: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    logits = state @ w
+    logits += bias
+    return logits[np.arange(len(target)), target] - np.log(row_sums(np.exp(logits, out=logits)))
+
+
 def chances(w, words: Words, state: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target's class and, for words of the vocabulary, of the word within it."""
-    logits = state @ w["o"] + w["p"]
     classes = words.class_of[target]
-    out = (logits[np.arange(len(target)), classes] - np.log(row_sums(np.exp(logits, out=logits)))).astype(np.float64)
-    for a, b, on in by_class(words, classes):
-        logits = state[on] @ w["m"][a:b].T + w["q"][a:b]
-        out[on] += logits[np.arange(len(on)), target[on] - a] - np.log(row_sums(np.exp(logits, out=logits)))
+    out = np.empty(len(target))
+    for a in range(0, len(state), ROWS):
+        out[a : a + ROWS] = log_shares(state[a : a + ROWS], w["o"], w["p"], classes[a : a + ROWS])
+    order, found = by_class(words, classes)
+    ordered, place = state.take(order, 0), target[order]
+    more = np.zeros(len(target))
+    for a, b, i, j in found:
+        more[i:j] = log_shares(ordered[i:j], w["m"][a:b].T, w["q"][a:b], place[i:j] - a)
+    out[order] += more
     return out
 
 
@@ -296,7 +345,8 @@ def log_likelihood(w, words: Words, tokens: np.ndarray, at: np.ndarray) -> np.nd
     begin, size = at[:-1][order], size[order]
     live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
     table_ = w["e"] @ w["x"] + w["b"]
-    h = np.zeros((len(size), HIDDEN), np.float32)
+    of_state = np.ascontiguousarray(w["h"].T)
+    h = np.zeros((HIDDEN, len(size)), np.float32)
     total = np.zeros(len(size))
     now = np.full(len(size), END_TOKEN)
     held: list[tuple] = []
@@ -304,10 +354,10 @@ def log_likelihood(w, words: Words, tokens: np.ndarray, at: np.ndarray) -> np.nd
 
     def settle():
         text = np.concatenate([np.arange(len(t)) for _, t in held])
-        np.add.at(total, text, chances(w, words, np.concatenate([s for s, _ in held]), np.concatenate([t for _, t in held])))
+        np.add.at(total, text, chances(w, words, np.concatenate([s.T for s, _ in held]), np.concatenate([t for _, t in held])))
 
     for t, m in enumerate(live):
-        h, _ = forward(w, table_[now[:m]], h[:m])
+        h, _ = forward(of_state, np.ascontiguousarray(table_.take(now[:m], 0).T), h[:, :m])
         now = tokens[begin[:m] + t]
         held.append((h, now))
         count += m
@@ -325,7 +375,10 @@ def read(batch: Batch, words: Words):
     """(hashes, tokens, first) of the words of a lower-cased batch."""
     start, end, first = batch.words()
     h = batch.hashes(start, end)
-    return h, words.tokens(h, ending(batch, start, end)), first
+    tokens = words.tokens(h)
+    rare = np.flatnonzero(tokens < 0)
+    tokens[rare] = VOCABULARY + ending(batch, start[rare], end[rare])
+    return h, tokens, first
 
 
 def read_all(raw: list[bytes], words: Words):

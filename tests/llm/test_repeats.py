@@ -152,3 +152,33 @@ def test_held_out_is_never_null(spark, folder):
     top = folder("nullid", documents=([(None, "a", 1), (1, "b", 1), (None, None, 1)], "doc_id long, text string, score int"), labels=([], "doc_id long, quality int, toxic int"))
     got = toxicity.op9_toxicity(spark, top).collect()
     assert len(got) == 3 and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_steps_hold_one_step_of_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from usagelake.llm.text import chunks, encode, steps
+
+    texts = ["é" * 700, None, "", "x" * 5000, "y", *["word " * 600] * 2000]
+    column = pa.array(texts).slice(0)
+    raw, seen = encode(texts), []
+    tracemalloc.start()
+    for a, b, got in steps(column, 100_000):
+        assert got == raw[a:b]
+        seen.append((a, b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == list(chunks(raw, 100_000))
+    assert peak < 1_000_000 < sum(map(len, raw))
+    assert list(steps(pa.array([], pa.string()))) == []
+
+
+def test_powers_are_held_as_far_as_they_are_used():
+    from usagelake.llm import text
+
+    base = 12345 | 1
+    assert text.powers(base, 3).tolist() == [1, base, base**2]
+    assert len(text._powers[base]) < 10_000
+    assert text.powers(base, 20_000)[19_999] == pow(base, 19_999, 1 << 64)

@@ -23,13 +23,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .frames import BROADCAST_ROWS, cut, sized, spread_join
-from .text import _BYTES, CHUNK_BYTES, Batch, chunks, encode, prefix_of, sliding_min, window_hashes
+from .text import _BYTES, CHUNK_BYTES, Batch, prefix_of, sliding_min, steps, window_hashes
 
 ROWS = "hk long, hc long, id long, doc long, place long"
 ORDER = ["hk", "hc", "id", "place", "doc"]
@@ -67,7 +68,7 @@ def firsts(known: DataFrame) -> DataFrame:
 
 
 #: Bytes of text that one vectorised step handles: some 150 bytes of arrays for each item.
-STEP_BYTES = {"byte": CHUNK_BYTES // 4, "word": CHUNK_BYTES}
+STEP_BYTES = {"byte": CHUNK_BYTES // 8, "word": CHUNK_BYTES}
 #: Bits of a packed place that hold a piece's number of windows.
 COUNT_BITS = 16
 
@@ -157,19 +158,23 @@ def pieces(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     given = "places" in docs.columns
 
     def run(batches):
-        for pdf in batches:
-            raw = encode(pdf["text"])
-            ids, names = pdf["id"].to_numpy(), pdf["doc"].to_numpy()
-            for a, b in chunks(raw, STEP_BYTES[unit]):
-                seq = Sequence(raw[a:b], unit)
-                key, first, count, text = seq.pieces(window, gram, list(pdf["places"].iloc[a:b]) if given else None)
+        for batch in batches:
+            ids, names = batch.column("id").to_numpy(), batch.column("doc").to_numpy()
+            for a, b, raw in steps(batch.column("text"), STEP_BYTES[unit]):
+                seq = Sequence(raw, unit)
+                key, first, count, text = seq.pieces(window, gram, arrays(batch, "places", a, b) if given else None)
                 if len(key):
-                    yield pd.DataFrame({
+                    yield pa.RecordBatch.from_pydict({
                         "hk": key, "hc": seq.digests(first, first + count + window - 2), "id": ids[a + text], "doc": names[a + text],
                         "place": pack(first - seq.lo[text], count),
                     })
 
-    return docs.select("id", "doc", "text", *["places"] * given).mapInPandas(run, ROWS)
+    return docs.select("id", "doc", "text", *["places"] * given).mapInArrow(run, ROWS)
+
+
+def arrays(batch: pa.RecordBatch, name: str, first: int, last: int) -> list[np.ndarray]:
+    """The arrays of some rows of a column of arrays."""
+    return list(batch.column(name).slice(first, last - first).to_numpy(zero_copy_only=False))
 
 
 class Marker:

@@ -16,13 +16,13 @@ integers are refused; other columns play no part.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, table
-from .repeats import covered, doc_id, every_document, firsts, fits, identified, pieces, settled, with_places
-from .text import Batch, chunks, encode
+from .repeats import arrays, covered, doc_id, every_document, firsts, fits, identified, pieces, settled, with_places
+from .text import Batch, steps
 
 WINDOW = 20
 LEVELS = (5, 10, 20)
@@ -41,29 +41,32 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, levels=LEVELS) -> Data
 
 
 def _strip(docs: DataFrame, window: int) -> DataFrame:
+    names = ["id", "lost", "n_words", "n_removed", "kept"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+
     def run(batches):
-        for pdf in batches:
-            raw = encode(pdf["text"])
-            for a, b in chunks(raw):
-                batch = Batch(raw[a:b])
+        for whole in batches:
+            for a, b, raw in steps(whole.column("text")):
+                batch = Batch(raw)
                 start, end, first = batch.words()
                 rows = []
-                for i in range(b - a):
+                ids, lost, gone = (whole.column(c).slice(a, b - a).to_pylist() for c in ("id", "lost", "gone"))
+                for i, places in enumerate(arrays(whole, "places", a, b)):
                     lo, hi = first[i], first[i + 1]
-                    text, off, n = raw[a + i], batch.at[i], hi - lo
+                    text, off, n = raw[i], batch.at[i], int(hi - lo)
                     keep = np.ones(n, bool)
-                    if pdf["gone"].iloc[a + i] and n >= window:
+                    if gone[i] and n >= window:
                         keep[:] = False
-                    for x, y in zip(*covered(pdf["places"].iloc[a + i], window, n), strict=True):
+                    for x, y in zip(*covered(places, window, n), strict=True):
                         keep[x:y] = False
                     left = np.flatnonzero(keep) + lo
                     kept = b" ".join([text[x:y] for x, y in zip((start[left] - off).tolist(), (end[left] - off).tolist(), strict=True)])
-                    rows.append((pdf["id"].iloc[a + i], pdf["lost"].iloc[a + i], n, n - len(left), kept.decode("utf-8", "surrogatepass")))
-                yield pd.DataFrame(rows, columns=["id", "lost", "n_words", "n_removed", "kept"]).astype({"n_words": "int64", "n_removed": "int64"})
+                    rows.append((ids[i], lost[i], n, n - len(left), kept))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     gone = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False)).alias("gone")
-    stripped = docs.select("id", "lost", "text", "places", gone).mapInPandas(run, "id long, lost boolean, n_words long, n_removed long, kept string")
-    return stripped.select(doc_id(), "n_words", "n_removed", "kept")
+    stripped = docs.select("id", "lost", "text", "places", gone).mapInArrow(run, "id long, lost boolean, n_words long, n_removed long, kept binary")
+    return stripped.select(doc_id(), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, levels=LEVELS) -> DataFrame:

@@ -25,12 +25,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, sized, table
-from .repeats import count_of, covered, doc_id, every_document, first_of, firsts, fits, identified, pack, pieces, settled, with_places
-from .text import _BYTES, _INVERSE, Batch, chunks, encode, powers, prefix_of, window_hashes
+from .repeats import STEP_BYTES, arrays, count_of, covered, doc_id, every_document, first_of, firsts, fits, identified, pack, pieces, settled, with_places
+from .text import _BYTES, _INVERSE, powers, prefix_of, steps, window_hashes
 
 WINDOW = 200
 LEVELS = (32, 176)
@@ -135,19 +136,28 @@ def contexts(docs: DataFrame, window: int) -> DataFrame:
     docs: (id, doc, text, places, hk, parts), the last three arrays of one length.
     """
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text, places, keys, parts, i, d in zip(encode(pdf["text"]), pdf["places"], pdf["hk"], pdf["parts"], pdf["id"], pdf["doc"], strict=True):
-                pre = prefix_of(_BYTES[np.frombuffer(text, np.uint8)]) if max(parts) > 1 else None
-                for p, k, n in zip(places.tolist(), keys.tolist(), parts.tolist(), strict=True):
-                    f, c = first_of(p), count_of(p)
-                    at = np.arange(f, f + c)
-                    every = [0] if n == 1 else np.unique(window_hashes(pre, at, at + window) % np.uint64(n)).tolist()
-                    out += [(k, q, n, i, d, p, text[f : f + c - 1 + window]) for q in every]
-            yield pd.DataFrame(out, columns=["hk", "part", "parts", "id", "doc", "place", "own"])
+    names = ["hk", "part", "parts", "id", "doc", "place", "own"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    return docs.mapInPandas(run, "hk long, part int, parts int, id long, doc long, place long, own binary")
+    def run(batches):
+        for batch in batches:
+            ids, docs_known = batch.column("id").to_pylist(), batch.column("doc").to_pylist()
+            for a, b, raw in steps(batch.column("text"), STEP_BYTES["byte"]):
+                out = step(raw, *[arrays(batch, c, a, b) for c in ("places", "hk", "parts")], ids[a:b], docs_known[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def step(*columns):
+        out = []
+        for text, places, keys, parts, i, d in zip(*columns, strict=True):
+            pre = prefix_of(_BYTES[np.frombuffer(text, np.uint8)]) if max(parts) > 1 else None
+            for p, k, n in zip(places.tolist(), keys.tolist(), parts.tolist(), strict=True):
+                f, c = first_of(p), count_of(p)
+                at = np.arange(f, f + c)
+                every = [0] if n == 1 else np.unique(window_hashes(pre, at, at + window) % np.uint64(n)).tolist()
+                out += [(k, q, n, i, d, p, text[f : f + c - 1 + window]) for q in every]
+        return out
+
+    return docs.mapInArrow(run, "hk long, part int, parts int, id long, doc long, place long, own binary")
 
 
 def settle(rows: pd.DataFrame, window: int) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -231,20 +241,25 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, levels=LEVELS, part: i
 
 
 def _strip(docs: DataFrame, window: int) -> DataFrame:
+    names = ["id", "lost", "n_bytes", "n_removed", "n_spans", "kept"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for i, lost, raw, places, twice in zip(pdf["id"], pdf["lost"], encode(pdf["text"]), pdf["places"], pdf["twice"], strict=True):
-                s, e = covered(places, window, len(raw))
-                if twice and len(raw) >= window:
-                    s, e = np.zeros(1, np.int64), np.array([len(raw)])
-                at = [0, *np.stack([s, e], 1).ravel().tolist(), len(raw)]
-                kept = b"".join(raw[x:y] for x, y in zip(at[::2], at[1::2], strict=True)) if len(s) else raw
-                rows.append((i, lost, len(raw), len(raw) - len(kept), len(s), kept))
-            yield pd.DataFrame(rows, columns=["id", "lost", "n_bytes", "n_removed", "n_spans", "kept"])
+        for batch in batches:
+            for a, b, texts in steps(batch.column("text")):
+                rows = []
+                given = [batch.column(c).slice(a, b - a).to_pylist() for c in ("id", "lost", "twice")]
+                for i, lost, twice, raw, places in zip(*given, texts, arrays(batch, "places", a, b), strict=True):
+                    s, e = covered(places, window, len(raw))
+                    if twice and len(raw) >= window:
+                        s, e = np.zeros(1, np.int64), np.array([len(raw)])
+                    at = [0, *np.stack([s, e], 1).ravel().tolist(), len(raw)]
+                    kept = b"".join(raw[x:y] for x, y in zip(at[::2], at[1::2], strict=True)) if len(s) else raw
+                    rows.append((i, lost, len(raw), len(raw) - len(kept), len(s), kept))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     twice = F.col("copies").isNotNull().alias("twice")
-    stripped = docs.select("id", "lost", "text", "places", twice).mapInPandas(run, "id long, lost boolean, n_bytes long, n_removed long, n_spans long, kept binary")
+    stripped = docs.select("id", "lost", "text", "places", twice).mapInArrow(run, "id long, lost boolean, n_bytes long, n_removed long, n_spans long, kept binary")
     return stripped.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept")
 
 

@@ -9,6 +9,8 @@ length.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 CHUNK_BYTES = 2_000_000
@@ -38,14 +40,25 @@ def encode(texts) -> list[bytes]:
 
 def chunks(raw: list[bytes], limit: int = CHUNK_BYTES):
     """(first, last) slices of at most `limit` bytes; a longer text stands alone."""
-    first = size = 0
-    for i, b in enumerate(raw):
-        if i > first and size + len(b) > limit:
+    yield from _slices(map(len, raw), limit)
+
+
+def _slices(sizes, limit: int):
+    first = size = end = 0
+    for i, n in enumerate(sizes):
+        if i > first and size + n > limit:
             yield first, i
             first, size = i, 0
-        size += len(b) + 1
-    if first < len(raw):
-        yield first, len(raw)
+        size += n + 1
+        end = i + 1
+    if first < end:
+        yield first, end
+
+
+def steps(texts: pa.Array, limit: int = CHUNK_BYTES):
+    """(first, last, UTF-8 bytes of the texts between) as chunks() cuts them; the texts of one step only leave the Arrow array at a time."""
+    for a, b in _slices(pc.binary_length(texts).fill_null(0).to_pylist(), limit):
+        yield a, b, [x or b"" for x in texts.slice(a, b - a).cast(pa.large_binary()).to_pylist()]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,7 +79,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 4096)
+        size = max(n, 1 << 12) if have is None else max(n, min(2 * len(have), CHUNK_BYTES + 4096))
         have = np.full(size, base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
